@@ -1,13 +1,17 @@
 """The driver queries of this package and their SQL."""
 
-from . import quality, sharding
+from . import chat, quality, secrets, sharding
 
 QUERIES = {
     "op1_feistel_sharding": sharding.op1_feistel_sharding,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op7_secret_scan": secrets.op7_secret_scan,
+    "op10_chat_windows": chat.op10_chat_windows,
 }
 
 ORACLES = {
     "op1_feistel_sharding": sharding.oracle(),
     "op2_quality_rules": quality.oracle(),
+    "op7_secret_scan": secrets.oracle(),
+    "op10_chat_windows": chat.oracle(),
 }
