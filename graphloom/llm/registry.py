@@ -1,10 +1,11 @@
 """The driver queries of this package and their SQL."""
 
-from . import chat, quality, secrets, sharding
+from . import chat, minhash, quality, secrets, sharding
 
 QUERIES = {
     "op1_feistel_sharding": sharding.op1_feistel_sharding,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_probminhash": minhash.op3_probminhash,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op10_chat_windows": chat.op10_chat_windows,
 }
