@@ -1,11 +1,12 @@
 """The driver queries of this package and their SQL."""
 
-from . import chat, minhash, quality, secrets, sharding, spm
+from . import chat, decontaminate, minhash, quality, secrets, sharding, spm
 
 QUERIES = {
     "op1_feistel_sharding": sharding.op1_feistel_sharding,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_probminhash": minhash.op3_probminhash,
+    "op4_qgram_decontamination": decontaminate.op4_qgram_decontamination,
     "op5_sentencepiece": spm.op5_sentencepiece,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op10_chat_windows": chat.op10_chat_windows,
