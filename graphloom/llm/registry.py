@@ -1,6 +1,6 @@
 """The driver queries of this package and their SQL."""
 
-from . import chat, decontaminate, minhash, quality, secrets, sharding, spm
+from . import chat, decontaminate, minhash, quality, secrets, sharding, spm, toxicity
 
 QUERIES = {
     "op1_feistel_sharding": sharding.op1_feistel_sharding,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_probminhash": minhash.op3_probminhash,
     "op4_qgram_decontamination": decontaminate.op4_qgram_decontamination,
     "op5_sentencepiece": spm.op5_sentencepiece,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op10_chat_windows": chat.op10_chat_windows,
 }
