@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, label) for every node of `edges` (a, b); label is the least node of its component.
 
     Each round takes the least label among neighbours, pre-aggregated before the shuffle,
-    then replaces every label by its label's label, so chains shrink geometrically. Rounds
-    are cut by checkpoints; only the count of changed rows reaches the driver.
+    then replaces every label by its label's label, so chains shrink geometrically. Each round
+    is a written table; only the count of changed rows reaches the driver.
     """
     links = edges.where("a <> b").select("a", "b")
     links = cut(links.union(links.select("b", "a")).distinct())
     state = cut(links.groupBy("a").agg(F.min("b").alias("n")).select(F.col("a").alias("node"), F.least("a", "n").alias("label")))
+    held = state
     for _ in range(rounds):
         near = links.join(state, links["b"] == state["node"]).groupBy("a").agg(F.min("label").alias("near"))
         step = state.join(near, state["node"] == near["a"], "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("next"))
@@ -25,7 +26,9 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         jumped = step.join(up, step["next"] == up["up"], "left").select("node", F.least("next", F.coalesce("up_label", "next")).alias("next"), F.col("label").alias("was"))
         new = cut(jumped)
         changed = new.where("next <> was").limit(1).count()
-        state = new.select("node", F.col("next").alias("label"))
+        drop(held)
+        held, state = new, new.select("node", F.col("next").alias("label"))
         if not changed:
             break
+    drop(links)
     return state
