@@ -1,6 +1,6 @@
 """The driver queries of this package and their SQL."""
 
-from . import chat, decontaminate, minhash, quality, secrets, sharding, spm, suffix_dedup, toxicity
+from . import chat, decontaminate, minhash, passages, quality, secrets, sharding, spm, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_feistel_sharding": sharding.op1_feistel_sharding,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+    "op9_compact_windows": passages.op9_compact_windows,
     "op10_chat_windows": chat.op10_chat_windows,
 }
 
