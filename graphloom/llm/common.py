@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.cut import cut, drop  # noqa: F401
+
 #: ASCII white space as a character class body: space, and tab to carriage return.
 SPACE = r"\x20\x09-\x0D"
 
@@ -17,38 +15,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of our own only where none is set, as in tests."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
-    if not folder:
-        if not sc.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix=f"ckpt-{os.getpid()}-"))
-        folder = sc.getCheckpointDir()
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` as a table in the shared folder and read it back.
-
-    The plan of what follows starts at the table: no recomputation if an executor is lost,
-    and, unlike a checkpointed plan, no constraints that grow with every round of a loop.
-    """
-    path = f"{_shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._cut_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Delete a table made by `cut` that nothing reads any more."""
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
-    path = jvm.org.apache.hadoop.fs.Path(df._cut_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def let(value: Column, body) -> Column:
     """Evaluate `value` once per row and hand it to `body` as a bound variable."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

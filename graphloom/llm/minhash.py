@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, read
 from .components import components
+from .pairwise import blocks_of_pairs
 from .shingles import byte_column, mix, shingles, slices, weighted, words
 
 BANDS, ROWS = 20, 4
@@ -106,16 +107,16 @@ def _set_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by b, so each b is taken apart once."""
-    last, known = None, None
+    """Rows of blocks_of_pairs: b's text, then its partners'."""
+    known = None
     for batch in batches:
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        ta, tb = batch.column("text_a"), batch.column("text_b")
+        texts, kinds = batch.column("text"), batch.column("kind").to_pylist()
         keep = []
-        for k in range(len(a)):
-            if b[k] != last:
-                last, known = b[k], _set_of(tb[k].as_py().encode())
-            if probability_jaccard(_set_of(ta[k].as_py().encode()), known) >= SIMILARITY:
+        for k, kind in enumerate(kinds):
+            own = _set_of(texts[k].as_py().encode())
+            if kind == 0:
+                known = own
+            elif probability_jaccard(own, known) >= SIMILARITY:
                 keep.append(k)
         at = pa.array(keep, pa.int32())
         yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], ["a", "b"])
@@ -123,10 +124,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of digests whose texts are similar."""
-    ta = texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a"))
-    tb = texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b"))
-    full = pairs.join(ta, "a").join(tb, "b").select("a", "b", "text_a", "text_b").sortWithinPartitions("b")
-    return full.mapInArrow(_verify, "a binary, b binary")
+    blocks = blocks_of_pairs(pairs, texts.select(F.col("digest").alias("id"), "text"), [])
+    return blocks.mapInArrow(_verify, "a binary, b binary")
 
 
 def _stars(members: DataFrame, salt: int) -> DataFrame:
@@ -166,8 +165,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         else:
             x, y = still.select("bucket", F.col("node").alias("a"), F.col("label").alias("la")), still.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
             pairs = x.join(y, "bucket").where("la <> lb AND a < b").select("a", "b").distinct()
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+        pairs = cut(pairs)
         new = cut(_verified(pairs, texts))
         links = new if links is None else links.unionByName(new)
         tested = pairs if tested is None else tested.unionByName(pairs)

@@ -13,7 +13,7 @@ import pyarrow as pa
 
 K = 5
 #: Texts are worked on in slices of about so many bytes (a longer text is a slice by itself).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
