@@ -8,13 +8,17 @@ comparison, and equal surroundings are compared once:
 
 1. each text emits its anchors: hash, place, and a hash of the surroundings (every byte of
    every string that could have this anchor);
-2. anchors found once are dropped; where all surroundings of an anchor are equal, they are
-   repeated in full;
-3. of each different surroundings one copy is fetched; those of one anchor meet in a task,
-   which orders their suffixes by Lyndon grouping (suffixes.py) and compares neighbours;
-4. an anchor with more than GROUP_MAX different surroundings does not meet in one task:
-   the strings of its surroundings are hashed (128 bits) and counted by Spark, all of them;
-5. the ranges found go back to the texts, are merged and cut out.
+2. anchors found once are dropped; where equal surroundings are found at two places, they
+   are repeated in full;
+3. of each different surroundings one copy is read again. Its strings fall into LEVELS by how
+   far they start before the anchor; the strings of a level have MIDDLE bytes in common, which
+   are replaced by one mark, so a level is DEPTH bytes, the mark, DEPTH bytes;
+4. levels of one anchor with equal middles meet in a task. A level that meets no other is
+   done; different ones are ordered by suffixes (Lyndon grouping, suffixes.py), and
+   neighbours that agree on DEPTH + 1 symbols are repeated strings;
+5. where more than GROUP_MAX different levels would meet, they are not ordered in one task:
+   the strings of those levels are hashed (128 bits) and counted by Spark, all of them;
+6. the ranges found go back to the texts, are merged and cut out.
 
 Texts are known by a 64-bit hash and their length; hashes of anchors and surroundings
 have 64 bits each, and both must agree. Copies of a text are one text with a count.
@@ -34,15 +38,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, drop, read
 from .shingles import _TABLE, byte_column, mix, slices
 from .suffixes import suffix_order
 
 WIDTH = 200
 Q = 64
 BEFORE = WIDTH - Q
-GROUP_MAX = 512
-#: Surroundings are ordered together in buffers of about so many bytes.
+LEVELS, DEPTH = 4, BEFORE // 4
+MIDDLE = WIDTH - DEPTH
+MARK = b"\xff"  # in no UTF-8 text
+GROUP_MAX = 4096
+#: Levels are ordered together in buffers of about so many bytes.
 BUFFER_BYTES = 1 << 16
 _U = np.uint64
 _STEP = 0x9E3779B97F4A7C15 | 1
@@ -127,54 +134,63 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Surroundings of the wanted places of each text."""
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, around, k, middle, level) for the wanted places of each text: the hash of the middle,
+    and the bytes before it, the mark, and the bytes after it."""
     for batch in batches:
         data, offsets = byte_column(batch.column("text"))
-        raw = data.tobytes()
-        h, around, low, out = [], [], [], []
-        for k, places in enumerate(batch.column("wanted").to_pylist()):
-            b, e = int(offsets[k]), int(offsets[k + 1])
-            for x in places:
-                s = max(0, x["at"] - BEFORE)
-                h.append(x["h"])
-                around.append(x["around"])
-                low.append(s - x["at"])
-                out.append(raw[b + s : min(e, b + x["at"] + WIDTH)])
-        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(around, pa.int64()), pa.array(low, pa.int32()), pa.array(out, pa.binary())], ["h", "around", "low", "bytes"])
-
-
-def repeated_starts(parts: list[bytes], anchor: list[int], low: list[int], width: int = WIDTH) -> list[list[int]]:
-    """For each string, the starts of its `width`-byte substrings found in another string too,
-    at the same place from the same anchor.
-
-    Strings of different anchors may be the same stretch of a text seen twice, so an equal
-    substring counts only if anchor and place from it (low + start) agree; equal substrings
-    of the corpus always have such an anchor in common.
-    """
+        wanted = batch.column("wanted")
+        for i, j in slices(offsets):
+            part = data[offsets[i] : offsets[j]]
+            local = offsets[i : j + 1] - offsets[i]
+            own = wanted.slice(i, j - i)
+            flat = own.flatten()
+            owner = np.repeat(np.arange(j - i), np.diff(own.offsets.to_numpy()))
+            h, around = flat.field("h"), flat.field("around")
+            at = flat.field("at").to_numpy().astype(np.int64) + local[owner]
+            low, high = local[owner], local[owner + 1]
+            roll, raw = Rolling(part), part.tobytes()
+            for k in range(LEVELS):
+                s, e = at - k * DEPTH, at + MIDDLE - k * DEPTH
+                fits = np.flatnonzero((s >= low) & (e <= high))
+                s, e = s[fits], e[fits]
+                s0, e1 = np.maximum(s - DEPTH, low[fits]), np.minimum(e + DEPTH, high[fits])
+                level = [raw[a:b] + MARK + raw[c:d] for a, b, c, d in zip(s0.tolist(), s.tolist(), e.tolist(), e1.tolist(), strict=True)]
+                take = pa.array(fits)
+                yield pa.RecordBatch.from_arrays(
+                    [h.take(take), around.take(take), pa.array(np.full(len(fits), k, np.int32)), pa.array(roll.of(s, e).view(np.int64)), pa.array(level, pa.binary())],
+                    ["h", "around", "k", "middle", "level"],
+                )
+
+
+def repeated_starts(levels: list[bytes], group: list[int], width: int = DEPTH + 1) -> list[list[int]]:
+    """For each string, the starts of its `width`-symbol substrings around the mark that are found
+    in another string of its group, by suffix order."""
     bounds = [0]
-    for p in parts:
+    for p in levels:
         bounds.append(bounds[-1] + len(p))
-    data = b"".join(parts)
-    owner = np.repeat(np.arange(len(parts)), np.diff(bounds))
+    data = b"".join(levels)
+    owner = np.repeat(np.arange(len(levels)), np.diff(bounds))
     order = np.array(suffix_order(data, bounds), np.int64)
-    room = np.array(bounds)[owner[order] + 1] - order >= width
-    out: list[list[int]] = [[] for _ in parts]
+    begin = np.array(bounds)
+    mark = np.array([p.index(MARK) for p in levels])
+    inside = order - begin[owner[order]]
+    order = order[(begin[owner[order] + 1] - order >= width) & (inside <= mark[owner[order]])]
+    out: list[list[int]] = [[] for _ in levels]
     run: list[int] = []
 
     def close() -> None:
         if len(run) > 1:
-            met: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            met: dict[int, list[int]] = {}
             for i in run:
-                o = int(owner[i])
-                met.setdefault((anchor[o], low[o] + i - bounds[o]), []).append((o, i - bounds[o]))
+                met.setdefault(group[owner[i]], []).append(i)
             for places in met.values():
                 if len(places) > 1:
-                    for o, start in places:
-                        out[o].append(start)
+                    for i in places:
+                        out[owner[i]].append(i - bounds[owner[i]])
 
     last = b""
-    for i in order[room].tolist():
+    for i in order.tolist():
         own = data[i : i + width]
         if own != last:
             close()
@@ -192,49 +208,117 @@ def _runs(starts: list[int]) -> list[tuple[int, int]]:
     return list(zip(x[np.concatenate([[0], gap + 1])].tolist(), x[np.concatenate([gap, [len(x) - 1]])].tolist(), strict=True))
 
 
-_FOUND = "h long, around long, first int, last int"
+_FOUND = "h long, around long, first int, last int, k int, middle long, level binary"
+_FOUND_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+_FOUND_NAMES = ["h", "around", "first", "last", "k", "middle", "level"]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(_FOUND_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _FOUND_TYPES, strict=True)], _FOUND_NAMES)
+
+
+def _range(k: int, level: bytes, start: int) -> int:
+    """Where the string starts, from the anchor, whose level has the substring at `start`."""
+    return -(k * DEPTH + level.index(MARK) - start)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by anchor; whole anchors fill a buffer, which is ordered at once."""
-    keys: list[tuple[int, int, int]] = []
-    parts: list[bytes] = []
-    size, last = 0, None
-
-    def flush() -> pa.RecordBatch:
-        out = []
-        for (h, around, low), starts in zip(keys, repeated_starts(parts, [k[0] for k in keys], [k[2] for k in keys]), strict=True):
-            if starts:
-                out += [(h, around, low + a, low + b) for a, b in _runs(starts)]
-        cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["h", "around", "first", "last"])
+    """Rows come sorted by h, k, middle, level. Yields ranges of starts (first..last, from the
+    anchor), and, with `level` set, the rows of groups too large for one task."""
+    levels: list[bytes] = []  # different levels that wait for their order
+    group: list[int] = []
+    members: list[list[int]] = []  # the surroundings of each
+    keys: list[tuple[int, int]] = []
+    size = 0
+    now: tuple | None = None
+    held: list[tuple[bytes, list[int]]] = []
+    large = False
+    rows: list[tuple] = []
+
+    def whole(key: tuple, level: bytes, arounds: list[int]) -> None:
+        h, k, _ = key
+        a = level.index(MARK)
+        last = len(level) - DEPTH - 1  # the last start of a full substring
+        if last >= 0 and a >= 0:
+            lo, hi = _range(k, level, 0), _range(k, level, min(a, last))
+            rows.extend((h, x, lo, hi, None, None, None) for x in arounds)
+
+    def close() -> None:
+        """The group `now` is complete."""
+        nonlocal size
+        for level, arounds in held:
+            if len(arounds) > 1:
+                whole(now, level, arounds)
+        if len(held) > 1:
+            for level, arounds in held:
+                if len(arounds) == 1:
+                    levels.append(level)
+                    members.append(arounds)
+                else:  # its strings are known to be repeated; it is there for the others
+                    levels.append(level)
+                    members.append([])
+                group.append(len(keys))
+                size += len(level)
+            keys.append(now[:2])
+        held.clear()
+
+    def flush() -> None:
+        nonlocal size
+        for level, g, arounds, starts in zip(levels, group, members, repeated_starts(levels, group), strict=True):
+            if starts and arounds:
+                h, k = keys[g]
+                rows.extend((h, x, _range(k, level, a), _range(k, level, b), None, None, None) for a, b in _runs(starts) for x in arounds)
+        for x in (levels, group, members, keys):
+            x.clear()
+        size = 0
+
+    def spill() -> None:
+        h, k, middle = now
+        rows.extend((h, x, None, None, k, middle, level) for level, arounds in held for x in arounds)
+        held.clear()
 
     for batch in batches:
-        for h, around, low, b in zip(*(batch.column(c).to_pylist() for c in ("h", "around", "low", "bytes")), strict=True):
-            if h != last and size >= BUFFER_BYTES:
-                yield flush()
-                keys.clear()
-                parts.clear()
-                size = 0
-            keys.append((h, around, low))
-            parts.append(b)
-            size += len(b)
-            last = h
-    if keys:
-        yield flush()
+        for h, around, k, middle, level in zip(*(batch.column(c).to_pylist() for c in ("h", "around", "k", "middle", "level")), strict=True):
+            key = (h, k, middle)
+            if key != now:
+                if now is not None and not large:
+                    close()
+                now, large = key, False
+                if size >= BUFFER_BYTES:
+                    flush()
+                if len(rows) > 20_000:
+                    yield _batch(rows)
+                    rows = []
+            if large:
+                rows.append((h, around, None, None, k, middle, level))
+                continue
+            if held and held[-1][0] == level and len(held[-1][1]) < GROUP_MAX:
+                held[-1][1].append(around)
+            else:
+                held.append((level, [around]))
+            if len(held) > GROUP_MAX:
+                spill()
+                large = True
+    if now is not None and not large:
+        close()
+    if levels:
+        flush()
+    yield _batch(rows)
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """128-bit hashes of all strings of the surroundings, for anchors with very many of them."""
+    """128-bit hashes of all substrings around the mark, for levels of large groups."""
     for batch in batches:
-        for h, around, low, b in zip(*(batch.column(c).to_pylist() for c in ("h", "around", "low", "bytes")), strict=True):
-            data = np.frombuffer(b, np.uint8)
-            start = np.arange(max(0, len(data) - WIDTH + 1))
-            one, two = Rolling(data).of(start, start + WIDTH), Rolling(data, 77).of(start, start + WIDTH)
+        for h, around, k, middle, level in zip(*(batch.column(c).to_pylist() for c in ("h", "around", "k", "middle", "level")), strict=True):
+            data = np.frombuffer(level, np.uint8)
+            start = np.arange(max(0, min(level.index(MARK), len(level) - DEPTH - 1) + 1))
+            one, two = Rolling(data).of(start, start + DEPTH + 1), Rolling(data, 77).of(start, start + DEPTH + 1)
             n = len(start)
+            first = np.array([_range(k, level, x) for x in start.tolist()], np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.full(n, h, np.int64)), pa.array(np.full(n, around, np.int64)), pa.array((start + low).astype(np.int32))],
-                ["one", "two", "h", "around", "first"],
+                [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.full(n, h, np.int64)), pa.array(np.full(n, around, np.int64)), pa.array(np.full(n, middle, np.int64)), pa.array(first, pa.int32())],
+                ["one", "two", "h", "around", "middle", "first"],
             )
 
 
@@ -274,33 +358,35 @@ def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text, F.octet_length(text)).alias("tid"))
     long = rows.where(F.octet_length("text") >= WIDTH)
-    copies = long.groupBy("tid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("one"))
+    copies = cut(long.groupBy("tid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("one")))
     found = cut(long.select("text", "tid").mapInArrow(_emit, "h long, tid long, at int, around long"))
-    place = F.struct("tid", "at")
-    twice = found.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.min("around").alias("a"), F.max("around").alias("b")).where("lo <> hi").select("h", (F.col("a") != F.col("b")).alias("mixed"))
-    again = cut(found.join(twice, "h").distinct())
+    # one shuffle by anchor: what follows groups by it and by finer keys
+    by_anchor = found.repartition("h").groupBy("h", "around", "tid", "at").agg(F.lit(1).alias("_"))
+    each = by_anchor.groupBy("h", "around").agg(F.count(F.lit(1)).alias("places"), F.min(F.struct("tid", "at")).alias("rep"))
+    whole = each.groupBy("h").agg(F.count(F.lit(1)).alias("contexts"), F.sum("places").alias("n")).where("n > 1").select("h", "contexts")
+    again = by_anchor.join(each.join(whole, "h"), ["h", "around"])
+    again = cut(again.select("h", "around", "tid", "at", (F.col("places") > 1).alias("full"), (F.col("contexts") > 1).alias("mixed"), (F.struct("tid", "at") == F.col("rep")).alias("is_rep")))
+    drop(found)
     # surroundings found at two places or more are repeated in full
-    kinds = cut(again.where("mixed").groupBy("h", "around").agg(F.min(place).alias("lo"), F.max(place).alias("hi")))
-    same = again.where("NOT mixed").select("tid", (F.col("at") - BEFORE).alias("start"), (F.col("at") + WIDTH).alias("end"))
-    full = kinds.where("lo <> hi").select("h", "around")
-    full = again.where("mixed").join(full, ["h", "around"]).select("tid", (F.col("at") - BEFORE).alias("start"), (F.col("at") + WIDTH).alias("end"))
+    full = again.where("full").select("tid", (F.col("at") - BEFORE).alias("start"), (F.col("at") + WIDTH).alias("end"))
     # one place of each different surroundings
-    wanted = kinds.select("h", "around", F.col("lo.tid").alias("tid"), F.col("lo.at").alias("at"))
-    wanted = wanted.groupBy("tid").agg(F.collect_list(F.struct("h", "around", "at")).alias("wanted"))
+    wanted = again.where("mixed AND is_rep").groupBy("tid").agg(F.collect_list(F.struct("h", "around", "at")).alias("wanted"))
     wanted = wanted.join(copies.select("tid", F.col("one").alias("doc_id")), "tid")
-    fetched = long.join(wanted, ["tid"], "inner").where(long["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "wanted")
-    fetched = cut(fetched.mapInArrow(_fetch, "h long, around long, low int, bytes binary").dropDuplicates(["h", "around"]))
-    sizes = fetched.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    sized = fetched.join(sizes, "h")
-    small = sized.where(F.col("n") <= GROUP_MAX).select("h", "around", "low", "bytes").sortWithinPartitions("h").mapInArrow(_compare, _FOUND)
-    each = sized.where(F.col("n") > GROUP_MAX).select("h", "around", "low", "bytes").mapInArrow(_strings, "one long, two long, h long, around long, first int")
-    string = ["one", "two", "h", "first"]
-    twice = each.groupBy(*string).agg(F.min("around").alias("lo"), F.max("around").alias("hi")).where("lo <> hi").select(*string)
-    large = each.join(twice, string).select("h", "around", "first", F.col("first").alias("last"))
-    partial = cut(small.unionByName(large).distinct())
-    partial = again.join(partial, ["h", "around"]).select("tid", (F.col("at") + F.col("first")).alias("start"), (F.col("at") + F.col("last") + WIDTH).alias("end"))
-    ranges = same.unionByName(full).unionByName(partial).distinct()
-    ranges = ranges.groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    chosen = long.join(wanted, "tid").where(long["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "wanted")
+    levels = chosen.mapInArrow(_levels, "h long, around long, k int, middle long, level binary")
+    # rows of one id and text give the same levels twice
+    levels = levels.repartition("h", "k", "middle").dropDuplicates(["h", "k", "middle", "level", "around"])
+    compared = cut(levels.sortWithinPartitions("h", "k", "middle", "level").mapInArrow(_compare, _FOUND))
+    partial = compared.where("level IS NULL").select("h", "around", "first", "last")
+    large = compared.where("level IS NOT NULL")
+    if not large.isEmpty():
+        strings = large.select("h", "around", "k", "middle", "level").mapInArrow(_strings, "one long, two long, h long, around long, middle long, first int")
+        key = ["one", "two", "h", "middle", "first"]
+        twice = strings.groupBy(*key).agg(F.min("around").alias("lo"), F.max("around").alias("hi")).where("lo <> hi").select(*key)
+        partial = partial.unionByName(strings.join(twice, key).select("h", "around", "first", F.col("first").alias("last")))
+    partial = again.where("mixed AND NOT full").join(partial, ["h", "around"]).select("tid", (F.col("at") + F.col("first")).alias("start"), (F.col("at") + F.col("last") + WIDTH).alias("end"))
+    ranges = full.unionByName(partial)
+    ranges = ranges.groupBy("tid", "start").agg(F.max("end").alias("end")).groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     return rows, ranges.join(copies.where("copies > 1").select("tid", "copies"), "tid", "full")
 
 
