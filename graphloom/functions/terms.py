@@ -11,6 +11,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 LOCAL = "urn:local:"
@@ -128,13 +129,13 @@ def local_name(iri: str) -> str:
     return iri if name is None else name
 
 
-@pandas_udf("struct<lexical:string,lang:string,datatype:string>")
+@pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in ("lexical", "lang", "datatype")]))
 def literal_parts(c: pd.Series) -> pd.DataFrame:
     rows = [parse_literal(x) or (None, None, None) for x in c]
     return pd.DataFrame(rows, columns=["lexical", "lang", "datatype"])
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def decode_local_iri(c: pd.Series) -> pd.Series:
     return c.map(lambda x: None if x is None else local_name(x))
 
