@@ -10,10 +10,11 @@ by the exact probability Jaccard of its whole shingle sets. Classes are the conn
 components of verified links.
 
 Equal texts are collapsed first (one digest each), so a group of copies costs one row. A
-bucket of a band never emits all pairs: its texts are compared with a centre; buckets
-whose texts are then in one component are settled, the others get new centres, and what
-is still open after STAR_ROUNDS (small buckets, or texts that no centre explains) is
-compared between different components, all of it. So no bucket is capped.
+bucket of a band never emits all pairs. Its texts are first set against a few centres;
+buckets whose texts are then in one component are settled. What is still open is compared
+by whole signatures, in blocks of at most UNIT texts on a side: only pairs of different
+components whose signatures agree in PROMISING of the registers (more than three standard
+errors below SIMILARITY) become rows. All such pairs are verified; no bucket is capped.
 
 Edge cases: a null text is a class of its own (its doc_id); equal texts are one class,
 empty ones too; a text of fewer than five words has one shingle of all its words; rows
@@ -39,7 +40,9 @@ from .shingles import byte_column, mix, shingles, slices, weighted, words
 BANDS, ROWS = 20, 4
 M = BANDS * ROWS
 SIMILARITY = 0.8
-STAR_ROUNDS = 3
+STAR_ROUNDS, CENTRES = 2, 4
+PROMISING = 0.64
+UNIT = 1024
 _U = np.uint64
 
 
@@ -81,7 +84,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = per > 0
             ends = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(key[some].ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("digest").slice(i, j - i), bands], ["doc_id", "digest", "bands"])
+            short = pa.array([x.tobytes() for x in sig.reshape(j - i, M).astype(np.uint16)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("digest").slice(i, j - i), bands, short], ["doc_id", "digest", "bands", "sig"])
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -129,12 +133,76 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _stars(members: DataFrame, salt: int) -> DataFrame:
-    """Pairs (a, b) of each bucket's members with the bucket's centre, b."""
-    order = F.struct(F.xxhash64("node", F.lit(salt)).alias("o"), F.col("node").alias("c"))
+    """Pairs (a, b) of each bucket's members with the bucket's centre, b. Buckets fall into CENTRES
+    classes with orders of their own, so a group of near copies meets that many centres."""
+    kind = F.pmod(F.col("bucket"), F.lit(CENTRES))
+    order = F.struct(F.xxhash64("node", F.lit(salt), kind).alias("o"), F.col("node").alias("c"))
     centres = members.groupBy("bucket").agg(F.min(order).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", F.col("c.c").alias("b"))
     return members.join(centres, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
+def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose signatures promise enough."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, M) for c in ("sig_a", "sig_b"))
+        at = pa.array(np.flatnonzero((x == y).mean(axis=1) >= PROMISING))
+        yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], ["a", "b"])
+
+
+def _promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    sig = lambda c: nodes.select(F.col("digest").alias(c), F.col("sig").alias(f"sig_{c}"))
+    return pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_agree, "a binary, b binary")
+
+
+def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (bucket, i, j, side): promising pairs of different components, within a
+    block (i = j) or between two blocks."""
+    now, rows = None, []
+
+    def pairs() -> tuple[list, list]:
+        sig = np.frombuffer(b"".join(r[2] for r in rows), np.uint16).reshape(-1, M)
+        names: dict[bytes, int] = {}
+        label = np.array([names.setdefault(r[1], len(names)) for r in rows])
+        side = np.array([r[3] for r in rows])
+        a, b = [], []
+        for k in range(len(rows)):
+            if now[1] == now[2]:
+                other = np.arange(k + 1, len(rows))
+            elif side[k] == 0:
+                other = np.flatnonzero(side == 1)
+            else:
+                continue
+            other = other[label[other] != label[k]]
+            for x in other[(sig[other] == sig[k]).mean(axis=1) >= PROMISING].tolist():
+                a.append(rows[k][0])
+                b.append(rows[x][0])
+        return a, b
+
+    for batch in batches:
+        out: tuple[list, list] = ([], [])
+        for bucket, i, j, side, node, label, sig in zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", "side", "node", "label", "sig")), strict=True):
+            if (bucket, i, j) != now:
+                if len(rows) > 1:
+                    for x, y in zip(out, pairs(), strict=True):
+                        x.extend(y)
+                now, rows = (bucket, i, j), []
+            rows.append((node, label, sig, side))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], ["a", "b"])
+    if len(rows) > 1:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in pairs()], ["a", "b"])
+
+
+def _blocks(still: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Promising pairs (a, b) of open buckets; a bucket of many blocks is dealt to a task a pair of blocks."""
+    parts = F.ceil(F.col("n") / UNIT).cast("int")
+    m = still.join(nodes.select(F.col("digest").alias("node"), "sig"), "node").withColumn("parts", parts)
+    m = m.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    m = m.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    m = m.select("bucket", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") > F.col("o")).cast("int").alias("side"), "node", "label", "sig")
+    m = m.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
+    return m.mapInArrow(_block_pairs, "a binary, b binary").distinct()
+
+
 def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
@@ -149,34 +217,29 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(signed rows, (digest, class_id)) of a table of documents."""
     rows = docs.select("doc_id", F.unhex(F.md5("text")).alias("digest"), "text")
-    signed = cut(rows.where(F.col("text").isNotNull()).mapInArrow(_sign, "doc_id long, digest binary, bands array<long>"))
-    nodes = signed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    signed = cut(rows.where(F.col("text").isNotNull()).mapInArrow(_sign, "doc_id long, digest binary, bands array<long>, sig binary"))
+    nodes = cut(signed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     members = nodes.select(F.col("digest").alias("node"), F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = cut(members.join(shared, "bucket"))
-    needed = members.select(F.col("node").alias("digest")).distinct()
-    # only texts that share a band with another one are read again; copies of a text are one row
-    texts = cut(rows.join(needed, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")))
     links = tested = None
     labels, still = None, members
     for r in range(STAR_ROUNDS + 1):
-        if r < STAR_ROUNDS:
-            pairs = _stars(still, r)
-        else:
-            x, y = still.select("bucket", F.col("node").alias("a"), F.col("label").alias("la")), still.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
-            pairs = x.join(y, "bucket").where("la <> lb AND a < b").select("a", "b").distinct()
+        pairs = _promising(_stars(still, r), nodes) if r < STAR_ROUNDS else _blocks(still, nodes)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
         pairs = cut(pairs)
-        new = cut(_verified(pairs, texts))
+        # only texts of promising pairs are read again; copies of a text are one row
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+        texts = rows.join(needed, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+        new = cut(_verified(pairs, cut(texts)))
         links = new if links is None else links.unionByName(new)
         tested = pairs if tested is None else tested.unionByName(pairs)
         labels = components(links)
         if r < STAR_ROUNDS:
-            still = cut(_open(members, labels))
             # a bucket of two texts has been compared in full
-            still = still.where("n > 2")
-            if not still.limit(1).count():
+            still = cut(_open(members, labels).where("n > 2"))
+            if still.isEmpty():
                 break
     labels = _labelled(nodes.select(F.col("digest").alias("node"), "doc_id"), labels)
     least = labels.groupBy("label").agg(F.min("doc_id").alias("class_id"))
