@@ -248,7 +248,7 @@ def fit(x: np.ndarray, y: np.ndarray, lexicon: Lexicon) -> Model:
         start = np.zeros(len(FEATURES) + 1)
         start[0], start[-1] = 4.0, -2.0
         return Model(lexicon, np.zeros(len(FEATURES)), np.ones(len(FEATURES)), start)
-    mean, scale = x.mean(0), x.std(0) + 1e-6
+    mean, scale = x.mean(0), np.maximum(x.std(0), 0.25)  # a feature that hardly varies must not decide
     z = np.column_stack([np.clip((x - mean) / scale, -8, 8), np.ones(len(y))])
     w = np.zeros(z.shape[1])
     ridge = np.full(len(w), 1e-2 * len(y) ** 0.5)
