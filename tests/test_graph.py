@@ -149,14 +149,6 @@ def test_closeness_closed_forms(spark):
     near(f(edges(spark, "AB", "BC", "DE"), True), {"A": 1 / 3, "B": 0.5, "C": 1 / 3, "D": 0.25, "E": 0.25})
 
 
-def test_large_graph_path_of_breadth_first_walks(spark, monkeypatch):
-    k = edges(spark, "AB", "BC", "CA", "CD", "DE", "AE", "EB")
-    want_b, want_c = scores(centrality.betweenness_centrality(k)), scores(centrality.closeness_centrality(k))
-    monkeypatch.setattr(centrality, "KERNEL_EDGES", 0)
-    near(scores(centrality.betweenness_centrality(k)), want_b)
-    near(scores(centrality.closeness_centrality(k)), want_c)
-
-
 def test_katz_eigenvector_hits(spark):
     k = centrality.katz_centrality(edges(spark, "AB", "BC"), normalized=False).scores
     near(scores(k), {"A": 1, "B": 1.1, "C": 1.11})
