@@ -41,6 +41,24 @@ def suffix_order(data: bytes, bounds: list[int]) -> list[int]:
     high = n
     while high:
         low = group_of[order[high - 1]]
+        if high - low == 1:  # most groups: one suffix points to one other
+            i = order[low]
+            p = before[i]
+            while p >= 0 and group_of[p] >= low:
+                p = before[p]
+            before[i] = p
+            if p >= 0:
+                g = group_of[p]
+                e = end_of[g]
+                if e - g > 1:
+                    to = e - 1
+                    a, x = place[p], order[to]
+                    order[a], place[x] = x, a
+                    order[to], place[p] = p, to
+                    end_of[g], end_of[to] = to, e
+                    group_of[p] = to
+            high = low
+            continue
         points: dict[int, int] = {}
         for k in range(low, high):
             i = order[k]
@@ -87,8 +105,7 @@ def suffix_order(data: bytes, bounds: list[int]) -> list[int]:
     head = bytearray(n + 1)
     for b in bounds:
         head[b] = 1
-    for k in range(n):
-        j = out[k]
+    for j in out:  # filled ahead of the reading place
         if head[j]:
             continue  # nothing stands before a string's first byte
         s, stop = j - 1, before[j]
