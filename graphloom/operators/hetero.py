@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import KnowledgeGraph
@@ -128,3 +128,17 @@ class HeteroGraph:
         key = F.concat(F.col("src_type"), F.lit("->"), F.col("dst_type"), F.lit(":"), F.col("relation"))
         n = self.node_counts().select(F.lit("node").alias("kind"), F.col("node_type").alias("key"), "n")
         return n.unionByName(self.edge_counts().select(F.lit("edge").alias("kind"), key.alias("key"), "n"))
+
+    def save(self, folder: str) -> None:
+        self.nodes.write.parquet(f"{folder}/nodes")
+        self.edges.write.parquet(f"{folder}/edges")
+
+    @staticmethod
+    def load(spark: SparkSession, folder: str) -> HeteroGraph:
+        return HeteroGraph(spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/edges"))
+
+
+def reverse_edge_type(edge_type: tuple[str, str, str]) -> tuple[str, str, str]:
+    """Ends swapped and `rev_` before the relation; twice is not the type again."""
+    s, r, d = edge_type
+    return d, f"rev_{r}", s

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..model import KnowledgeGraph
 from ..sources import documents, lines
 from . import graphs as g
+from .cut import shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -121,3 +124,47 @@ def _(spark, d):
 def _(spark, d):
     nodes = _document(spark, d).jsonld_nodes()
     return nodes.agg(F.count(F.lit(1)).cast("int").alias("n"), F.count_if(F.col("value").contains("region:") & F.col("value").contains("nation:")).cast("int").alias("links"))
+
+
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query("csv_two_col", f"WITH {_T} SELECT s AS subject, 'related_to' AS predicate, o AS object FROM t WHERE p = 'in_region'")
+def _(spark, d):
+    at = _folder(spark)
+    g.tpch(spark, d, ["in_region"]).triples.select(F.concat_ws(",", "subject", F.concat(F.lit('"'), "object", F.lit('"')))).write.text(at)
+    return lines.read_csv(spark, at).triples.select("subject", "predicate", "object")
+
+
+@query("csv_three_col", f"WITH {_T} SELECT s AS subject, p AS predicate, o AS object FROM t WHERE p <> 'customer_in'")
+def _(spark, d):
+    at = _folder(spark)
+    g.tpch(spark, d, ["in_region", "supplier_in"]).triples.select(F.concat_ws(",", "subject", "predicate", "object")).write.text(at)
+    return lines.read_csv(spark, at).triples.select("subject", "predicate", "object")
+
+
+@query("kge_files", f"SELECT 'train' AS split, s AS head, p AS relation, o AS tail FROM ({g.handoff_sql(g.SCC)})")
+def _(spark, d):
+    at = _folder(spark)
+    g.handoff(spark, d, g.SCC).triples.select(F.concat_ws("\t", "subject", "predicate", "object")).write.text(at)
+    return lines.read_kge_split(spark, at).select("split", "head", "relation", "tail")
+
+
+@query("binary_roundtrip", f"WITH t AS ({g.handoff_sql()}) SELECT seq, s AS subject, p AS predicate, o AS object, (seq % 10 / 10)::FLOAT AS confidence FROM t")
+def _(spark, d):
+    at = _folder(spark)
+    lines.save(g.handoff(spark, d), at)
+    return lines.load(spark, at).triples.select("seq", "subject", "predicate", "object", "confidence")
+
+
+@query("hetero_files", "SELECT 'nation' AS node_type, count(*) AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region")
+def _(spark, d):
+    from ..operators.hetero import HeteroGraph
+
+    t = g.tpch(spark, d, ["in_region"]).triples
+    kind = lambda c: F.substring_index(c, ":", 1)
+    h = HeteroGraph.build(t.select("seq", kind("subject").alias("src_type"), F.col("subject").alias("src"), F.col("predicate").alias("relation"), kind("object").alias("dst_type"), F.col("object").alias("dst")))
+    at = _folder(spark)
+    h.save(at)
+    return HeteroGraph.load(spark, at).node_counts()
