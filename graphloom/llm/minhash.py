@@ -215,7 +215,7 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(signed rows, (digest, class_id)) of a table of documents."""
+    """(signed rows, (digest, label, class_id)) of a table of documents; a label is a class."""
     rows = docs.select("doc_id", F.unhex(F.md5("text")).alias("digest"), "text")
     signed = cut(rows.where(F.col("text").isNotNull()).mapInArrow(_sign, "doc_id long, digest binary, bands array<long>, sig binary"))
     nodes = cut(signed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
@@ -243,7 +243,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 break
     labels = _labelled(nodes.select(F.col("digest").alias("node"), "doc_id"), labels)
     least = labels.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return signed, labels.join(least, "label").select(F.col("node").alias("digest"), "class_id")
+    return signed, labels.join(least, "label").select(F.col("node").alias("digest"), "label", "class_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -263,7 +263,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     signed, by_digest = classes(docs)
     # the row to keep: the text that holds the class's least doc_id, one row of it
     keep = signed.select("doc_id", "digest").join(by_digest, "digest").where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    keep = keep.groupBy("class_id").agg(F.min("digest").alias("digest")).select(F.col("class_id").alias("_id"), F.col("digest").alias("_digest"))
-    tagged = docs.withColumn("_digest", F.unhex(F.md5("text")))
-    kept = tagged.where(F.col("text").isNotNull()).join(keep, (tagged["doc_id"].eqNullSafe(keep["_id"])) & (tagged["_digest"] == keep["_digest"]), "left_semi")
-    return kept.drop("_digest").dropDuplicates(["doc_id", "text"]).select(*columns).unionByName(docs.where(F.col("text").isNull()))
+    keep = keep.groupBy("label").agg(F.min("digest").alias("_digest"), F.first("class_id").alias("_id")).drop("label")
+    # a class has one digest here, so the join and the choice of one row share a shuffle
+    tagged = docs.where(F.col("text").isNotNull()).withColumn("_digest", F.unhex(F.md5("text")))
+    kept = tagged.join(keep, "_digest").where(F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["_digest"])
+    return kept.select(*columns).unionByName(docs.where(F.col("text").isNull()))
