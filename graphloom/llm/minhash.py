@@ -12,9 +12,11 @@ components of verified links.
 Equal texts are collapsed first (one digest each), so a group of copies costs one row. A
 bucket of a band never emits all pairs. Its texts are first set against a few centres;
 buckets whose texts are then in one component are settled. What is still open is compared
-by whole signatures, in blocks of at most UNIT texts on a side: only pairs of different
-components whose signatures agree in PROMISING of the registers (more than three standard
-errors below SIMILARITY) become rows. All such pairs are verified; no bucket is capped.
+by whole signatures, in blocks of at most UNIT texts on a side, twice: first each text of a
+block is verified against the NEAREST of other components, which joins dense groups; then
+all pairs of texts still in different components are compared. Only pairs whose signatures
+agree in PROMISING of the registers (more than three standard errors below SIMILARITY)
+become rows, and all of those are verified; no bucket is capped.
 
 Edge cases: a null text is a class of its own (its doc_id); equal texts are one class,
 empty ones too; a text of fewer than five words has one shingle of all its words; rows
@@ -40,7 +42,7 @@ from .shingles import byte_column, mix, shingles, slices, weighted, words
 BANDS, ROWS = 20, 4
 M = BANDS * ROWS
 SIMILARITY = 0.8
-STAR_ROUNDS, CENTRES = 2, 4
+CENTRES, NEAREST = 4, 3
 PROMISING = 0.64
 UNIT = 1024
 _U = np.uint64
@@ -132,11 +134,11 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return blocks.mapInArrow(_verify, "a binary, b binary")
 
 
-def _stars(members: DataFrame, salt: int) -> DataFrame:
+def _stars(members: DataFrame) -> DataFrame:
     """Pairs (a, b) of each bucket's members with the bucket's centre, b. Buckets fall into CENTRES
     classes with orders of their own, so a group of near copies meets that many centres."""
     kind = F.pmod(F.col("bucket"), F.lit(CENTRES))
-    order = F.struct(F.xxhash64("node", F.lit(salt), kind).alias("o"), F.col("node").alias("c"))
+    order = F.struct(F.xxhash64("node", kind).alias("o"), F.col("node").alias("c"))
     centres = members.groupBy("bucket").agg(F.min(order).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", F.col("c.c").alias("b"))
     return members.join(centres, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
@@ -154,9 +156,17 @@ def _promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_agree, "a binary, b binary")
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _block_pairs(nearest: int | None):
     """Rows come sorted by (bucket, i, j, side): promising pairs of different components, within a
-    block (i = j) or between two blocks."""
+    block (i = j) or between two blocks; for each text the `nearest` ones only, or all (None)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _pairs_of_blocks(batches, nearest)
+
+    return run
+
+
+def _pairs_of_blocks(batches: Iterator[pa.RecordBatch], nearest: int | None) -> Iterator[pa.RecordBatch]:
     now, rows = None, []
 
     def pairs() -> tuple[list, list]:
@@ -166,16 +176,21 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = np.array([r[3] for r in rows])
         a, b = [], []
         for k in range(len(rows)):
+            # a pair is looked at from one side, unless each text looks for its nearest ones
             if now[1] == now[2]:
-                other = np.arange(k + 1, len(rows))
-            elif side[k] == 0:
-                other = np.flatnonzero(side == 1)
+                other = np.arange(0 if nearest else k + 1, len(rows))
+            elif side[k] == 0 or nearest:
+                other = np.flatnonzero(side != side[k])
             else:
                 continue
             other = other[label[other] != label[k]]
-            for x in other[(sig[other] == sig[k]).mean(axis=1) >= PROMISING].tolist():
-                a.append(rows[k][0])
-                b.append(rows[x][0])
+            share = (sig[other] == sig[k]).mean(axis=1)
+            good = np.flatnonzero(share >= PROMISING)
+            if nearest:
+                good = good[np.argsort(-share[good], kind="stable")[:nearest]]
+            for x in other[good].tolist():
+                a.append(min(rows[k][0], rows[x][0]))
+                b.append(max(rows[k][0], rows[x][0]))
         return a, b
 
     for batch in batches:
@@ -192,7 +207,7 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in pairs()], ["a", "b"])
 
 
-def _blocks(still: DataFrame, nodes: DataFrame) -> DataFrame:
+def _blocks(still: DataFrame, nodes: DataFrame, nearest: int | None) -> DataFrame:
     """Promising pairs (a, b) of open buckets; a bucket of many blocks is dealt to a task a pair of blocks."""
     parts = F.ceil(F.col("n") / UNIT).cast("int")
     m = still.join(nodes.select(F.col("digest").alias("node"), "sig"), "node").withColumn("parts", parts)
@@ -200,7 +215,7 @@ def _blocks(still: DataFrame, nodes: DataFrame) -> DataFrame:
     m = m.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     m = m.select("bucket", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") > F.col("o")).cast("int").alias("side"), "node", "label", "sig")
     m = m.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
-    return m.mapInArrow(_block_pairs, "a binary, b binary").distinct()
+    return m.mapInArrow(_block_pairs(nearest), "a binary, b binary").distinct()
 
 
 def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -224,8 +239,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = cut(members.join(shared, "bucket"))
     links = tested = None
     labels, still = None, members
-    for r in range(STAR_ROUNDS + 1):
-        pairs = _promising(_stars(still, r), nodes) if r < STAR_ROUNDS else _blocks(still, nodes)
+    for r in range(3):
+        pairs = _promising(_stars(still), nodes) if r == 0 else _blocks(still, nodes, NEAREST if r == 1 else None)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
         pairs = cut(pairs)
@@ -236,7 +251,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         links = new if links is None else links.unionByName(new)
         tested = pairs if tested is None else tested.unionByName(pairs)
         labels = components(links)
-        if r < STAR_ROUNDS:
+        if r < 2:
             # a bucket of two texts has been compared in full
             still = cut(_open(members, labels).where("n > 2"))
             if still.isEmpty():
