@@ -10,13 +10,13 @@ by the exact probability Jaccard of its whole shingle sets. Classes are the conn
 components of verified links.
 
 Equal texts are collapsed first (one digest each), so a group of copies costs one row. A
-bucket of a band never emits all pairs. Its texts are first set against a few centres;
-buckets whose texts are then in one component are settled. What is still open is compared
-by whole signatures, in blocks of at most UNIT texts on a side, twice: first each text of a
-block is verified against the NEAREST of other components, which joins dense groups; then
-all pairs of texts still in different components are compared. Only pairs whose signatures
-agree in PROMISING of the registers (more than three standard errors below SIMILARITY)
-become rows, and all of those are verified; no bucket is capped.
+bucket of a band never emits all pairs. Its texts are first set against a few centres, and
+pairs whose signatures agree in PROMISING of the registers (more than three standard errors
+below SIMILARITY) are verified. Buckets whose texts are then in one component are settled.
+In what is still open every pair of texts of different components is compared, in blocks of
+about UNIT texts on a side: an upper bound of the similarity of all pairs of a block comes
+from matrix products over its shingles, pairs above it are verified exactly, and only links
+that join two components of the block become rows; no bucket is capped.
 
 Edge cases: a null text is a class of its own (its doc_id); equal texts are one class,
 empty ones too; a text of fewer than five words has one shingle of all its words; rows
@@ -42,9 +42,11 @@ from .shingles import byte_column, mix, shingles, slices, weighted, words
 BANDS, ROWS = 20, 4
 M = BANDS * ROWS
 SIMILARITY = 0.8
-CENTRES, NEAREST = 4, 3
+CENTRES = 4
 PROMISING = 0.64
-UNIT = 1024
+UNIT, UNIT_BYTES = 1024, 1 << 24
+#: Shingles of at most FEW texts of a block are added pair by pair, others COLUMNS at a time.
+FEW, COLUMNS = 32, 2048
 _U = np.uint64
 
 
@@ -156,66 +158,97 @@ def _promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_agree, "a binary, b binary")
 
 
-def _block_pairs(nearest: int | None):
-    """Rows come sorted by (bucket, i, j, side): promising pairs of different components, within a
-    block (i = j) or between two blocks; for each text the `nearest` ones only, or all (None)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _pairs_of_blocks(batches, nearest)
-
-    return run
-
-
-def _pairs_of_blocks(batches: Iterator[pa.RecordBatch], nearest: int | None) -> Iterator[pa.RecordBatch]:
+def overlaps(text: np.ndarray, sh: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """(n, n): the share of text a's weight that lies on shingles of text b.
+
+    text, sh and weight hold the distinct shingles of n texts. Shingles of few texts are added
+    pair by pair, the others by matrix products, COLUMNS shingles at a time.
+    """
+    share = (weight / np.bincount(text, weight, n)[text]).astype(np.float32)
+    order = np.argsort(sh, kind="stable")
+    text, sh, share = text[order], sh[order], share[order]
+    _, column, df = np.unique(sh, return_inverse=True, return_counts=True)
+    out = np.zeros((n, n), np.float32)
+    few = (df[column] > 1) & (df[column] <= FEW)
+    t, c, w = text[few], column[few], share[few]
+    for d in range(1, FEW):
+        at = np.flatnonzero(c[d:] == c[:-d])
+        if not len(at):
+            break
+        np.add.at(out, (t[at], t[at + d]), w[at])
+        np.add.at(out, (t[at + d], t[at]), w[at + d])
+    many = df[column] > FEW
+    t, c, w = text[many], np.unique(column[many], return_inverse=True)[1], share[many]
+    for lo in range(0, int(c[-1]) + 1 if len(c) else 0, COLUMNS):
+        i, j = np.searchsorted(c, [lo, lo + COLUMNS])
+        dense = np.zeros((n, COLUMNS), np.float32)
+        dense[t[i:j], c[i:j] - lo] = w[i:j]
+        out += dense @ (dense > 0).astype(np.float32).T
+    return out
+
+
+def _links_of_block(nodes: list[bytes], labels: list[bytes], side: np.ndarray, texts: list[bytes], within: bool) -> tuple[list, list]:
+    """Links that join the components of a block's texts: pairs within it, or between its two sides.
+
+    With p(B) the share of a's weight on b's shingles, 1 / J_P >= 1 / p(B) + 1 / q(A) - 1 (equal
+    where no shingle is repeated), so pairs below SIMILARITY by this bound need no closer look.
+    """
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    h, _, _, counts = words(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    sh, _, per = shingles(h, counts)
+    text, sh, weight = weighted(sh, per)
+    ends = np.searchsorted(text, np.arange(len(texts) + 1))
+    share = overlaps(text, sh, weight, len(texts))
+    with np.errstate(divide="ignore"):
+        near = 1 / share + 1 / share.T - 1 <= 1 / SIMILARITY + 1e-3
+    known: dict[bytes, int] = {}
+    component = np.array([known.setdefault(x, len(known)) for x in labels])
+    own = lambda k: (sh[ends[k] : ends[k + 1]], weight[ends[k] : ends[k + 1]].astype(np.float64))
+    a, b = [], []
+    for k in range(len(texts)):
+        other = np.flatnonzero(near[k])
+        other = other[other > k] if within else other[side[other] > side[k]]
+        while len(other := other[component[other] != component[k]]):
+            x, other = int(other[0]), other[1:]
+            if probability_jaccard(own(k), own(x)) >= SIMILARITY:
+                component[component == component[x]] = component[k]
+                a.append(nodes[k])
+                b.append(nodes[x])
+    return a, b
+
+
+def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (bucket, i, j): a block (i = j), or two blocks (sides 0 and 1)."""
     now, rows = None, []
 
-    def pairs() -> tuple[list, list]:
-        sig = np.frombuffer(b"".join(r[2] for r in rows), np.uint16).reshape(-1, M)
-        names: dict[bytes, int] = {}
-        label = np.array([names.setdefault(r[1], len(names)) for r in rows])
-        side = np.array([r[3] for r in rows])
-        a, b = [], []
-        for k in range(len(rows)):
-            # a pair is looked at from one side, unless each text looks for its nearest ones
-            if now[1] == now[2]:
-                other = np.arange(0 if nearest else k + 1, len(rows))
-            elif side[k] == 0 or nearest:
-                other = np.flatnonzero(side != side[k])
-            else:
-                continue
-            other = other[label[other] != label[k]]
-            share = (sig[other] == sig[k]).mean(axis=1)
-            good = np.flatnonzero(share >= PROMISING)
-            if nearest:
-                good = good[np.argsort(-share[good], kind="stable")[:nearest]]
-            for x in other[good].tolist():
-                a.append(min(rows[k][0], rows[x][0]))
-                b.append(max(rows[k][0], rows[x][0]))
-        return a, b
+    def links() -> pa.RecordBatch:
+        nodes, labels, side, texts = zip(*rows, strict=True)
+        found = _links_of_block(nodes, labels, np.array(side), texts, now[1] == now[2])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in found], ["a", "b"])
 
     for batch in batches:
-        out: tuple[list, list] = ([], [])
-        for bucket, i, j, side, node, label, sig in zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", "side", "node", "label", "sig")), strict=True):
+        texts = batch.column("text")
+        for k, (bucket, i, j, side, node, label) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", "side", "node", "label")), strict=True)):
             if (bucket, i, j) != now:
                 if len(rows) > 1:
-                    for x, y in zip(out, pairs(), strict=True):
-                        x.extend(y)
+                    yield links()
                 now, rows = (bucket, i, j), []
-            rows.append((node, label, sig, side))
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], ["a", "b"])
+            rows.append((node, label, side, texts[k].as_py().encode()))
     if len(rows) > 1:
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in pairs()], ["a", "b"])
+        yield links()
 
 
-def _blocks(still: DataFrame, nodes: DataFrame, nearest: int | None) -> DataFrame:
-    """Promising pairs (a, b) of open buckets; a bucket of many blocks is dealt to a task a pair of blocks."""
-    parts = F.ceil(F.col("n") / UNIT).cast("int")
-    m = still.join(nodes.select(F.col("digest").alias("node"), "sig"), "node").withColumn("parts", parts)
-    m = m.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+def _blocks(still: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) within open buckets. A bucket of many texts, or of long ones, is cut into blocks,
+    and each pair of its blocks is a task's group of its own."""
+    m = still.join(texts.select(F.col("digest").alias("node"), "text"), "node")
+    size = still.join(texts.select(F.col("digest").alias("node"), F.octet_length("text").alias("bytes")), "node").groupBy("bucket")
+    size = size.agg(F.greatest(F.ceil(F.count(F.lit(1)) / UNIT), F.ceil(F.sum("bytes") / UNIT_BYTES), F.lit(1)).cast("int").alias("parts"))
+    m = m.join(size, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     m = m.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    m = m.select("bucket", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") > F.col("o")).cast("int").alias("side"), "node", "label", "sig")
-    m = m.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
-    return m.mapInArrow(_block_pairs(nearest), "a binary, b binary").distinct()
+    m = m.select("bucket", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") > F.col("o")).cast("int").alias("side"), "node", "label", "text")
+    m = m.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return m.mapInArrow(_compare_blocks, "a binary, b binary").distinct()
 
 
 def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -229,33 +262,33 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return now.join(mixed, "bucket")
 
 
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """(node, bucket) for buckets of two texts or more; of buckets with the same texts, one."""
+    members = nodes.select(F.col("digest").alias("node"), F.explode("bands").alias("bucket"))
+    # one row a bucket: how many texts, and 128 bits of which
+    sets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]).where("n > 1")
+    one = sets.groupBy("n", "x0", "x1").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return members.join(one, "bucket")
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(signed rows, (digest, label, class_id)) of a table of documents; a label is a class."""
     rows = docs.select("doc_id", F.unhex(F.md5("text")).alias("digest"), "text")
     signed = cut(rows.where(F.col("text").isNotNull()).mapInArrow(_sign, "doc_id long, digest binary, bands array<long>, sig binary"))
     nodes = cut(signed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
-    members = nodes.select(F.col("digest").alias("node"), F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = cut(members.join(shared, "bucket"))
-    links = tested = None
-    labels, still = None, members
-    for r in range(3):
-        pairs = _promising(_stars(still), nodes) if r == 0 else _blocks(still, nodes, NEAREST if r == 1 else None)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        # only texts of promising pairs are read again; copies of a text are one row
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-        texts = rows.join(needed, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
-        new = cut(_verified(pairs, cut(texts)))
-        links = new if links is None else links.unionByName(new)
-        tested = pairs if tested is None else tested.unionByName(pairs)
+    members = cut(_buckets(nodes))
+    pairs = cut(_promising(_stars(members), nodes))
+    # texts are shuffled once, those of buckets kept, a row for all copies of a text; how many there
+    # are has no bound, so they are not broadcast at any size
+    needed = members.select(F.col("node").alias("digest")).distinct().hint("merge")
+    texts = cut(rows.join(needed, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")))
+    links = cut(_verified(pairs, texts))
+    labels = components(links)
+    # a bucket of two texts has been compared in full
+    still = cut(_open(members, labels).where("n > 2"))
+    if not still.isEmpty():
+        links = links.unionByName(cut(_blocks(still, texts)))
         labels = components(links)
-        if r < 2:
-            # a bucket of two texts has been compared in full
-            still = cut(_open(members, labels).where("n > 2"))
-            if still.isEmpty():
-                break
     labels = _labelled(nodes.select(F.col("digest").alias("node"), "doc_id"), labels)
     least = labels.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     return signed, labels.join(least, "label").select(F.col("node").alias("digest"), "label", "class_id")
