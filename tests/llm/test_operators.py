@@ -141,6 +141,46 @@ def test_group_of_near_copies_is_one_class(spark):
     assert {r["class_id"] for r in out} == {0}
 
 
+def test_bound_of_block_pairs():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 3, 12 + k)) for k in range(50)]
+    sets = [minhash._set_of(x.encode()) for x in texts]
+    text = np.repeat(np.arange(50), [len(s) for s, _ in sets])
+    sh, weight = (np.concatenate([s[i] for s in sets]) for i in range(2))
+    share = minhash.overlaps(text, sh, weight.astype(np.int64), 50)
+    for i in range(50):
+        for j in range(50):
+            if i != j:
+                want = sum(w for x, w in zip(*sets[i], strict=True) if x in set(sets[j][0].tolist())) / sets[i][1].sum()
+                assert abs(share[i, j] - want) < 1e-5
+                exact = minhash.probability_jaccard(sets[i], sets[j])
+                if exact:
+                    assert 1 / exact >= 1 / share[i, j] + 1 / share[j, i] - 1 - 1e-3
+
+
+@pytest.mark.parametrize("unit", [8, 1024])
+def test_loose_group_keeps_every_link(spark, monkeypatch, unit):
+    """Near copies of which some are similar enough: classes are those of all pairs."""
+    monkeypatch.setattr(minhash, "UNIT", unit)
+    rng = np.random.default_rng(8)
+    base = prose(12, 120).split()
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for k in rng.integers(0, 120, 1 + i % 4):
+            w[k] = f"edit{i}x{k}"
+        rows.append((i, " ".join(w)))
+    sets = [shingle_weights(t) for _, t in rows]
+    root = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if root[i] != root[j] and probability_jaccard(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    out = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, EMPTY)).collect()}
+    assert out == dict(enumerate(root)) and 1 < len(set(root)) < 60
+
+
 # 4 decontamination
 
 
