@@ -174,7 +174,7 @@ def load(data: bytes):
 
 
 #: Texts are handed to the library in batches of about so many bytes.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 
 
 def _encoder(data: bytes, extra: list[str]):
