@@ -401,6 +401,29 @@ def test_passages(spark):
     assert passages.near_passages(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("twice_is_centre", [True, False])
+def test_passage_held_twice(spark, twice_is_centre):
+    """All places of a passage are found, whichever text is the centre of its keys."""
+    p = prose(61, 60)
+    for seed in range(100):
+        texts = [prose(1000 + seed, 70) + " " + p + " " + prose(1200 + seed, 90) + " " + p, prose(1400 + seed, 40) + " " + p]
+        tids = [r["t"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], EMPTY).select(F.xxhash64(F.xxhash64("text"), F.lit(0)).alias("t"), "doc_id").orderBy("doc_id").collect()]
+        if (tids[0] < tids[1]) == twice_is_centre:
+            break
+    got = {r["doc_id"]: r["passages"] for r in passages.near_passages(spark.createDataFrame(list(enumerate(texts)), EMPTY)).collect()}
+    assert got == {0: "70:130,220:280", 1: "40:100"}
+
+
+def test_diagonals_of_many_places(monkeypatch):
+    monkeypatch.setattr(passages, "PRODUCT", 50)
+    rng = np.random.default_rng(2)
+    p, q = np.sort(rng.integers(0, 5000, 90)), np.sort(rng.integers(0, 5000, 40))
+    want = {}
+    for d in (p[:, None] - q[None, :]).ravel().tolist():
+        want[d // passages.BAND] = min(d, want.get(d // passages.BAND, d))
+    assert passages.diagonals(p, q).tolist() == sorted(want.values())
+
+
 # 10 chat
 
 
