@@ -401,6 +401,19 @@ def test_passages(spark):
     assert passages.near_passages(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("unit", [3, 1024])
+def test_group_whose_centres_are_far(spark, monkeypatch, unit):
+    """A phrase that many texts hold lies inside passages of a few: all of those are linked."""
+    monkeypatch.setattr(passages, "UNIT", unit)
+    phrase = prose(71, 30)
+    rows = [(i, prose(2000 + i, 60) + " " + phrase + " " + prose(2100 + i, 60)) for i in range(12)]
+    for g in range(4):
+        whole = prose(2200 + g, 15) + " " + phrase + " " + prose(2300 + g, 15)
+        rows += [(100 + 10 * g + i, prose(2400 + 10 * g + i, 40) + " " + whole + " " + prose(2500 + 10 * g + i, 40)) for i in range(3)]
+    got = {r["doc_id"]: (r["class_id"], r["passages"]) for r in passages.near_passages(spark.createDataFrame(rows, EMPTY)).collect()}
+    assert got == {i: (i - i % 10, "40:100") for i, _ in rows if i >= 100}
+
+
 @pytest.mark.parametrize("twice_is_centre", [True, False])
 def test_passage_held_twice(spark, twice_is_centre):
     """All places of a passage are found, whichever text is the centre of its keys."""
