@@ -437,6 +437,34 @@ def test_diagonals_of_many_places(monkeypatch):
     assert passages.diagonals(p, q).tolist() == sorted(want.values())
 
 
+def test_edit_at_every_position():
+    """A passage of 50 words with one word changed is found wherever that word is."""
+    p = prose(81, 50).split()
+    for e in range(50):
+        q = [*p[:e], "changed", *p[e + 1 :]]
+        for before, after in ((0, 0), (30, 30), (0, 30), (30, 0)):
+            one, two = (passages._shingles_of(" ".join(x)) for x in ([*prose(82, before).split(), *p, *prose(83, after).split()], [*prose(84, before).split(), *q, *prose(85, after).split()]))
+            found = passages.passages_of(one, two, [0])
+            assert len(found) == 1 and found[0][1] - found[0][0] >= passages.LENGTH, e
+
+
+def test_recall_of_one_window():
+    """Pairs of similarity 0.8 with a passage of one window: fewer than 1 in 1000 share too few hashes."""
+    import pyarrow as pa
+
+    texts, n = [], 3000
+    for i in range(n):
+        p = prose(10000 + i, 50).split()
+        texts += [" ".join(p), " ".join([*p[:25], "changed", *p[26:]])]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(2 * n), pa.int64())], ["text", "tid"])
+    keys = [set() for _ in texts]
+    for out in passages._emit([batch]):
+        for k, t in zip(out.column("key").to_pylist(), out.column("tid").to_pylist(), strict=True):
+            keys[t].add(k)
+    missed = sum(len(keys[2 * i] & keys[2 * i + 1]) < passages.MIN_HASHES for i in range(n))
+    assert missed <= n // 1000  # one expected
+
+
 # 10 chat
 
 
