@@ -13,7 +13,8 @@ the documents are not shuffled.
 
 Edge cases: a null or empty text or item matches nothing; items too short for the bound
 get fewer edits (down to 0), items shorter than q match nothing; very long texts are
-scanned whole; repeated rows are matched each; empty tables give empty results; other
+scanned whole; repeated rows are matched each; items with a null item_id are
+looked for and reported under a null item_id; empty tables give empty results; other
 columns are ignored (kept by `decontaminate`).
 """
 
@@ -30,9 +31,10 @@ from .common import read
 from .shingles import mix
 
 Q = 9
-SEGMENT, STRIDE = 100, 50
+#: A stretch of SEGMENT characters is at most STRIDE // 2 places from a segment, within its 6 edits.
+SEGMENT, STRIDE = 100, 7
 MAX_EDITS = 8
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 300_000
 #: Texts are scanned in slices of about so many characters.
 SLICE_CHARS = 1 << 19
 _U = np.uint64
@@ -64,7 +66,7 @@ def grams(cp: np.ndarray) -> np.ndarray:
 class Index:
     """Segments of a block of items and their q-grams."""
 
-    item: list[int]
+    item: list[int | None]
     segment: list[np.ndarray]
     edits: np.ndarray
     need: np.ndarray
@@ -81,7 +83,7 @@ def build_index(items: list[tuple[int, str]]) -> Index | None:
         cp = code_points(normalise(text))
         if len(cp) < Q:
             continue
-        starts = [0] if len(cp) <= SEGMENT else sorted({*range(0, len(cp) - SEGMENT + 1, STRIDE), len(cp) - SEGMENT})
+        starts = [0] if len(cp) <= SEGMENT else sorted({*range(0, len(cp) - SEGMENT + 1, STRIDE), *range(0, len(cp) - SEGMENT + 1, SEGMENT // 2), len(cp) - SEGMENT})
         for s in starts:
             owner.append(item_id)
             segments.append(cp[s : s + SEGMENT])
@@ -210,7 +212,7 @@ def _matcher(index: Index):
                 for row, item, edits, start in search(index, texts[i:j]):
                     x = rows.setdefault((i + row, item), [edits, start])
                     x[0], x[1] = min(x[0], edits), min(x[1], start)
-            keys = sorted(rows)
+            keys = sorted(rows, key=lambda x: (x[0], x[1] is not None, x[1] or 0))
             ids = batch.column("doc_id").take(pa.array([r for r, _ in keys], pa.int32()))
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array([k for _, k in keys], pa.int64()), pa.array([rows[k][0] for k in keys], pa.int32()), pa.array([rows[k][1] for k in keys], pa.int64())],
@@ -236,7 +238,7 @@ def _filter(index: Index):
 def blocks(benchmark: DataFrame) -> Iterator[Index]:
     """Indexes of the benchmark, a bounded number of characters each."""
     held, size = [], 0
-    for r in benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
+    for r in benchmark.select("item_id", "text").where("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
         held.append((r["item_id"], r["text"]))
         size += len(r["text"])
         if size >= BLOCK_CHARS:

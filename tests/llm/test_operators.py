@@ -225,6 +225,21 @@ def test_search_agrees_with_alignment_of_everything():
         assert bool(found) == (brute(text) <= index.edits[0])
 
 
+def test_excerpts_at_every_offset():
+    item = decontaminate.normalise(prose(91, 80))
+    index = decontaminate.build_index([(0, item)])
+    for i in range(len(item) - 99):
+        assert decontaminate.search(index, [prose(92, 30) + item[i : i + 100] + prose(93, 30)]), i
+
+
+def test_item_without_id(spark):
+    item = prose(94, 40)
+    docs = spark.createDataFrame([(1, prose(95, 60) + " " + item), (2, prose(96, 60))], EMPTY)
+    bench = spark.createDataFrame([(None, item), (3, item)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, bench).collect()} == {(1, None), (1, 3)}
+    assert [r["doc_id"] for r in decontaminate.decontaminate(docs, bench.where("item_id IS NULL")).collect()] == [2]
+
+
 # 5 SentencePiece
 
 
