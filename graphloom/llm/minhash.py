@@ -284,8 +284,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = cut(rows.join(needed, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")))
     links = cut(_verified(pairs, texts))
     labels = components(links)
-    # a bucket of two texts has been compared in full
-    still = cut(_open(members, labels).where("n > 2"))
+    # a bucket of two texts is open as well if the signature filter dropped its pair
+    still = cut(_open(members, labels))
     if not still.isEmpty():
         links = links.unionByName(cut(_blocks(still, texts)))
         labels = components(links)

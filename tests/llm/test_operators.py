@@ -181,6 +181,14 @@ def test_loose_group_keeps_every_link(spark, monkeypatch, unit):
     assert out == dict(enumerate(root)) and 1 < len(set(root)) < 60
 
 
+def test_pair_dropped_by_the_signature_filter(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "_promising", lambda pairs, nodes: pairs.limit(0))
+    words = prose(13, 300).split()
+    words[150] = "changed"
+    docs = spark.createDataFrame([(1, prose(13, 300)), (2, " ".join(words)), (3, prose(14, 300))], EMPTY)
+    assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 # 4 decontamination
 
 
