@@ -4,17 +4,20 @@ Turns are marked `<|im_start|>role\ntext<|im_end|>\n`. Inside roles and texts a
 is doubled and a lone backslash breaks up what would read as a mark (`<|` becomes `<\|`),
 so the marks are unambiguous and the texts come back exactly.
 
-A conversation is cut at turns: prefix sums of the turns' tokens give each turn the
-window number floor(tokens before it / room), where room is the budget less the system
-turn and the history allowance. Each window starts with the system turn (the first turn,
-if its role is `system`), then repeats the turns that begin at most `history` tokens
-before the window, then has its own turns. The loss mask covers assistant texts among a
-window's own turns only, so a repeated turn is never a target twice. A single turn
-longer than the room keeps its window to itself, whole.
-
-One shuffle by conversation serves the prefix sums, the windows and the reading back; a
-window's size is bounded by the budget. A conversation's digest needs its turns in one
-row, so that row grows with the longest conversation.
+A conversation is cut at turns. The prefix sums of the turns' tokens are laid over cells of
+`room` tokens, where room is the budget less the system turn and the history allowance. Turns
+that lie in one cell make a window; a turn across a cell's end joins the window before it if
+both fit the room, and is a window of its own otherwise. So a window's own turns never have
+more tokens than the room, but for a single turn that is longer by itself: such a turn keeps its
+window to itself, whole, and only such windows (and those of a conversation whose system
+turn leaves less than `history` + 1 tokens) exceed the budget. Each window starts with the
+system turn (the first turn, if its role is `system`), then repeats the turns that begin at most
+`history` tokens before the window, then has its own turns. The loss mask covers assistant
+texts among a window's own turns only, so a repeated turn is never a target twice.
+
+One shuffle by conversation serves the prefix sums, the windows and the reading back. A
+conversation's digest needs its turns in one row, so that row grows with the longest
+conversation.
 
 Edge cases: a null text or role is empty; a null conv_id is a conversation of its own;
 rows with the same turn number are ordered by role, then text, and repeated rows stay
@@ -62,28 +65,30 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     by_ord = conv.orderBy("ord")
     turns = turns.withColumn("is_system", (F.col("ord") == 1) & (F.col("role") == "system"))
     turns = turns.withColumn("system_tokens", F.max(F.when(F.col("is_system"), F.col("tokens")).otherwise(0)).over(conv))
-    # the room is larger than the history, so a turn is repeated in the next window at most
     turns = turns.withColumn("room", F.greatest(F.lit(budget - history) - F.col("system_tokens"), F.lit(history + 1)))
     own = F.when(F.col("is_system"), F.lit(0)).otherwise(F.col("tokens"))
-    turns = turns.withColumn("before", F.sum(own).over(by_ord.rowsBetween(Window.unboundedPreceding, 0)) - own)
-    turns = turns.withColumn("window", F.floor(F.col("before") / F.col("room")))
-    later = conv.orderBy("window").rangeBetween(1, Window.unboundedFollowing)
+    turns = turns.withColumn("end", F.sum(own).over(by_ord.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.col("end") - own)
+    turns = turns.withColumn("cell", F.floor(F.col("before") / F.col("room")))
+    # a turn across the end of its cell; the window before it starts at the cell or after the last such turn
+    turns = turns.withColumn("across", ~F.col("is_system") & (F.col("end") > (F.col("cell") + 1) * F.col("room")))
+    earlier = by_ord.rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.greatest(F.coalesce(F.max(F.when(F.col("across"), F.col("end"))).over(earlier), F.lit(0)), F.col("cell") * F.col("room"))
+    turns = turns.withColumns({"passed": F.coalesce(F.sum(F.col("across").cast("int")).over(earlier), F.lit(0)), "alone": F.col("across") & (F.col("end") - begin > F.col("room"))})
+    turns = turns.withColumn("key", F.struct("passed", "cell", "alone"))
+    fresh = (F.col("key") != F.lag("key").over(by_ord)) & ~F.lag("is_system").over(by_ord)
+    turns = turns.withColumn("fresh", F.coalesce(fresh, F.lit(False)))
+    turns = turns.withColumn("window", F.sum(F.col("fresh").cast("int")).over(by_ord.rowsBetween(Window.unboundedPreceding, 0)))
     turns = turns.withColumns({
-        "next_window": F.min("window").over(later), "next_start": F.min("before").over(later), "last_window": F.max("window").over(conv),
+        "last_window": F.max("window").over(conv),
+        "later": F.collect_list(F.when(F.col("fresh"), F.col("window"))).over(conv.orderBy("before").rangeBetween(1, history)),
     })
-    repeats = F.col("next_window").isNotNull() & (F.col("next_start") - F.col("before") <= history)
-    places = (
-        F.when(F.col("is_system"), F.sequence(F.lit(0).cast("long"), F.col("last_window")))
-        .when(repeats, F.array("window", "next_window"))
-        .otherwise(F.array("window"))
-    )
+    places = F.when(F.col("is_system"), F.sequence(F.lit(0).cast("long"), F.col("last_window"))).otherwise(F.concat(F.array("window"), "later"))
     placed = turns.select("conv_id", "ord", "role", "role_out", "text_out", "is_system", F.col("window").alias("first_window"), F.explode(places).alias("window"))
     placed = placed.withColumn("repeated", F.col("window") != F.col("first_window"))
     grouped = placed.groupBy("conv_id", "window").agg(
         F.sort_array(F.collect_list(F.struct("ord", "role", "role_out", "text_out", "repeated"))).alias("t"),
         F.sum(F.col("repeated").cast("int")).alias("n_repeated"),
-        F.min("repeated").alias("only_repeated"),
-    ).where(~F.col("only_repeated"))
+    )
     block = lambda x: F.concat(F.lit(START), x["role_out"], F.lit("\n"), x["text_out"], F.lit(END))
 
     def mask(blocks: Column, t: Column) -> Column:
@@ -158,15 +163,21 @@ WITH turns AS (
   FROM numbered
 ), roomed AS (
   SELECT *, greatest({budget - history} - max(CASE WHEN is_system THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id), {history + 1}) AS room,
-    coalesce(sum(CASE WHEN is_system THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    sum(CASE WHEN is_system THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY ord) AS "end"
   FROM sized
-), cut AS (SELECT *, (before // room)::BIGINT AS w FROM roomed),
-starts AS (SELECT conv_id, w, min(before) AS start FROM cut GROUP BY conv_id, w),
-followed AS (SELECT conv_id, w, lead(start) OVER (PARTITION BY conv_id ORDER BY w) AS next_start, count(*) OVER (PARTITION BY conv_id) AS n_windows FROM starts),
--- a window that has no turn of its own besides the system turn counts, as the system turn is its own
-chars AS (
-  SELECT conv_id, sum(c.chars * CASE WHEN is_system THEN n_windows WHEN next_start IS NOT NULL AND next_start - before <= {history} THEN 2 ELSE 1 END)::BIGINT AS formatted_chars
-  FROM cut c JOIN followed f USING (conv_id, w) GROUP BY conv_id
+), celled AS (SELECT *, CASE WHEN is_system THEN "end" ELSE "end" - tokens END AS before, before // room AS cell, NOT is_system AND "end" > (cell + 1) * room AS across FROM roomed),
+keyed AS (
+  SELECT *, coalesce(count(*) FILTER (across) OVER earlier, 0) AS passed,
+    across AND "end" - greatest(coalesce(max("end") FILTER (across) OVER earlier, 0), cell * room) > room AS alone
+  FROM celled WINDOW earlier AS (PARTITION BY conv_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), opened AS (
+  SELECT *, coalesce((passed, cell, alone) <> lag((passed, cell, alone)) OVER o AND NOT lag(is_system) OVER o, false) AS fresh
+  FROM keyed WINDOW o AS (PARTITION BY conv_id ORDER BY ord)
+), chars AS (
+  SELECT conv_id, sum(chars * (1 + CASE WHEN is_system THEN windows ELSE later END))::BIGINT AS formatted_chars FROM (
+    SELECT conv_id, chars, is_system, count(*) FILTER (fresh) OVER (PARTITION BY conv_id) AS windows,
+      count(*) FILTER (fresh) OVER (PARTITION BY conv_id ORDER BY before RANGE BETWEEN 1 FOLLOWING AND {history} FOLLOWING) AS later
+    FROM opened) GROUP BY conv_id
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY ord)) AS turns_sha256,
   coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
