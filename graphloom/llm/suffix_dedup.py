@@ -20,8 +20,9 @@ comparison, and equal surroundings are compared once:
    the strings of those levels are hashed (128 bits) and counted by Spark, all of them;
 6. the ranges found go back to the texts, are merged and cut out.
 
-Texts are known by a 64-bit hash and their length; hashes of anchors and surroundings
-have 64 bits each, and both must agree. Copies of a text are one text with a count.
+Texts are known by their 128-bit digests; hashes of anchors and surroundings have 64 bits
+each, and both must agree. Copies of a text are one text with a count. Copies, and places
+with the same surroundings, are one row of each Arrow batch before they are shuffled.
 
 Edge cases: a null text is empty; texts shorter than WIDTH lose nothing; very long texts
 are handled whole; a text found twice or more is its own repetition, so all of it goes if
@@ -38,9 +39,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop, read
+from .common import cut, in_arrow, read
 from .shingles import _TABLE, byte_column, mix, slices
-from .suffixes import suffix_order
+from .suffixes import _ranges, suffix_order, suffix_orders
 
 WIDTH = 200
 Q = 64
@@ -50,7 +51,9 @@ MIDDLE = WIDTH - DEPTH
 MARK = b"\xff"  # in no UTF-8 text
 GROUP_MAX = 4096
 #: Levels are ordered together in buffers of about so many bytes.
-BUFFER_BYTES = 1 << 16
+BUFFER_BYTES = 1 << 19
+#: Fewer sets of about the same size than this are ordered one by one.
+TOGETHER = 100
 _U = np.uint64
 _STEP = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_STEP, -1, 1 << 64)
@@ -124,14 +127,24 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, q: int =
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors of a batch's different texts. Of places of the batch with the same surroundings, all
+    repeated, one goes on to be met by others (`twice`); the others are `known` and go nowhere."""
     for batch in batches:
-        data, offsets = byte_column(batch.column("text"))
-        tid = batch.column("tid")
-        for i, j in slices(offsets):
-            text, at, h, around = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), tid.take(pa.array(text + i)), pa.array(at.astype(np.int32)), pa.array(around.view(np.int64))], ["h", "tid", "at", "around"]
-            )
+        names = batch.column("tid").to_pylist()
+        rows = pa.array(sorted({t: k for k, t in reversed(list(enumerate(names)))}.values()), pa.int32())
+        data, offsets = byte_column(batch.column("text").take(rows))
+        tid = batch.column("tid").take(rows)
+        found = [anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in slices(offsets)]
+        text = np.concatenate([x[0] + i for x, (i, _) in zip(found, slices(offsets), strict=True)] or [np.zeros(0, np.int64)])
+        at, h, around = (np.concatenate([x[k] for x in found] or [np.zeros(0, np.uint64)]) for k in (1, 2, 3))
+        order = np.lexsort((around, h))
+        same = (h[order][1:] == h[order][:-1]) & (around[order][1:] == around[order][:-1])
+        known, twice = np.zeros(len(h), bool), np.zeros(len(h), bool)
+        known[order[1:][same]] = True
+        twice[order[:-1][same]] = True
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(h.view(np.int64)), tid.take(pa.array(text)), pa.array(at.astype(np.int32)), pa.array(around.view(np.int64)), pa.array(twice & ~known), pa.array(known)], ["h", "tid", "at", "around", "twice", "known"]
+        )
 
 
 def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,49 +176,50 @@ def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def repeated_starts(levels: list[bytes], group: list[int], width: int = DEPTH + 1) -> list[list[int]]:
-    """For each string, the starts of its `width`-symbol substrings around the mark that are found
-    in another string of its group, by suffix order."""
-    bounds = [0]
-    for p in levels:
-        bounds.append(bounds[-1] + len(p))
-    data = b"".join(levels)
-    owner = np.repeat(np.arange(len(levels)), np.diff(bounds))
-    order = np.array(suffix_order(data, bounds), np.int64)
-    begin = np.array(bounds)
-    mark = np.array([p.index(MARK) for p in levels])
-    inside = order - begin[owner[order]]
-    order = order[(begin[owner[order] + 1] - order >= width) & (inside <= mark[owner[order]])]
-    out: list[list[int]] = [[] for _ in levels]
-    run: list[int] = []
-
-    def close() -> None:
-        if len(run) > 1:
-            met: dict[int, list[int]] = {}
-            for i in run:
-                met.setdefault(group[owner[i]], []).append(i)
-            for places in met.values():
-                if len(places) > 1:
-                    for i in places:
-                        out[owner[i]].append(i - bounds[owner[i]])
-
-    last = b""
-    for i in order.tolist():
-        own = data[i : i + width]
-        if own != last:
-            close()
-            run.clear()
-            last = own
-        run.append(i)
-    close()
+def _orders(data: np.ndarray, bounds: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The suffix order of each set of strings, in turn. Sets start at the strings `first`; those of
+    about the same size are ordered together, a few large ones by themselves."""
+    low, high = bounds[first], bounds[np.append(first[1:], len(bounds) - 1)]
+    out = np.empty(len(data), np.int64)
+    size = high - low
+    by = np.argsort(size, kind="stable")
+    i = 0
+    while i < len(by):
+        j = int(np.searchsorted(size[by], 2 * size[by[i]], side="right"))
+        some = by[i:j]
+        i = j
+        if len(some) < TOGETHER:
+            for t in some.tolist():
+                a, b = np.searchsorted(bounds, [low[t], high[t]])
+                out[low[t] : high[t]] = low[t] + np.array(suffix_order(data[low[t] : high[t]].tobytes(), (bounds[a : b + 1] - low[t]).tolist()))
+            continue
+        at, of = _ranges(low[some], high[some])
+        starts = np.flatnonzero(np.isin(at, bounds[:-1]))
+        out[at] = at[suffix_orders(data[at], starts, np.searchsorted(of, np.arange(len(some))))]
     return out
 
 
-def _runs(starts: list[int]) -> list[tuple[int, int]]:
-    """Runs [first, last] of consecutive starts."""
-    x = np.unique(np.array(starts, np.int64))
-    gap = np.flatnonzero(np.diff(x) > 1)
-    return list(zip(x[np.concatenate([[0], gap + 1])].tolist(), x[np.concatenate([gap, [len(x) - 1]])].tolist(), strict=True))
+def repeated_starts(levels: list[bytes], group: list[int], width: int = DEPTH + 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, first, last): runs of starts of `width`-symbol substrings around the mark that are
+    found in another string of its group, by suffix order. Strings of a group stand together."""
+    bounds = np.concatenate([[0], np.cumsum([len(p) for p in levels])])
+    data = np.frombuffer(b"".join(levels), np.uint8)
+    owner = np.repeat(np.arange(len(levels)), np.diff(bounds))
+    g = np.array(group)
+    order = _orders(data, bounds, np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])))
+    mark = np.array([p.index(MARK) for p in levels])
+    own = owner[order]
+    near = (bounds[own + 1] - order >= width) & (order - bounds[own] <= mark[own])
+    order, own = order[near], g[own[near]]
+    string = data[order[:, None] + np.arange(width)]
+    same = np.flatnonzero((string[1:] == string[:-1]).all(axis=1) & (own[1:] == own[:-1]))
+    at = np.unique(order[np.concatenate([same, same + 1])])
+    if not len(at):
+        return at, at, at
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | (np.diff(owner[at]) > 0)]))
+    last = np.append(new[1:], len(at)) - 1
+    of = owner[at[new]]
+    return of, at[new] - bounds[of], at[last] - bounds[of]
 
 
 _FOUND = "h long, around long, first int, last int, k int, middle long, level binary"
@@ -223,6 +237,17 @@ def _range(k: int, level: bytes, start: int) -> int:
     return -(k * DEPTH + level.index(MARK) - start)
 
 
+def _met(batch: pa.RecordBatch) -> list[pa.Array]:
+    """The batch's columns without the rows that are alone with their key; the first and the last key
+    may go on in other batches."""
+    key = [batch.column(c).to_numpy() for c in ("h", "k", "middle")]
+    new = np.concatenate([[True], np.logical_or.reduce([x[1:] != x[:-1] for x in key]), [True]])
+    alone = new[:-1] & new[1:]
+    alone[:1] = alone[-1:] = False
+    keep = pa.array(np.flatnonzero(~alone))
+    return [batch.column(c).take(keep) for c in ("h", "around", "k", "middle", "level")]
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by h, k, middle, level. Yields ranges of starts (first..last, from the
     anchor), and, with `level` set, the rows of groups too large for one task."""
@@ -265,10 +290,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> None:
         nonlocal size
-        for level, g, arounds, starts in zip(levels, group, members, repeated_starts(levels, group), strict=True):
-            if starts and arounds:
-                h, k = keys[g]
-                rows.extend((h, x, _range(k, level, a), _range(k, level, b), None, None, None) for a, b in _runs(starts) for x in arounds)
+        for i, a, b in zip(*(x.tolist() for x in repeated_starts(levels, group)), strict=True):
+            h, k = keys[group[i]]
+            rows.extend((h, x, _range(k, levels[i], a), _range(k, levels[i], b), None, None, None) for x in members[i])
         for x in (levels, group, members, keys):
             x.clear()
         size = 0
@@ -279,7 +303,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
 
     for batch in batches:
-        for h, around, k, middle, level in zip(*(batch.column(c).to_pylist() for c in ("h", "around", "k", "middle", "level")), strict=True):
+        for h, around, k, middle, level in zip(*(x.to_pylist() for x in _met(batch)), strict=True):
             key = (h, k, middle)
             if key != now:
                 if now is not None and not large:
@@ -356,31 +380,31 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(docs with tid, (tid, ranges, copies)): byte ranges to remove for each text, by its id."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text, F.octet_length(text)).alias("tid"))
+    rows = docs.select("doc_id", text.alias("text"), F.unhex(F.md5(text)).alias("tid"))
     long = rows.where(F.octet_length("text") >= WIDTH)
     copies = cut(long.groupBy("tid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("one")))
-    found = cut(long.select("text", "tid").mapInArrow(_emit, "h long, tid long, at int, around long"))
+    found = cut(in_arrow(long.select("text", "tid"), _emit, "h long, tid binary, at int, around long, twice boolean, known boolean"))
     # one shuffle by anchor: what follows groups by it and by finer keys
-    by_anchor = found.repartition("h").groupBy("h", "around", "tid", "at").agg(F.lit(1).alias("_"))
-    each = by_anchor.groupBy("h", "around").agg(F.count(F.lit(1)).alias("places"), F.min(F.struct("tid", "at")).alias("rep"))
-    whole = each.groupBy("h").agg(F.count(F.lit(1)).alias("contexts"), F.sum("places").alias("n")).where("n > 1").select("h", "contexts")
+    by_anchor = found.where("NOT known").repartition("h").groupBy("h", "around", "tid", "at").agg(F.max("twice").alias("twice"))
+    each = by_anchor.groupBy("h", "around").agg(((F.count(F.lit(1)) > 1) | F.max("twice")).alias("full"), F.min(F.struct("tid", "at")).alias("rep"))
+    whole = each.groupBy("h").agg(F.count(F.lit(1)).alias("contexts"), F.max("full").alias("any")).where("contexts > 1 OR any").select("h", "contexts")
     again = by_anchor.join(each.join(whole, "h"), ["h", "around"])
-    again = cut(again.select("h", "around", "tid", "at", (F.col("places") > 1).alias("full"), (F.col("contexts") > 1).alias("mixed"), (F.struct("tid", "at") == F.col("rep")).alias("is_rep")))
-    drop(found)
+    again = cut(again.select("h", "around", "tid", "at", "full", (F.col("contexts") > 1).alias("mixed"), (F.struct("tid", "at") == F.col("rep")).alias("is_rep")))
     # surroundings found at two places or more are repeated in full
-    full = again.where("full").select("tid", (F.col("at") - BEFORE).alias("start"), (F.col("at") + WIDTH).alias("end"))
+    full = again.where("full").select("tid", "at").unionByName(found.where("known").select("tid", "at"))
+    full = full.select("tid", (F.col("at") - BEFORE).alias("start"), (F.col("at") + WIDTH).alias("end"))
     # one place of each different surroundings
     wanted = again.where("mixed AND is_rep").groupBy("tid").agg(F.collect_list(F.struct("h", "around", "at")).alias("wanted"))
     wanted = wanted.join(copies.select("tid", F.col("one").alias("doc_id")), "tid")
     chosen = long.join(wanted, "tid").where(long["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "wanted")
-    levels = chosen.mapInArrow(_levels, "h long, around long, k int, middle long, level binary")
+    levels = in_arrow(chosen, _levels, "h long, around long, k int, middle long, level binary")
     # rows of one id and text give the same levels twice
     levels = levels.repartition("h", "k", "middle").dropDuplicates(["h", "k", "middle", "level", "around"])
-    compared = cut(levels.sortWithinPartitions("h", "k", "middle", "level").mapInArrow(_compare, _FOUND))
+    compared = cut(in_arrow(levels.sortWithinPartitions("h", "k", "middle", "level"), _compare, _FOUND))
     partial = compared.where("level IS NULL").select("h", "around", "first", "last")
     large = compared.where("level IS NOT NULL")
     if not large.isEmpty():
-        strings = large.select("h", "around", "k", "middle", "level").mapInArrow(_strings, "one long, two long, h long, around long, middle long, first int")
+        strings = in_arrow(large.select("h", "around", "k", "middle", "level"), _strings, "one long, two long, h long, around long, middle long, first int")
         key = ["one", "two", "h", "middle", "first"]
         twice = strings.groupBy(*key).agg(F.min("around").alias("lo"), F.max("around").alias("hi")).where("lo <> hi").select(*key)
         partial = partial.unionByName(strings.join(twice, key).select("h", "around", "first", F.col("first").alias("last")))
@@ -393,7 +417,7 @@ def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row."""
     rows, ranges = repeated_ranges(docs)
-    return rows.join(ranges, "tid", "left").select("doc_id", "text", "ranges", "copies").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return in_arrow(rows.join(ranges, "tid", "left").select("doc_id", "text", "ranges", "copies"), _remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,10 +9,15 @@ emits: the end of a string, then every emitted suffix, puts the suffixes whose L
 prefix ends there into the next place of their groups. Each suffix is handled a constant
 number of times; nothing is renamed or sorted recursively. A suffix ends with its string;
 a proper prefix comes first.
+
+`suffix_orders` does the same for many independent sets of strings at once, a group of each
+set in every step.
 """
 
 from __future__ import annotations
 
+import numpy as np
+
 
 def suffix_order(data: bytes, bounds: list[int]) -> list[int]:
     """All positions of `data` by the suffix that starts there and ends with its string.
@@ -117,6 +122,86 @@ def suffix_order(data: bytes, bounds: list[int]) -> list[int]:
     return out
 
 
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all places of the ranges [low, high), the range of each)."""
+    n = high - low
+    of = np.repeat(np.arange(len(n)), n)
+    return low[of] + np.arange(len(of)) - (np.cumsum(n) - n)[of], of
+
+
+def suffix_orders(data: np.ndarray, begins: np.ndarray, set_begins: np.ndarray) -> np.ndarray:
+    """Positions of `data`, set by set, each in the order of `suffix_order`.
+
+    begins: where strings start (none is empty); set_begins: where sets of strings start.
+    """
+    n = len(data)
+    set_ends = np.append(set_begins[1:], n)
+    key = np.repeat(np.arange(len(set_begins)), set_ends - set_begins) * 256 + data
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    group, end = np.empty(n, np.int64), np.zeros(n, np.int64)
+    group[order] = np.repeat(first, np.diff(np.append(first, n)))
+    end[first] = np.append(first[1:], n)
+    before = np.arange(n) - 1
+    before[begins] = -1
+    points = np.zeros(n, np.int64)
+    live, high = np.arange(len(set_begins)), set_ends.copy()
+    while len(live := live[high[live] > set_begins[live]]):
+        low = group[order[high[live] - 1]]
+        at, of = _ranges(low, high[live])
+        i, low_of = order[at], low[of]
+        p = before[i]
+        on = np.flatnonzero(p >= 0)
+        while len(on := on[group[p[on]] >= low_of[on]]):
+            p[on] = before[p[on]]
+            on = on[p[on] >= 0]
+        before[i] = p
+        high[live] = low
+        target, times = np.unique(p[p >= 0], return_counts=True)
+        if not len(target):
+            continue
+        points[target] = times
+        low = np.unique(group[target])
+        at, of = _ranges(low, end[low])
+        i = order[at]
+        times = points[i]
+        points[target] = 0
+        by = np.lexsort((times, of))
+        i, times = i[by], times[by]
+        order[at] = i
+        head = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (times[1:] != times[:-1])]))
+        tail = np.append(head[1:], len(at)) - 1
+        group[i] = np.repeat(at[head], tail - head + 1)
+        end[at[head]] = at[tail] + 1
+    out, free = np.empty(n, np.int64), np.arange(n)
+    s = np.append(begins[1:], n) - 1
+    while len(s):
+        # equal suffixes of a set may come at once
+        g = np.sort(group[s])
+        rank = np.arange(len(s)) - np.searchsorted(g, g)
+        out[free[g] + rank] = s[np.argsort(group[s], kind="stable")]
+        np.add.at(free, g, 1)
+        s = before[s]
+        s = s[s >= 0]
+    head = np.zeros(n, bool)
+    head[begins] = True
+    size = set_ends - set_begins
+    live, step = np.flatnonzero(size > 0), 0
+    while len(live := live[size[live] > step]):
+        j = out[set_begins[live] + step]
+        step += 1
+        j = j[~head[j]]
+        s, stop = j - 1, before[j]
+        while len(on := np.flatnonzero(s != stop)):
+            s, stop = s[on], stop[on]
+            g = group[s]
+            out[free[g]] = s
+            free[g] += 1
+            s = before[s]
+    return out
+
+
 def brute_order(data: bytes, bounds: list[int]) -> list[int]:
     """The same by sorting, for tests."""
     ends = [e for b, e in zip(bounds[:-1], bounds[1:], strict=True) for _ in range(b, e)]

@@ -396,13 +396,32 @@ def brute_removed(texts):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("group_max", [4096, 1])
-def test_repeated_strings(spark, monkeypatch, group_max):
+def test_suffix_orders_of_many_sets():
+    rng = np.random.default_rng(4)
+    for k in (1, 2, 26):
+        for _ in range(60):
+            sets = [[bytes(rng.integers(97, 97 + k, rng.integers(1, 14)).astype(np.uint8)) for _ in range(rng.integers(1, 5))] for _ in range(rng.integers(1, 9))]
+            strings = [x for t in sets for x in t]
+            begins = np.cumsum([0, *map(len, strings)])[:-1]
+            first = np.cumsum([0, *[sum(map(len, t)) for t in sets]])[:-1]
+            got = suffixes.suffix_orders(np.frombuffer(b"".join(strings), np.uint8), begins, first)
+            for t, b in zip(sets, first, strict=True):
+                data, bounds = b"".join(t), [0, *np.cumsum([len(x) for x in t]).tolist()]
+                ends = [e for x, e in zip(bounds[:-1], bounds[1:], strict=True) for _ in range(x, e)]
+                mine = (got[b : b + len(data)] - b).tolist()
+                assert sorted(mine) == list(range(len(data)))
+                assert [data[i : ends[i]] for i in mine] == [data[i : ends[i]] for i in suffixes.brute_order(data, bounds)]
+
+
+@pytest.mark.parametrize("group_max, together", [(4096, 100), (4096, 1), (1, 100)])
+def test_repeated_strings(spark, monkeypatch, group_max, together):
     monkeypatch.setattr(suffix_dedup, "GROUP_MAX", group_max)
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
     p = prose(31, 90)
     extra = [(20, prose(32, 30) + p + prose(33, 30)), (21, prose(34, 40) + p), (22, p[:199]), (23, p[5:210]), (24, "ab" * 400), (25, "é" * 150), (26, p + " " + p)]
     docs = fixture(spark).select("doc_id", "text").unionByName(spark.createDataFrame(extra, EMPTY))
-    got = sorted((tuple(r) for r in suffix_dedup.remove_repeats(docs).collect()), key=repr)
+    clash = docs.withColumns({c: F.lit("x") for c in ("tid", "h", "ranges", "copies", "at")})
+    got = sorted((tuple(r) for r in suffix_dedup.remove_repeats(clash).collect()), key=repr)
     assert got == brute_removed([tuple(r) for r in docs.collect()])
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
 
