@@ -27,3 +27,17 @@ def words_of(text: Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Arrow batches of texts have about so many bytes at most.
+ARROW_BYTES = 1 << 22
+
+
+def in_arrow(df: DataFrame, f, schema) -> DataFrame:
+    """`mapInArrow` with a bound on the bytes of a batch, as rows alone say nothing where texts are
+    long. It is set on the session, unless that has a lower one."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    now = conf.get(key).rstrip("b")
+    if not now.isdigit() or int(now) > ARROW_BYTES:
+        conf.set(key, str(ARROW_BYTES))
+    return df.mapInArrow(f, schema)

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read
+from .common import in_arrow, read
 from .shingles import mix
 
 Q = 9
@@ -255,7 +255,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = "doc_id long, item_id long, edits int, start long"
     out = None
     for index in blocks(benchmark):
-        part = docs.select("doc_id", "text").mapInArrow(_matcher(index), schema)
+        part = in_arrow(docs.select("doc_id", "text"), _matcher(index), schema)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -263,7 +263,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, that hold no stretch of any item."""
     for index in blocks(benchmark):
-        docs = docs.mapInArrow(_filter(index), docs.schema)
+        docs = in_arrow(docs, _filter(index), docs.schema)
     return docs
 
 

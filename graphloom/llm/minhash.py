@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, in_arrow, read
 from .components import components
 from .pairwise import blocks_of_pairs
 from .shingles import byte_column, mix, shingles, slices, weighted, words
@@ -133,7 +133,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of digests whose texts are similar."""
     blocks = blocks_of_pairs(pairs, texts.select(F.col("digest").alias("id"), "text"), [])
-    return blocks.mapInArrow(_verify, "a binary, b binary")
+    return in_arrow(blocks, _verify, "a binary, b binary")
 
 
 def _stars(members: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     sig = lambda c: nodes.select(F.col("digest").alias(c), F.col("sig").alias(f"sig_{c}"))
-    return pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_agree, "a binary, b binary")
+    return in_arrow(pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b"), _agree, "a binary, b binary")
 
 
 def overlaps(text: np.ndarray, sh: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
@@ -248,7 +248,7 @@ def _blocks(still: DataFrame, texts: DataFrame) -> DataFrame:
     m = m.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     m = m.select("bucket", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") > F.col("o")).cast("int").alias("side"), "node", "label", "text")
     m = m.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return m.mapInArrow(_compare_blocks, "a binary, b binary").distinct()
+    return in_arrow(m, _compare_blocks, "a binary, b binary").distinct()
 
 
 def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -274,7 +274,7 @@ def _buckets(nodes: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(signed rows, (digest, label, class_id)) of a table of documents; a label is a class."""
     rows = docs.select("doc_id", F.unhex(F.md5("text")).alias("digest"), "text")
-    signed = cut(rows.where(F.col("text").isNotNull()).mapInArrow(_sign, "doc_id long, digest binary, bands array<long>, sig binary"))
+    signed = cut(in_arrow(rows.where(F.col("text").isNotNull()), _sign, "doc_id long, digest binary, bands array<long>, sig binary"))
     nodes = cut(signed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     members = cut(_buckets(nodes))
     pairs = cut(_promising(_stars(members), nodes))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import in_arrow, read
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Fixed values of the format: the mark of a space, and piece and model types.
@@ -209,7 +209,7 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
     ordered = docs.select(*extra, "text")
     schema = ordered.schema.simpleString()[len("struct<") : -1]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema) if schema else ""
-    return ordered.mapInArrow(_encoder(model, extra), f"{schema}, ids array<int>, decoded string")
+    return in_arrow(ordered, _encoder(model, extra), f"{schema}, ids array<int>, decoded string")
 
 
 def model_bytes(path: str = MODEL_PATH) -> bytes:

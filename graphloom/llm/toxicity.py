@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import in_arrow, read
 
 MAX_LABELLED = 20_000
 MAX_TERMS = 600
@@ -237,7 +237,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.string())], ["w"])
 
     # words within an edit of a few hundred terms: bounded by terms x letters x alphabet
-    lexicon.plain = {r["w"] for r in words.where("good > 0").select("w").mapInArrow(near, "w string").collect()}
+    lexicon.plain = {r["w"] for r in in_arrow(words.where("good > 0").select("w"), near, "w string").collect()}
     words.unpersist()
     return lexicon
 
@@ -279,7 +279,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = own.where(part < int(1_000_000 * min(1.0, MAX_LABELLED / max(n, 1))))
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(3))).persist()
     lexicon = learn_lexicon(rows.where("fold < 2"))
-    got = rows.where("fold = 2").select("toxic", "text").mapInArrow(_features(lexicon), "toxic int, x array<double>").toPandas()
+    got = in_arrow(rows.where("fold = 2").select("toxic", "text"), _features(lexicon), "toxic int, x array<double>").toPandas()
     rows.unpersist()
     x = np.array(got["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
     return fit(x, got["toxic"].to_numpy(float), lexicon)
@@ -303,13 +303,13 @@ def _score(model: Model, columns: list[str], threshold: float | None):
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row."""
-    out = docs.select("doc_id", "text").mapInArrow(_score(model, ["doc_id"], None), "doc_id long, score double")
+    out = in_arrow(docs.select("doc_id", "text"), _score(model, ["doc_id"], None), "doc_id long, score double")
     return out.select("doc_id", (remainder(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def filter_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows whose score is below 0.5, all columns."""
-    return docs.mapInArrow(_score(model, docs.columns, 0.5), docs.schema)
+    return in_arrow(docs, _score(model, docs.columns, 0.5), docs.schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
