@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -176,7 +177,7 @@ def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def _orders(data: np.ndarray, bounds: np.ndarray, first: np.ndarray) -> np.ndarray:
+def _orders(data: np.ndarray, bounds: np.ndarray, first: np.ndarray, together: int) -> np.ndarray:
     """The suffix order of each set of strings, in turn. Sets start at the strings `first`; those of
     about the same size are ordered together, a few large ones by themselves."""
     low, high = bounds[first], bounds[np.append(first[1:], len(bounds) - 1)]
@@ -188,7 +189,7 @@ def _orders(data: np.ndarray, bounds: np.ndarray, first: np.ndarray) -> np.ndarr
         j = int(np.searchsorted(size[by], 2 * size[by[i]], side="right"))
         some = by[i:j]
         i = j
-        if len(some) < TOGETHER:
+        if len(some) < together:
             for t in some.tolist():
                 a, b = np.searchsorted(bounds, [low[t], high[t]])
                 out[low[t] : high[t]] = low[t] + np.array(suffix_order(data[low[t] : high[t]].tobytes(), (bounds[a : b + 1] - low[t]).tolist()))
@@ -199,14 +200,14 @@ def _orders(data: np.ndarray, bounds: np.ndarray, first: np.ndarray) -> np.ndarr
     return out
 
 
-def repeated_starts(levels: list[bytes], group: list[int], width: int = DEPTH + 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_starts(levels: list[bytes], group: list[int], together: int = TOGETHER, width: int = DEPTH + 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, first, last): runs of starts of `width`-symbol substrings around the mark that are
     found in another string of its group, by suffix order. Strings of a group stand together."""
     bounds = np.concatenate([[0], np.cumsum([len(p) for p in levels])])
     data = np.frombuffer(b"".join(levels), np.uint8)
     owner = np.repeat(np.arange(len(levels)), np.diff(bounds))
     g = np.array(group)
-    order = _orders(data, bounds, np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])))
+    order = _orders(data, bounds, np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])), together)
     mark = np.array([p.index(MARK) for p in levels])
     own = owner[order]
     near = (bounds[own + 1] - order >= width) & (order - bounds[own] <= mark[own])
@@ -248,7 +249,7 @@ def _met(batch: pa.RecordBatch) -> list[pa.Array]:
     return [batch.column(c).take(keep) for c in ("h", "around", "k", "middle", "level")]
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], group_max: int, together: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by h, k, middle, level. Yields ranges of starts (first..last, from the
     anchor), and, with `level` set, the rows of groups too large for one task."""
     levels: list[bytes] = []  # different levels that wait for their order
@@ -290,7 +291,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> None:
         nonlocal size
-        for i, a, b in zip(*(x.tolist() for x in repeated_starts(levels, group)), strict=True):
+        for i, a, b in zip(*(x.tolist() for x in repeated_starts(levels, group, together)), strict=True):
             h, k = keys[group[i]]
             rows.extend((h, x, _range(k, levels[i], a), _range(k, levels[i], b), None, None, None) for x in members[i])
         for x in (levels, group, members, keys):
@@ -317,11 +318,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if large:
                 rows.append((h, around, None, None, k, middle, level))
                 continue
-            if held and held[-1][0] == level and len(held[-1][1]) < GROUP_MAX:
+            if held and held[-1][0] == level and len(held[-1][1]) < group_max:
                 held[-1][1].append(around)
             else:
                 held.append((level, [around]))
-            if len(held) > GROUP_MAX:
+            if len(held) > group_max:
                 spill()
                 large = True
     if now is not None and not large:
@@ -400,16 +401,16 @@ def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     levels = in_arrow(chosen, _levels, "h long, around long, k int, middle long, level binary")
     # rows of one id and text give the same levels twice
     levels = levels.repartition("h", "k", "middle").dropDuplicates(["h", "k", "middle", "level", "around"])
-    compared = cut(in_arrow(levels.sortWithinPartitions("h", "k", "middle", "level"), _compare, _FOUND))
-    partial = compared.where("level IS NULL").select("h", "around", "first", "last")
+    compared = cut(in_arrow(levels.sortWithinPartitions("h", "k", "middle", "level"), partial(_compare, group_max=GROUP_MAX, together=TOGETHER), _FOUND))
+    ranges = compared.where("level IS NULL").select("h", "around", "first", "last")
     large = compared.where("level IS NOT NULL")
     if not large.isEmpty():
         strings = in_arrow(large.select("h", "around", "k", "middle", "level"), _strings, "one long, two long, h long, around long, middle long, first int")
         key = ["one", "two", "h", "middle", "first"]
         twice = strings.groupBy(*key).agg(F.min("around").alias("lo"), F.max("around").alias("hi")).where("lo <> hi").select(*key)
-        partial = partial.unionByName(strings.join(twice, key).select("h", "around", "first", F.col("first").alias("last")))
-    partial = again.where("mixed AND NOT full").join(partial, ["h", "around"]).select("tid", (F.col("at") + F.col("first")).alias("start"), (F.col("at") + F.col("last") + WIDTH).alias("end"))
-    ranges = full.unionByName(partial)
+        ranges = ranges.unionByName(strings.join(twice, key).select("h", "around", "first", F.col("first").alias("last")))
+    ranges = again.where("mixed AND NOT full").join(ranges, ["h", "around"]).select("tid", (F.col("at") + F.col("first")).alias("start"), (F.col("at") + F.col("last") + WIDTH).alias("end"))
+    ranges = full.unionByName(ranges)
     ranges = ranges.groupBy("tid", "start").agg(F.max("end").alias("end")).groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     return rows, ranges.join(copies.where("copies > 1").select("tid", "copies"), "tid", "full")
 
