@@ -519,18 +519,18 @@ def windows_by_key(text):
     return {k: np.array(x) for k, x in out.items()}
 
 
-def test_recall_of_one_window(monkeypatch):
+def test_recall_of_one_window():
     """Pairs of similarity 0.8 with a passage of one window: fewer than 1 in 1000 share too few hashes."""
     n = missed = by_diagonal = 0
     for i in range(3000):
         p = prose(10000 + i, 50).split()
         one, two = (windows_by_key(" ".join(x)) for x in (p, [*p[:25], "changed", *p[26:]]))
         common = [(k & 7, one[k], two[k]) for k in one.keys() & two.keys()]
-        missed += not len(passages._seeds(common))
+        ends = [np.cumsum([0, *[len(x[t]) for x in common]]) for t in (1, 2)]
+        found = passages.seeds(np.zeros(len(common), np.int64), np.array([k for k, *_ in common]), np.concatenate([x for _, x, _ in common]), ends[0], np.concatenate([x for *_, x in common]), ends[1]) if common else ([],)
+        missed += not len(found[0])
         n += 1
-        monkeypatch.setattr(passages, "PRODUCT", 0)
-        by_diagonal += not len(passages._seeds(common))
-        monkeypatch.undo()
+        by_diagonal += not (common and passages._bands_of(common))
     assert missed <= n // 1000 and by_diagonal <= missed  # one expected
 
 
@@ -543,12 +543,11 @@ def test_agreement_is_the_interval_join(monkeypatch):
         sides = [np.column_stack([c[:, t] - rng.integers(0, 5, 6), c[:, t], c[:, t] + rng.integers(0, 5, 6)]) for t in range(2)]
         kind = rng.integers(0, 3, 6)
         holds = lambda w, i, j: w[0] <= i <= w[1] <= j <= w[2]
-        want = np.zeros(6, bool)
-        for x in range(6):
-            for y in range(6):
-                if kind[x] != kind[y] and all(any(holds(s[x], i, j) and holds(s[y], i, j) for i in range(25) for j in range(i + 3, 25)) for s in sides):
-                    want[x] = True
-        assert passages.agreeing(kind, *sides).tolist() == want.tolist()
+        joined = lambda x, y, sides: kind[x] != kind[y] and all(any(holds(s[x], i, j) and holds(s[y], i, j) for i in range(25) for j in range(i + 3, 25)) for s in sides)
+        assert passages.agreeing(kind, sides[0]).tolist() == [any(joined(x, y, sides[:1]) for y in range(6)) for x in range(6)]
+        group = rng.integers(0, 2, 6)
+        got = passages.meeting(group, kind, *sides)
+        assert sorted(group[got]) == [g for g in (0, 1) if any(joined(x, y, sides) for x in range(6) for y in range(6) if group[x] == group[y] == g)]
 
 
 @pytest.mark.parametrize("packed", [1 << 20, 1])
