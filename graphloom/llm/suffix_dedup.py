@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, in_arrow, read
+from .common import cut, drop, in_arrow, read
 from .shingles import _TABLE, byte_column, mix, slices
 from .suffixes import _ranges, suffix_order, suffix_orders
 
@@ -391,8 +391,10 @@ def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole = each.groupBy("h").agg(F.count(F.lit(1)).alias("contexts"), F.max("full").alias("any")).where("contexts > 1 OR any").select("h", "contexts")
     again = by_anchor.join(each.join(whole, "h"), ["h", "around"])
     again = cut(again.select("h", "around", "tid", "at", "full", (F.col("contexts") > 1).alias("mixed"), (F.struct("tid", "at") == F.col("rep")).alias("is_rep")))
+    known = cut(found.where("known").select("tid", "at"))
+    drop(found)
     # surroundings found at two places or more are repeated in full
-    full = again.where("full").select("tid", "at").unionByName(found.where("known").select("tid", "at"))
+    full = again.where("full").select("tid", "at").unionByName(known)
     full = full.select("tid", (F.col("at") - BEFORE).alias("start"), (F.col("at") + WIDTH).alias("end"))
     # one place of each different surroundings
     wanted = again.where("mixed AND is_rep").groupBy("tid").agg(F.collect_list(F.struct("h", "around", "at")).alias("wanted"))
