@@ -132,15 +132,16 @@ class KnowledgeGraph:
         return KnowledgeGraph(self.triples.unionByName(as_triples(rows)), self.extra_entities)
 
     def remove(self, subject: str, predicate: str, obj: str) -> tuple[KnowledgeGraph, bool]:
-        """Without the first matching triple; both entities stay. The flag tells of a match."""
-        match = (F.col("subject") == subject) & (F.col("predicate") == predicate) & (F.col("object") == obj)
-        at = self.triples.where(match).agg(F.min("seq")).first()[0]
-        if at is None:
+        """Without the first matching triple, one row even if others share its seq; both entities stay.
+        The flag tells of a match."""
+        match = F.coalesce((F.col("subject") == subject) & (F.col("predicate") == predicate) & (F.col("object") == obj), F.lit(False))
+        found = self.triples.where(match).withColumn("_r", F.row_number().over(Window.partitionBy(*KEY).orderBy("seq")))
+        gone = found.where("_r = 1").drop("_r")
+        if gone.isEmpty():
             return self, False
-        gone = self.triples.where(F.col("seq") == at)
         held = first_seen(gone).select("first_seen", "id", *[F.lit(None).cast("string").alias(c) for c in ("label", "entity_type", "properties")])
         kept = held if self.extra_entities is None else _last_wins(held, self.extra_entities)
-        return KnowledgeGraph(self.triples.where(F.col("seq") != at), kept), True
+        return KnowledgeGraph(self.triples.where(~match).unionByName(found.where("_r > 1").drop("_r")), kept), True
 
     def clear(self) -> KnowledgeGraph:
         return KnowledgeGraph(self.triples.limit(0))

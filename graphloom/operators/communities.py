@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import KnowledgeGraph
 from ..plans.cut import cut, drop
 from ..plans.iterate import observed
+from ..plans.number import numbered
 
 
 def _min_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -119,5 +120,4 @@ def label_propagation(graph: KnowledgeGraph, max_iterations: int = 50, seed: int
         if not m["changed"]:
             break
     labels = held.select("label").distinct()
-    number = labels.withColumn("k", F.row_number().over(Window.orderBy("label")) - 1)  # one row a community
-    return held.join(number, "label").select("id", F.col("k").cast("long").alias("label"))
+    return held.join(numbered(labels, ["label"], "k"), "label").select("id", F.col("k").alias("label"))

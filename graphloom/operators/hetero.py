@@ -5,10 +5,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import KnowledgeGraph
+from ..plans.cut import cut
+from ..plans.number import numbered
 
 EDGE_TYPE = ["src_type", "relation", "dst_type"]
 
@@ -31,8 +33,10 @@ class HeteroGraph:
         if nodes is not None:
             ends = ends.unionByName(nodes.select("node_type", "id", (F.col("seq") * 2).alias("at")))
         seen = ends.groupBy("node_type", "id").agg(F.min("at").alias("at"))
-        order = Window.partitionBy("node_type").orderBy("at", "id")
-        table = seen.select("node_type", (F.row_number().over(order) - 1).cast("long").alias("local_idx"), "id")
+        # one number for all types; a type's first one (a row a type) is its zero
+        placed = numbered(seen, ["node_type", "at", "id"])
+        zero = placed.groupBy("node_type").agg(F.min("n").alias("zero"))
+        table = cut(placed.join(zero, "node_type").select("node_type", (F.col("n") - F.col("zero")).alias("local_idx"), "id"))
         s = table.select(F.col("node_type").alias("src_type"), F.col("id").alias("src"), F.col("local_idx").alias("src_idx"))
         d = table.select(F.col("node_type").alias("dst_type"), F.col("id").alias("dst"), F.col("local_idx").alias("dst_idx"))
         e = edges.join(s, ["src_type", "src"]).join(d, ["dst_type", "dst"])
@@ -129,13 +133,15 @@ class HeteroGraph:
         n = self.node_counts().select(F.lit("node").alias("kind"), F.col("node_type").alias("key"), "n")
         return n.unionByName(self.edge_counts().select(F.lit("edge").alias("kind"), key.alias("key"), "n"))
 
-    def save(self, folder: str) -> None:
-        self.nodes.write.parquet(f"{folder}/nodes")
-        self.edges.write.parquet(f"{folder}/edges")
+    def save(self, folder: str, form: str = "parquet") -> None:
+        """Two tables; `form` is `parquet` or `json` (an object a line)."""
+        self.nodes.write.format(form).save(f"{folder}/nodes")
+        self.edges.write.format(form).save(f"{folder}/edges")
 
     @staticmethod
-    def load(spark: SparkSession, folder: str) -> HeteroGraph:
-        return HeteroGraph(spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/edges"))
+    def load(spark: SparkSession, folder: str, form: str = "parquet") -> HeteroGraph:
+        tables = {"nodes": "node_type string, local_idx long, id string", "edges": "seq long, src_type string, relation string, dst_type string, src_idx long, dst_idx long"}
+        return HeteroGraph(*[spark.read.format(form).schema(schema).load(f"{folder}/{name}") for name, schema in tables.items()])
 
 
 def reverse_edge_type(edge_type: tuple[str, str, str]) -> tuple[str, str, str]:

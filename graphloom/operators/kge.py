@@ -6,10 +6,11 @@ test, then pos.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import KnowledgeGraph
+from ..plans.number import numbered
 
 SPLITS = ["train", "valid", "test"]
 
@@ -32,7 +33,7 @@ def vocab(dataset: DataFrame, kind: str) -> DataFrame:
         ends = F.array(F.struct(F.col("head").alias("name"), at.alias("at")), F.struct(F.col("tail").alias("name"), (at + 1).alias("at")))
         seen = dataset.select(F.explode(ends).alias("x")).select("x.*")
     first = seen.groupBy("name").agg(F.min("at").alias("at"))
-    return first.select((F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("id"), "name")
+    return numbered(first, ["at"], "id").select("id", "name")
 
 
 def entities(dataset: DataFrame) -> DataFrame:

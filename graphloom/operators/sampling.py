@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import KnowledgeGraph
-from ..plans.cut import cut, drop
+from ..plans.cut import cut
+from ..plans.iterate import observed
 
 
 @dataclass(frozen=True)
@@ -37,47 +38,66 @@ def _uniform(*parts: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11)).cast("double") * F.lit(2.0**-53)
 
 
-def _neighbours(graph: KnowledgeGraph) -> DataFrame:
-    """(id, adj): out-neighbours of each node in insertion order, with multiplicity."""
-    placed = graph.triples.groupBy("subject").agg(F.sort_array(F.collect_list(F.struct("seq", "object"))).alias("a"))
-    return placed.select(F.col("subject").alias("id"), F.transform("a", lambda x: x["object"]).alias("adj"))
+def _slots(graph: KnowledgeGraph) -> tuple[DataFrame, DataFrame]:
+    """((id, degree), (id, slot, object)): out-neighbours by place, in insertion order and with
+    multiplicity. A hub is many rows, never one list."""
+    place = F.row_number().over(Window.partitionBy("subject").orderBy("seq", "object")) - 1
+    slots = cut(graph.triples.select(F.col("subject").alias("id"), place.alias("slot"), "object"))
+    return cut(slots.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))), slots
 
 
-def step_weights(adj: Column, prev: Column, prev_adj: Column, p: float, q: float) -> Column:
-    """Weights of the next nodes: 1/p back, 1 to a neighbour of the last node, else 1/q; the largest is 1."""
+#: Candidates that a walker draws at once for a weighted step.
+TRIES = 8
+
+
+def step_weight(candidate: Column, prev: Column, linked: Column, p: float, q: float) -> Column:
+    """The weight of a step: 1/p back, 1 to a neighbour of the last node (`linked`), else 1/q; over the
+    largest of the three."""
     top = max(1 / p, 1.0, 1 / q)
-    return F.transform(adj, lambda x: F.when(x == prev, 1 / p / top).when(F.array_contains(prev_adj, x), 1 / top).otherwise(1 / q / top))
+    return F.when(candidate == prev, 1 / p / top).when(linked, 1 / top).otherwise(1 / q / top)
 
 
 def generate_walks(graph: KnowledgeGraph, config: RandomWalkConfig = RandomWalkConfig()) -> DataFrame:
     """(walk_id, round, start, walk): num_walks walks from every node, of up to walk_length nodes.
 
-    Each step is one join of the walkers with the neighbour lists. The first step is uniform,
-    the others follow the weights; a walk ends at a node without out-neighbours.
+    A step draws a place among the out-neighbours and joins it by (node, place); a walk ends at a
+    node without out-neighbours. The first step is uniform, and so are all if p = q = 1. Otherwise a
+    drawn neighbour is taken with its weight as the probability (rejection), where the edge from
+    the last node is looked up by a join; TRIES draws go at once, and walkers that took none
+    draw again.
     """
     config.validate()
-    adj = cut(_neighbours(graph))
-    starts = graph.entity_ids().select(F.explode(F.sequence(F.lit(0), F.lit(config.num_walks - 1))).alias("round"), F.col("id").alias("start")) if config.num_walks else graph.entity_ids().limit(0).select(F.lit(0).alias("round"), F.col("id").alias("start"))
-    none = F.array().cast("array<string>")
-    live = cut(starts.select("round", "start", F.array("start").alias("walk"), none.alias("prev_adj"), F.lit(True).alias("on")))
+    degrees, slots = _slots(graph)
+    edges = cut(graph.directed().select(F.col("src").alias("prev"), F.col("dst").alias("object"), F.lit(True).alias("linked")))
+    rounds = F.sequence(F.lit(0), F.lit(config.num_walks - 1)) if config.num_walks else F.array().cast("array<int>")
+    live = cut(graph.entity_ids().select(F.explode(rounds).alias("round"), F.col("id").alias("start"), F.array("id").alias("walk")))
+    done = None
     p, q = float(config.p), float(config.q)
+    who = ["round", "start"]
     for step in range(1, config.walk_length):
-        now = live.withColumn("id", F.when(F.col("on"), F.element_at("walk", -1)))
-        now = now.join(adj, "id", "left")
-        u = _uniform(F.lit(config.seed) + F.col("round"), F.col("start"), F.lit(step))
-        first = F.get("adj", F.floor(u * F.size("adj")).cast("int"))
+        at = live.withColumn("id", F.element_at("walk", -1)).join(degrees, "id", "left")
+        ended, at = at.where("degree IS NULL").select(*who, "walk"), at.where("degree IS NOT NULL")
+        done = ended if done is None else done.union(ended)
+        draw = lambda *x: _uniform(F.lit(config.seed) + F.col("round"), F.col("start"), F.lit(step), *x)
+        slot = lambda u: F.least(F.floor(u * F.col("degree")), F.col("degree") - 1)
         if step == 1 or (p == 1 and q == 1):
-            nxt = first
+            new = cut(at.withColumn("slot", slot(draw())).join(slots, ["id", "slot"]).select(*who, F.concat("walk", F.array("object")).alias("walk")))
         else:
-            w = step_weights(F.col("adj"), F.element_at("walk", -2), F.col("prev_adj"), p, q)
-            sums = F.aggregate(w, F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.element_at(F.when(F.size(a) > 0, a), -1), F.lit(0.0)) + x)))
-            pick = lambda s: F.get(F.col("adj"), F.least(F.size(F.filter(s, lambda c: c <= u * F.element_at(s, -1))), F.size(s) - 1))
-            nxt = F.get(F.transform(F.array(sums), pick), F.lit(0))
-        goes = F.col("adj").isNotNull() & (F.size("adj") > 0)
-        new = now.select("round", "start", F.when(goes, F.concat("walk", F.array(nxt))).otherwise(F.col("walk")).alias("walk"), F.coalesce("adj", none).alias("prev_adj"), goes.alias("on"))
-        new = cut(new)
-        drop(live)
+            new, waiting, k = None, at.withColumn("prev", F.element_at("walk", -2)), 0
+            while True:
+                tried = waiting.withColumn("k", F.explode(F.sequence(F.lit(k), F.lit(k + TRIES - 1))))
+                tried = tried.withColumn("slot", slot(draw("k"))).join(slots, ["id", "slot"]).join(edges, ["prev", "object"], "left")
+                taken = draw("k", F.lit("take")) < step_weight(F.col("object"), F.col("prev"), F.col("linked"), p, q)
+                first = F.min(F.when(taken, F.struct("k", "object")))
+                got = tried.groupBy(*who).agg(first.alias("took"), *[F.first(c).alias(c) for c in ("id", "prev", "degree", "walk")])
+                got, m = observed(got, waiting=F.count_if(F.col("took").isNull()))
+                part = got.where("took IS NOT NULL").select(*who, F.concat("walk", F.array("took.object")).alias("walk"))
+                new = part if new is None else new.union(part)
+                if not m["waiting"]:
+                    break
+                waiting, k = got.where("took IS NULL").select(*who, "id", "prev", "degree", "walk"), k + TRIES
         live = new
+    live = live if done is None else live.union(done)
     return live.select(F.concat_ws(":", F.col("round").cast("string"), "start").alias("walk_id"), "round", "start", "walk")
 
 
@@ -99,10 +119,12 @@ def sample_neighbors(graph: KnowledgeGraph, nodes: DataFrame, k: int, seed: int
 
 def sample_neighbors_with_replacement(graph: KnowledgeGraph, nodes: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """(id, sample): exactly k draws, or [] for nodes without out-neighbours."""
-    adj = _neighbours(graph)
-    at = lambda i: F.floor(_uniform(F.lit(seed), F.col("id"), i) * F.size("adj")).cast("int")
-    draws = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.get("adj", at(i))) if k > 0 else F.array().cast("array<string>")
-    return nodes.select("id").distinct().join(adj, "id", "left").select("id", F.when(F.col("adj").isNull(), F.array().cast("array<string>")).otherwise(draws).alias("sample"))
+    ids = nodes.select("id").distinct()
+    degrees, slots = _slots(graph)
+    draws = ids.join(degrees, "id").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(k)) if k > 0 else F.array().cast("array<int>")))
+    draws = draws.withColumn("slot", F.least(F.floor(_uniform(F.lit(seed), F.col("id"), F.col("i")) * F.col("degree")), F.col("degree") - 1))
+    per = draws.join(slots, ["id", "slot"]).groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "object"))), lambda x: x["object"]).alias("sample"))
+    return ids.join(per, "id", "left").select("id", F.coalesce("sample", F.array().cast("array<string>")).alias("sample"))
 
 
 def neighbor_sampler(graph: KnowledgeGraph, seeds: list[str], fanouts: list[int], seed: int = 42) -> tuple[DataFrame, DataFrame]:

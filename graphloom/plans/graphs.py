@@ -27,9 +27,6 @@ def handoff_sql(where: str = "true") -> str:
       SELECT event_id, user_id, event_type, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS o FROM events WHERE {where}) WHERE o IS NOT NULL"""
 
 
-SPARSE = "event_id % 16 = 0"
-SCC = "event_id % 100 = 0"
-
 #: (predicate, SQL of seq / s / o over one table); the same text serves Spark and DuckDB.
 TPCH = {
     "in_region": ("nation", "n_nationkey", "concat('nation:', n_nationkey)", "concat('region:', n_regionkey)"),

@@ -69,27 +69,26 @@ def _(spark, d):
     return lines.parse(lines.nquads_lines(q), quads=True).where("ok").groupBy("graph").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("adjacency_json", f"WITH {_T} SELECT s AS subject, 'related_to' AS predicate, o AS object FROM t WHERE p = 'in_region'")
+_W = f"t AS ({g.tpch_sql()})"
+
+
+@query("adjacency_json", f"WITH {_W} SELECT s AS subject, 'related_to' AS predicate, o AS object FROM t")
 def _(spark, d):
-    t = g.tpch(spark, d, ["in_region"]).triples.groupBy("subject").agg(F.collect_list("object").alias("o"))
+    t = g.tpch(spark, d).triples.groupBy("subject").agg(F.collect_list("object").alias("o"))
     json = t.select(F.to_json(F.create_map("subject", "o")).alias("value"))
     return lines.adjacency(json).triples.select("subject", "predicate", "object")
 
 
-@query("turtle_roundtrip", f"WITH {_T} SELECT s AS subject, p AS predicate, o AS object FROM t WHERE p <> 'customer_in'")
+@query("turtle_roundtrip", f"WITH {_W} SELECT s AS subject, p AS predicate, o AS object FROM t")
 def _(spark, d):
-    k = g.tpch(spark, d, ["in_region", "supplier_in"])
-    text = documents.turtle_blocks(k.triples, {"n": "nation:", "s": "supplier:"})
-    whole = text.agg(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("subject", "value"))), lambda x: x["value"])).alias("body"))
-    head = documents.turtle_head({"n": "nation:", "s": "supplier:"})
-    return documents.parse_turtle(whole.select(F.concat(F.lit(head), "body").alias("value"))).select("subject", "predicate", "object")
+    prefixes = {"n": "nation:", "s": "supplier:"}
+    text = documents.turtle_blocks(g.tpch(spark, d).triples, prefixes)  # a document for each subject
+    return documents.parse_turtle(text.select(F.concat(F.lit(documents.turtle_head(prefixes)), "value").alias("value"))).select("subject", "predicate", "object")
 
 
-@query("jsonld_roundtrip", f"WITH {_T} SELECT s AS subject, p AS predicate, o AS object FROM t WHERE p = 'in_region'")
+@query("jsonld_roundtrip", f"WITH {_W} SELECT s AS subject, p AS predicate, o AS object FROM t")
 def _(spark, d):
-    nodes = documents.jsonld_nodes(g.tpch(spark, d, ["in_region"]).triples)
-    whole = nodes.agg(F.concat(F.lit('{"@graph":['), F.concat_ws(",", F.sort_array(F.collect_list("value"))), F.lit("]}")).alias("value"))
-    return documents.parse_jsonld(whole).select("subject", "predicate", "object")
+    return documents.parse_jsonld(documents.jsonld_nodes(g.tpch(spark, d).triples)).select("subject", "predicate", "object")
 
 
 def _document(spark, d) -> documents.GraphDocument:
@@ -130,27 +129,53 @@ def _folder(spark) -> str:
     return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
-@query("csv_two_col", f"WITH {_T} SELECT s AS subject, 'related_to' AS predicate, o AS object FROM t WHERE p = 'in_region'")
+@query("csv_two_col", f"WITH {_W} SELECT s AS subject, 'related_to' AS predicate, o || ',' || chr(10) AS object FROM t")
 def _(spark, d):
     at = _folder(spark)
-    g.tpch(spark, d, ["in_region"]).triples.select(F.concat_ws(",", "subject", F.concat(F.lit('"'), "object", F.lit('"')))).write.text(at)
+    g.tpch(spark, d).triples.select(F.concat_ws(",", "subject", F.concat(F.lit('"'), "object", F.lit(',\n"')))).write.text(at)
     return lines.read_csv(spark, at).triples.select("subject", "predicate", "object")
 
 
-@query("csv_three_col", f"WITH {_T} SELECT s AS subject, p AS predicate, o AS object FROM t WHERE p <> 'customer_in'")
+@query("csv_three_col", f"WITH {_W} SELECT s AS subject, p AS predicate, o AS object FROM t")
 def _(spark, d):
     at = _folder(spark)
-    g.tpch(spark, d, ["in_region", "supplier_in"]).triples.select(F.concat_ws(",", "subject", "predicate", "object")).write.text(at)
+    g.tpch(spark, d).triples.select(F.concat_ws(",", "subject", "predicate", "object")).write.text(at)
     return lines.read_csv(spark, at).triples.select("subject", "predicate", "object")
 
 
-@query("kge_files", f"SELECT 'train' AS split, s AS head, p AS relation, o AS tail FROM ({g.handoff_sql(g.SCC)})")
+@query("kge_files", f"SELECT 'train' AS split, s AS head, p AS relation, o AS tail FROM ({g.handoff_sql()})")
 def _(spark, d):
     at = _folder(spark)
-    g.handoff(spark, d, g.SCC).triples.select(F.concat_ws("\t", "subject", "predicate", "object")).write.text(at)
+    g.handoff(spark, d).triples.select(F.concat_ws("\t", "subject", "predicate", "object")).write.text(at)
     return lines.read_kge_split(spark, at).select("split", "head", "relation", "tail")
 
 
+@query("json_roundtrip", f"WITH t AS ({g.handoff_sql()}) SELECT seq, s AS subject, p AS predicate, o AS object, (seq % 10 / 10)::FLOAT AS confidence FROM t")
+def _(spark, d):
+    at = _folder(spark)
+    lines.save(g.handoff(spark, d), at, "json")
+    return lines.load(spark, at, "json").triples.select("seq", "subject", "predicate", "object", "confidence")
+
+
+@query("ntriples_files", f"WITH {_W} SELECT seq_of.n AS triples, (SELECT count(DISTINCT (s, p, o)) FROM t) AS different, seq_of.n AS strict FROM (SELECT count(*) AS n FROM t) seq_of")
+def _(spark, d):
+    at = _folder(spark)
+    lines.ntriples_lines(g.tpch(spark, d).triples).select("value").write.text(at)
+    t = lines.read_ntriples(spark, at).triples
+    strict = lines.read_ntriples_strict(spark, at).triples.agg(F.count(F.lit(1)).alias("strict"))
+    return t.agg(F.count(F.lit(1)).alias("triples"), F.count_distinct("subject", "predicate", "object").alias("different")).crossJoin(strict)  # one row each
+
+
+@query("graph_changes", f"WITH t AS ({g.handoff_sql()}) SELECT (SELECT count(*) FROM t) + (SELECT count(*) FROM nation) AS added, 0::BIGINT AS cleared, (SELECT count(*) FROM t WHERE s = '1') AS neighbors")
+def _(spark, d):
+    k = g.handoff(spark, d)
+    top = k.triples.agg((F.max("seq") + 1).alias("top"))
+    more = g.tpch(spark, d, ["in_region"]).triples.crossJoin(F.broadcast(top)).withColumn("seq", F.col("seq") + F.col("top")).drop("top")  # one row
+    added = k.add(more).triples.agg(F.count(F.lit(1)).alias("added"))
+    cleared = k.clear().triples.agg(F.count(F.lit(1)).alias("cleared"))
+    return added.crossJoin(cleared).crossJoin(k.neighbors("1").agg(F.count(F.lit(1)).alias("neighbors")))  # one row each
+
+
 @query("binary_roundtrip", f"WITH t AS ({g.handoff_sql()}) SELECT seq, s AS subject, p AS predicate, o AS object, (seq % 10 / 10)::FLOAT AS confidence FROM t")
 def _(spark, d):
     at = _folder(spark)
@@ -158,13 +183,13 @@ def _(spark, d):
     return lines.load(spark, at).triples.select("seq", "subject", "predicate", "object", "confidence")
 
 
-@query("hetero_files", "SELECT 'nation' AS node_type, count(*) AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region")
+@query("hetero_files", f"WITH t AS ({g.tpch_sql()}) SELECT split_part(id, ':', 1) AS node_type, count(*) AS n FROM ({g.nodes_sql()}) GROUP BY 1")
 def _(spark, d):
     from ..operators.hetero import HeteroGraph
 
-    t = g.tpch(spark, d, ["in_region"]).triples
+    t = g.tpch(spark, d).triples
     kind = lambda c: F.substring_index(c, ":", 1)
     h = HeteroGraph.build(t.select("seq", kind("subject").alias("src_type"), F.col("subject").alias("src"), F.col("predicate").alias("relation"), kind("object").alias("dst_type"), F.col("object").alias("dst")))
     at = _folder(spark)
-    h.save(at)
-    return HeteroGraph.load(spark, at).node_counts()
+    h.save(at, "json")
+    return HeteroGraph.load(spark, at, "json").node_counts()

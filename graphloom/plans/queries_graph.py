@@ -11,7 +11,7 @@ from . import graphs as g
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-H, S, C = g.handoff_sql(), g.handoff_sql(g.SPARSE), g.handoff_sql(g.SCC)
+H = g.handoff_sql()
 SPO = ["subject", "predicate", "object"]
 
 
@@ -130,15 +130,15 @@ def _(spark, d):
     return _show(g.tpch(spark, d).subgraph_by_predicates(["in_region", "supplier_in"]).triples)
 
 
-@query("khop_subgraph", f"""WITH RECURSIVE t AS ({S}), u AS (SELECT s, o FROM t UNION SELECT o, s FROM t),
+@query("khop_subgraph", f"""WITH RECURSIVE t AS ({H}), u AS (SELECT s, o FROM t UNION SELECT o, s FROM t),
 near AS (SELECT (SELECT s FROM t ORDER BY seq LIMIT 1) AS id, 0 AS k UNION SELECT u.o, k + 1 FROM near JOIN u ON u.s = near.id WHERE k < 2)
 SELECT seq, s AS subject, p AS predicate, o AS object FROM t WHERE s IN (SELECT id FROM near) AND o IN (SELECT id FROM near)""")
 def _(spark, d):
-    k = g.handoff(spark, d, g.SPARSE)
+    k = g.handoff(spark, d)
     return _show(traverse.subgraph_around(k, k.triples.agg(F.min_by("subject", "seq")).first()[0], 2).triples)
 
 
-@query("shortest_path", f"""WITH RECURSIVE t AS ({S}), n AS ({g.nodes_sql()}),
+@query("shortest_path", f"""WITH RECURSIVE t AS ({H}), n AS ({g.nodes_sql()}),
 e AS (SELECT DISTINCT s, o FROM t), a AS (SELECT id FROM n ORDER BY first_seen LIMIT 1), b AS (SELECT id FROM n ORDER BY first_seen DESC LIMIT 1),
 dist AS (SELECT id, 0 AS k FROM b UNION SELECT e.s, k + 1 FROM dist JOIN e ON e.o = dist.id WHERE k < 12),
 near AS (SELECT id, min(k) AS k FROM dist GROUP BY id),
@@ -147,7 +147,7 @@ walk AS (SELECT a.id, near.k, 0 AS hop, NULL::VARCHAR AS back FROM a JOIN near U
     FROM walk JOIN e ON e.s = walk.id JOIN near ON near.id = e.o AND near.k = walk.k - 1 JOIN n ON n.id = near.id) x WHERE r = 1)
 SELECT (hop - 1)::INT AS hop, back AS subject, arg_min(p, seq) AS predicate, id AS object FROM walk JOIN t ON t.s = back AND t.o = id WHERE hop > 0 GROUP BY hop, back, id""")
 def _(spark, d):
-    k = g.handoff(spark, d, g.SPARSE)
+    k = g.handoff(spark, d)
     ends = k.entities().agg(F.min_by("id", "first_seen"), F.max_by("id", "first_seen")).first()
     return traverse.find_path(k, *ends).select("hop", *SPO)
 
@@ -170,7 +170,7 @@ def _(spark, d):
 
 def _paths(undirected: bool) -> str:
     e = "SELECT DISTINCT s, o FROM (SELECT s, o FROM t UNION ALL SELECT o, s FROM t) WHERE s <> o" if undirected else "SELECT DISTINCT s, o FROM t WHERE s <> o"
-    return f"""WITH RECURSIVE t AS ({S}), n AS ({g.nodes_sql()}), e AS ({e}),
+    return f"""WITH RECURSIVE t AS ({H}), n AS ({g.nodes_sql()}), e AS ({e}),
 dist AS (SELECT id AS a, id AS b, 0 AS k FROM n UNION SELECT a, e.o, k + 1 FROM dist JOIN e ON e.s = b WHERE k < 12),
 near AS (SELECT a, b, min(k) AS k FROM dist GROUP BY a, b),
 paths AS (SELECT id AS a, id AS b, 0 AS k, 1.0::DOUBLE AS w FROM n
@@ -186,22 +186,22 @@ SELECT id, round(coalesce(c, 0) / ((m.n - 1) * (m.n - 2)), 9) AS score FROM n LE
 
 @query("betweenness_directed", _betweenness(False))
 def _(spark, d):
-    return centrality.betweenness_centrality(g.handoff(spark, d, g.SPARSE)).withColumn("score", F.round("score", 9))
+    return centrality.betweenness_centrality(g.handoff(spark, d)).withColumn("score", F.round("score", 9))
 
 
 @query("betweenness_undirected", _betweenness(True))
 def _(spark, d):
-    return centrality.betweenness_centrality(g.handoff(spark, d, g.SPARSE), undirected=True).withColumn("score", F.round("score", 9))
+    return centrality.betweenness_centrality(g.handoff(spark, d), undirected=True).withColumn("score", F.round("score", 9))
 
 
 @query("closeness_harmonic", f"{_paths(False)}, m AS (SELECT count(*) AS n FROM n) SELECT id, round(coalesce(sum(CASE WHEN k > 0 THEN 1.0 / k END), 0) / (max(m.n) - 1), 9) AS score FROM n LEFT JOIN near ON a = id, m GROUP BY id")
 def _(spark, d):
-    return centrality.closeness_centrality(g.handoff(spark, d, g.SPARSE)).withColumn("score", F.round("score", 9))
+    return centrality.closeness_centrality(g.handoff(spark, d)).withColumn("score", F.round("score", 9))
 
 
 @query("closeness_classic", f"{_paths(False)}, m AS (SELECT count(*) AS n FROM n) SELECT id, round(coalesce(count(*) FILTER (k > 0) / nullif(sum(k), 0) * count(*) FILTER (k > 0) / (max(m.n) - 1), 0), 9) AS score FROM n LEFT JOIN near ON a = id, m GROUP BY id")
 def _(spark, d):
-    return centrality.closeness_centrality(g.handoff(spark, d, g.SPARSE), harmonic=False).withColumn("score", F.round("score", 9))
+    return centrality.closeness_centrality(g.handoff(spark, d), harmonic=False).withColumn("score", F.round("score", 9))
 
 
 def _power(t: str, rounds: int, body: str, start: str) -> str:
@@ -265,9 +265,9 @@ def _(spark, d):
     return _ranks(g.handoff(spark, d), 10)
 
 
-@query("pagerank_dangling", _pr(C, 10))
+@query("pagerank_dangling", _pr(g.tpch_sql(), 10))
 def _(spark, d):
-    return _ranks(g.handoff(spark, d, g.SCC), 10)
+    return _ranks(g.tpch(spark, d), 10)
 
 
 @query("pagerank_top10", f"SELECT id, score FROM ({_pr(H, 10)}) ORDER BY score DESC, id LIMIT 10")
@@ -281,9 +281,14 @@ _PPR = f"""SELECT max(it) + 1, id, CASE WHEN id = {_SEED} THEN 0.15 + 0.85 * max
   UNION ALL SELECT it, e.o, x / out, 0 FROM v JOIN deg ON deg.id = v.id JOIN e ON e.s = v.id) GROUP BY id HAVING max(it) < @R"""
 
 
-@query("ppr_seed", _power(C, 10, _PPR, f"CASE WHEN id = {_SEED} THEN 1.0 ELSE 0.0 END::DOUBLE") + " SELECT id, round(x, 9) AS score FROM v WHERE it = 10")
+def ppr_sql(t: str, rounds: int) -> str:
+    """(id, x): scores of the first node seen."""
+    return _power(t, rounds, _PPR, f"CASE WHEN id = {_SEED} THEN 1.0 ELSE 0.0 END::DOUBLE") + f" SELECT id, x FROM v WHERE it = {rounds}"
+
+
+@query("ppr_seed", f"SELECT id, round(x, 9) AS score FROM ({ppr_sql(H, 10)})")
 def _(spark, d):
-    k = g.handoff(spark, d, g.SCC)
+    k = g.handoff(spark, d)
     seed = k.entities().agg(F.min_by("id", "first_seen")).first()[0]
     return ranking.personalized_pagerank(k, seed, ranking.PageRankConfig(0.85, 10, 1e-300)).scores.withColumn("score", F.round("score", 9))
 
@@ -293,27 +298,34 @@ def _reach(t: str, both: bool) -> str:
     return f"WITH RECURSIVE t AS ({t}), n AS ({g.nodes_sql()}), e AS ({e}), r AS (SELECT id AS a, id AS b FROM n UNION SELECT a, o FROM r JOIN e ON s = b)"
 
 
-_PLACES = ["in_region", "supplier_in"]
-_WCC = _reach(g.tpch_sql(_PLACES), True) + ", c AS (SELECT a AS id, min(b) AS component FROM r GROUP BY a)"
+# the whole graph is one component; its places and what was ordered are two sorts of them
+_WCC = f"""WITH RECURSIVE t AS ({g.tpch_sql()}), n AS ({g.nodes_sql()}), e AS (SELECT s, o FROM t UNION SELECT o, s FROM t),
+v AS (SELECT 0 AS it, id, id AS component FROM n UNION ALL SELECT max(it) + 1, id, min(component) FROM (
+  SELECT it, id, component FROM v UNION ALL SELECT it, e.o, component FROM v JOIN e ON e.s = v.id) GROUP BY id HAVING max(it) < 12), c AS (SELECT id, component FROM v WHERE it = 12)"""
 
 
 @query("wcc", f"{_WCC} SELECT * FROM c")
 def _(spark, d):
-    return communities.weakly_connected_components(g.tpch(spark, d, _PLACES))
+    return communities.weakly_connected_components(g.tpch(spark, d))
 
 
 @query("component_stats", f"{_WCC}, z AS (SELECT count(*) AS size FROM c GROUP BY component) SELECT count(*) AS num_components, max(size) AS max_size, min(size) AS min_size, round(avg(size), 9) AS avg_size, round(max(size) / sum(size), 9) AS largest_fraction FROM z")
 def _(spark, d):
-    out = communities.component_stats(communities.weakly_connected_components(g.tpch(spark, d, _PLACES)))
+    out = communities.component_stats(communities.weakly_connected_components(g.tpch(spark, d)))
     return out.withColumns({c: F.round(c, 9) for c in ("avg_size", "largest_fraction")})
 
 
-@query("scc", _reach(C, False) + " SELECT x.a AS id, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a")
+@query("scc", _reach(H, False) + " SELECT x.a AS id, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a")
 def _(spark, d):
-    return communities.strongly_connected_components(g.handoff(spark, d, g.SCC))
+    return communities.strongly_connected_components(g.handoff(spark, d))
+
+
+_VOTES = """SELECT it + 1, id, -max(struct_pack(n := n, l := -label)).l FROM (SELECT max(it) AS it, id, label, count(*) AS n FROM (
+  SELECT it, id, label FROM v UNION ALL SELECT it, e.o, label FROM v JOIN e ON e.s = v.id) GROUP BY id, label) WHERE it < 10 GROUP BY it, id"""
 
 
-@query("label_propagation", None)
+@query("label_propagation", f"""WITH RECURSIVE t AS ({H}), n AS ({g.nodes_sql()}), e AS (SELECT s, o FROM t WHERE s <> o UNION SELECT o, s FROM t WHERE s <> o),
+v AS (SELECT 0 AS it, id, first_seen AS label FROM n UNION ALL {_VOTES}) SELECT id, dense_rank() OVER (ORDER BY label) - 1 AS label FROM v WHERE it = 10""")
 def _(spark, d):
     return communities.label_propagation(g.handoff(spark, d), 10)
 

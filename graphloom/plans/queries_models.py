@@ -8,6 +8,7 @@ from ..operators import kge, ranking, sampling
 from ..operators.hetero import HeteroGraph
 from ..operators.hyper import HyperGraph
 from . import graphs as g
+from .queries_graph import ppr_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -231,18 +232,18 @@ def _(spark, d):
 
 
 def _walk_checks(spark, d, p: float, q: float):
-    k = g.handoff(spark, d, g.SCC)
-    config = sampling.RandomWalkConfig(walk_length=6, num_walks=3, p=p, q=q, seed=7)
+    k = g.handoff(spark, d)
+    config = sampling.RandomWalkConfig(walk_length=10, num_walks=5, p=p, q=q, seed=7)
     w = sampling.generate_walks(k, config)
     hops = w.select("walk_id", F.posexplode("walk").alias("k", "a"), "walk").where(F.col("k") < F.size("walk") - 1).select("a", F.get("walk", F.col("k") + 1).alias("b"))
     edges = k.directed()
     wrong = hops.join(edges, (hops["a"] == edges["src"]) & (hops["b"] == edges["dst"]), "left_anti").agg(F.count(F.lit(1)).alias("wrong_hops"))
-    sinks = w.where(F.size("walk") < 6).select(F.element_at("walk", -1).alias("src")).join(edges, "src", "left_semi").agg(F.count(F.lit(1)).alias("stopped_early"))
+    sinks = w.where(F.size("walk") < 10).select(F.element_at("walk", -1).alias("src")).join(edges, "src", "left_semi").agg(F.count(F.lit(1)).alias("stopped_early"))
     n = w.agg(F.count(F.lit(1)).alias("walks"), F.count_distinct("start").alias("starts"), F.count_if(F.get("walk", F.lit(0)) != F.col("start")).alias("wrong_starts"))
     return n.crossJoin(wrong).crossJoin(sinks)  # one row each
 
 
-_WALKS = f"WITH t AS ({g.handoff_sql(g.SCC)}), n AS ({g.nodes_sql()}) SELECT 3 * count(*) AS walks, count(*) AS starts, 0::BIGINT AS wrong_starts, 0::BIGINT AS wrong_hops, 0::BIGINT AS stopped_early FROM n"
+_WALKS = f"WITH t AS ({g.handoff_sql()}), n AS ({g.nodes_sql()}) SELECT 5 * count(*) AS walks, count(*) AS starts, 0::BIGINT AS wrong_starts, 0::BIGINT AS wrong_hops, 0::BIGINT AS stopped_early FROM n"
 
 
 @query("walk_invariants", _WALKS)
@@ -304,9 +305,12 @@ def _(spark, d):
     return b.select("item_id", w.alias("w")).crossJoin(F.broadcast(q)).select("item_id", F.size(F.array_intersect("w", "q")).cast("long").alias("overlap"))  # one row
 
 
-@query("passage_rank", None)
+_RANKED = ppr_sql(g.handoff_sql(), 10)
+
+
+@query("passage_rank", f"WITH r AS ({_RANKED}), x AS ({g.handoff_sql()}), seed AS (SELECT s FROM x ORDER BY seq LIMIT 1), m AS (SELECT DISTINCT p AS passage, s AS id FROM x UNION SELECT p, o FROM x) SELECT passage, round(sum(x), 9) AS score FROM m JOIN r USING (id) WHERE id <> (SELECT s FROM seed) GROUP BY passage")
 def _(spark, d):
-    k = g.handoff(spark, d, g.SCC)
+    k = g.handoff(spark, d)
     seed = k.entities().agg(F.min_by("id", "first_seen")).first()[0]
     scores = ranking.personalized_pagerank(k, seed, ranking.PageRankConfig(0.85, 10, 1e-300)).scores
     passages = k.triples.select(F.col("predicate").alias("passage"), F.explode(F.array("subject", "object")).alias("id")).distinct().where(F.col("id") != seed)

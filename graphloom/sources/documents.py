@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..model import KnowledgeGraph
+from ..plans.number import numbered
 from .lines import ParseError, literal
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
@@ -205,17 +206,18 @@ def _turtle(base: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for n, text in enumerate(batch.column("value").to_pylist()):
-                rows += [(n << 40 | k, *t) for k, t in enumerate(_Turtle(text or "", base).run())]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), *[pa.string()] * 3), strict=True)], ["seq", "subject", "predicate", "object"])
+            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                rows += [(doc, k, *t) for k, t in enumerate(_Turtle(text or "", base).run())]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), *[pa.string()] * 3), strict=True)], ["doc", "k", "subject", "predicate", "object"])
 
     return run
 
 
 def parse_turtle(documents: DataFrame, base: str = "") -> DataFrame:
-    """(seq, subject, predicate, object) of documents in `value`, one row each."""
-    return documents.select("value").mapInArrow(_turtle(base), "seq long, subject string, predicate string, object string")
+    """(seq, subject, predicate, object) of documents in `value`, one row each, in the order of the rows."""
+    rows = documents.select(F.monotonically_increasing_id().alias("doc"), "value").mapInArrow(_turtle(base), "doc long, k long, subject string, predicate string, object string")
+    return numbered(rows, ["doc", "k"], "seq").select("seq", "subject", "predicate", "object")
 
 
 def read_turtle(spark: SparkSession, path: str, base: str = "") -> KnowledgeGraph:
@@ -246,7 +248,8 @@ def _json_string(c: Column) -> Column:
 
 
 def parse_jsonld(documents: DataFrame) -> DataFrame:
-    """(seq, subject, predicate, object) of documents in `value`: the @graph array, or the one node.
+    """(seq, subject, predicate, object) of documents in `value`, in the order of the rows: the
+    @graph array, or the one node.
 
     Fields that start with @ are skipped; objects with @id and strings become triples,
     numbers, booleans and other objects do not; a node without @id raises.
@@ -254,16 +257,16 @@ def parse_jsonld(documents: DataFrame) -> DataFrame:
     v = F.parse_json("value")
     nodes = F.variant_get(v, "$['@graph']", "array<variant>")
     one = F.when(F.variant_get(v, "$['@id']", "string").isNotNull(), F.array(v))
-    rows = documents.select(F.posexplode(F.coalesce(nodes, one)).alias("i", "n"))
+    rows = documents.select(F.monotonically_increasing_id().alias("doc"), "value").select("doc", F.posexplode(F.coalesce(nodes, one)).alias("i", "n"))
     node_id = F.variant_get("n", "$['@id']", "string")
-    rows = rows.select("i", F.when(node_id.isNotNull(), node_id).otherwise(F.raise_error(F.lit("node without @id"))).alias("subject"), F.posexplode(F.map_entries(F.variant_get("n", "$", "map<string,variant>"))).alias("j", "f"))
-    rows = rows.where("NOT startswith(f.key, '@')").select("i", "j", "subject", F.col("f.key").alias("predicate"), F.col("f.value").alias("v"))
+    rows = rows.select("doc", "i", F.when(node_id.isNotNull(), node_id).otherwise(F.raise_error(F.lit("node without @id"))).alias("subject"), F.posexplode(F.map_entries(F.variant_get("n", "$", "map<string,variant>"))).alias("j", "f"))
+    rows = rows.where("NOT startswith(f.key, '@')").select("doc", "i", "j", "subject", F.col("f.key").alias("predicate"), F.col("f.value").alias("v"))
     kind = F.schema_of_variant("v")
     values = F.when(kind.startswith("ARRAY"), F.variant_get("v", "$", "array<variant>")).otherwise(F.array("v"))
-    rows = rows.select("i", "j", "subject", "predicate", F.posexplode(values).alias("k", "x"))
+    rows = rows.select("doc", "i", "j", "subject", "predicate", F.posexplode(values).alias("k", "x"))
     o = F.when(F.schema_of_variant("x") == "STRING", F.variant_get("x", "$", "string")).when(F.schema_of_variant("x").startswith("OBJECT"), F.variant_get("x", "$['@id']", "string"))
-    out = rows.select((F.col("i").cast("long") * (1 << 40) + F.col("j") * (1 << 20) + F.col("k")).alias("seq"), "subject", "predicate", o.alias("object"))
-    return out.where(F.col("object").isNotNull())
+    out = rows.select("doc", "i", "j", "k", "subject", "predicate", o.alias("object")).where(F.col("object").isNotNull())
+    return numbered(out, ["doc", "i", "j", "k"], "seq").select("seq", "subject", "predicate", "object")
 
 
 def read_jsonld(spark: SparkSession, path: str) -> KnowledgeGraph:

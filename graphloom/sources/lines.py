@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import terms
-from ..model import KnowledgeGraph
+from ..model import ENTITY_SCHEMA, TRIPLE_SCHEMA, KnowledgeGraph
+from ..plans.number import numbered
 
 _IRI = r"<(?P<{0}>[^\x00-\x20<>\"{{}}|^`\\]*(?:\\u[0-9A-Fa-f]{{4}}[^\x00-\x20<>\"{{}}|^`\\]*|\\U[0-9A-Fa-f]{{8}}[^\x00-\x20<>\"{{}}|^`\\]*)*)>"
 _BLANK = r"_:(?P<{0}>[^\s<>\"]+?)"
@@ -161,25 +162,29 @@ def write_lines(lines: DataFrame, path: str) -> None:
 
 
 def read_csv(spark: SparkSession, path: str) -> KnowledgeGraph:
-    """No header: three or more columns give subject, predicate, object; two get `related_to`; rows
-    with fewer are left out. Rows of different widths raise."""
-    raw = spark.read.text(path).where("value <> ''")
-    fields = F.from_csv("value", "a string, b string, c string, rest string", {"quote": '"', "escape": '"'})
-    width = F.size(F.filter(F.split(F.regexp_replace("value", '"(?:[^"]|"")*"', "x"), ","), lambda _: F.lit(True)))
-    rows = raw.withColumn("seq", F.monotonically_increasing_id()).select("seq", fields.alias("f"), width.alias("w"))
-    widths = rows.agg(F.min("w"), F.max("w")).first()
-    if widths[0] != widths[1]:
-        raise ValueError(f"rows of {widths[0]} and of {widths[1]} fields")
-    three = F.col("w") >= 3
-    out = rows.where("w >= 2").select("seq", F.col("f.a").alias("subject"), F.when(three, F.col("f.b")).otherwise("related_to").alias("predicate"), F.when(three, F.col("f.c")).otherwise(F.col("f.b")).alias("object"))
-    return KnowledgeGraph.of(out)
+    """No header: three or more columns give subject, predicate, object; two get `related_to`; a file
+    of one column gives nothing. Quoted fields may hold commas, line breaks and doubled quotes. Rows
+    of different widths raise."""
+    options = {"header": False, "multiLine": True, "quote": '"', "escape": '"', "nullValue": None, "emptyValue": "", "ignoreLeadingWhiteSpace": False}
+    width = len(spark.read.options(**options).csv(path).columns)
+    if width < 2:
+        return KnowledgeGraph.empty(spark)
+    names = ["a", "b", *[f"c{i}" for i in range(2, width)]]
+    schema = ", ".join(f"{c} string" for c in [*names, "_bad"])
+    rows = spark.read.options(**options, columnNameOfCorruptRecord="_bad", mode="PERMISSIVE").schema(schema).csv(path).withColumn("seq", F.monotonically_increasing_id())
+    bad = rows.where("_bad IS NOT NULL").select("_bad", "a").first()
+    if bad is not None:
+        raise ValueError(f"not {width} fields: {bad[0]}")
+    predicate, tail = (F.col("b"), F.col("c2")) if width > 2 else (F.lit("related_to"), F.col("b"))
+    return KnowledgeGraph.of(rows.select("seq", F.col("a").alias("subject"), predicate.alias("predicate"), tail.alias("object")))
 
 
 def adjacency(json: DataFrame) -> KnowledgeGraph:
-    """From (value) holding {head: [tail, ...]}; the predicate is `related_to`."""
-    heads = json.select(F.posexplode(F.map_entries(F.from_json("value", "map<string,array<string>>"))).alias("i", "e"))
-    pairs = heads.select("i", F.col("e.key").alias("subject"), F.posexplode("e.value").alias("j", "object"))
-    return KnowledgeGraph.of(pairs.select((F.col("i").cast("long") * (1 << 31) + F.col("j")).alias("seq"), "subject", F.lit("related_to").alias("predicate"), "object"))
+    """From documents in `value` holding {head: [tail, ...]}, in the order of the rows; the predicate
+    is `related_to`."""
+    heads = json.select(F.monotonically_increasing_id().alias("doc"), "value").select("doc", F.posexplode(F.map_entries(F.from_json("value", "map<string,array<string>>"))).alias("i", "e"))
+    pairs = heads.select("doc", "i", F.col("e.key").alias("subject"), F.posexplode("e.value").alias("j", "object"))
+    return KnowledgeGraph.of(numbered(pairs, ["doc", "i", "j"], "seq").select("seq", "subject", F.lit("related_to").alias("predicate"), "object"))
 
 
 def read_adjacency(spark: SparkSession, path: str) -> KnowledgeGraph:
@@ -205,11 +210,11 @@ def read_kge(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def save(graph: KnowledgeGraph, folder: str) -> None:
-    """The graph as two Parquet tables."""
-    graph.triples.write.parquet(f"{folder}/triples")
-    graph.entities().write.parquet(f"{folder}/entities")
+def save(graph: KnowledgeGraph, folder: str, form: str = "parquet") -> None:
+    """The graph as two tables; `form` is `parquet` or `json` (an object a line)."""
+    graph.triples.write.format(form).save(f"{folder}/triples")
+    graph.entities().write.format(form).save(f"{folder}/entities")
 
 
-def load(spark: SparkSession, folder: str) -> KnowledgeGraph:
-    return KnowledgeGraph(spark.read.parquet(f"{folder}/triples"), spark.read.parquet(f"{folder}/entities"))
+def load(spark: SparkSession, folder: str, form: str = "parquet") -> KnowledgeGraph:
+    return KnowledgeGraph(*[spark.read.format(form).schema(schema).load(f"{folder}/{name}") for name, schema in (("triples", TRIPLE_SCHEMA), ("entities", ENTITY_SCHEMA))])

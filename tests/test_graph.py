@@ -197,9 +197,45 @@ def test_walks(spark):
 
 
 def test_biased_weights(spark):
-    df = spark.createDataFrame([(["prev", "tri", "out"], "prev", ["tri"])], "adj array<string>, prev string, pa array<string>")
-    w = df.select(sampling.step_weights(F.col("adj"), F.col("prev"), F.col("pa"), 2.0, 4.0)).first()[0]
-    assert w == [0.5, 1.0, 0.25]
+    df = spark.createDataFrame([("prev", None), ("tri", True), ("out", None)], "x string, linked boolean")
+    w = df.select(sampling.step_weight(F.col("x"), F.lit("prev"), F.col("linked"), 2.0, 4.0).alias("w")).collect()
+    assert [r["w"] for r in w] == [0.5, 1.0, 0.25]
+
+
+def test_biased_steps_follow_the_weights(spark):
+    """From A to B, then back (1/p), to a neighbour of A (1), or further (1/q)."""
+    k = edges(spark, "AB", "AC", "BA", "BC", "BD", "CA", "DB")
+    c = sampling.RandomWalkConfig(walk_length=3, num_walks=3000, p=2.0, q=4.0)
+    w = [r["walk"] for r in sampling.generate_walks(k, c).where("start = 'A'").collect()]
+    then = [x[2] for x in w if x[1] == "B"]
+    share = {x: then.count(x) / len(then) for x in "ACD"}
+    assert abs(share["A"] - 0.5 / 1.75) < 0.05 and abs(share["C"] - 1 / 1.75) < 0.05 and abs(share["D"] - 0.25 / 1.75) < 0.05
+
+
+def test_pivots(spark):
+    k = edges(spark, "AB", "BC", "CD", "DA", "AC")
+    whole = {r["id"]: r["score"] for r in centrality.betweenness_centrality(k).collect()}
+    assert whole == pytest.approx({r["id"]: r["score"] for r in centrality.betweenness_centrality(k, pivots=9).collect()})
+    some = {r["id"]: r["score"] for r in centrality.closeness_centrality(k, pivots=2).collect()}
+    exact = {r["id"]: r["score"] for r in centrality.closeness_centrality(k).collect()}
+    assert sum(v is not None for v in some.values()) == 2 and all(v is None or v == pytest.approx(exact[i]) for i, v in some.items())
+    assert sum(r["score"] for r in centrality.betweenness_centrality(k, pivots=2).collect()) > 0
+
+
+def test_numbers(spark):
+    from graphloom.plans.number import numbered
+
+    df = spark.range(1000).selectExpr("id * 7919 % 1000 AS x", "'same' AS y").repartition(7)
+    assert [(r["x"], r["n"]) for r in numbered(df, ["x"]).orderBy("n").collect()] == [(i, i) for i in range(1000)]
+    assert sorted(r["n"] for r in numbered(df, ["y"]).collect()) == list(range(1000))
+    assert numbered(df.limit(0), ["x"]).count() == 0
+
+
+def test_remove_takes_one_row_of_a_shared_seq(spark):
+    k = KnowledgeGraph.of(spark.createDataFrame([(0, "a", "p", "b"), (0, "c", "p", "d"), (0, "a", "p", "b")], "seq long, subject string, predicate string, object string"))
+    rest, hit = k.remove("a", "p", "b")
+    assert hit and sorted((r["subject"], r["object"]) for r in rest.triples.collect()) == [("a", "b"), ("c", "d")]
+    assert k.remove("a", "p", "x")[1] is False
 
 
 def test_sampling(spark):

@@ -103,13 +103,37 @@ def test_csv_and_adjacency(spark, tmp_path):
     f = tmp_path / "x.csv"
     f.write_text('a,"b, c",d\ne,f,g\n')
     assert spo(lines.read_csv(spark, str(f)).triples) == [("a", "b, c", "d"), ("e", "f", "g")]
+    f.write_text('a,"line1\nline2",c\nd,"say ""x""",\n')
+    assert [(r["subject"], r["predicate"], r["object"]) for r in lines.read_csv(spark, str(f)).triples.orderBy("seq").collect()] == [("a", "line1\nline2", "c"), ("d", 'say "x"', None)]
+    f.write_text("a\nb\n")
+    assert lines.read_csv(spark, str(f)).triples.count() == 0
     f.write_text("a,b\n")
     assert spo(lines.read_csv(spark, str(f)).triples) == [("a", "related_to", "b")]
     f.write_text("a,b\na,b,c\n")
     with pytest.raises(ValueError):
         lines.read_csv(spark, str(f))
-    j = spark.createDataFrame([('{"h":["t","u"]}',)], "value string")
-    assert spo(lines.adjacency(j).triples) == [("h", "related_to", "t"), ("h", "related_to", "u")]
+    j = spark.createDataFrame([('{"h":["t","u"]}',), ('{"h":["v"]}',)], "value string").coalesce(1)
+    assert spo(lines.adjacency(j).triples) == [("h", "related_to", "t"), ("h", "related_to", "u"), ("h", "related_to", "v")]
+    assert sorted(r["seq"] for r in lines.adjacency(j).triples.collect()) == [0, 1, 2]
+
+
+def test_order_over_many_documents(spark, tmp_path):
+    """seq goes on from document to document, so one triple can be removed."""
+    for i in range(3):
+        (tmp_path / f"{i}.ttl").write_text(f"<urn:a{i}> <urn:p> <urn:b>, <urn:c> .")
+    k = documents.read_turtle(spark, f"{tmp_path}/*.ttl")
+    rows = k.triples.orderBy("seq").collect()
+    assert [r["seq"] for r in rows] == list(range(6)) and len({r["subject"] for r in rows[:2]}) == 1
+    one = rows[3]
+    assert k.remove(one["subject"], one["predicate"], one["object"])[0].triple_count() == 5
+    d = spark.createDataFrame([('{"@id":"a","p":"x"}',), ('{"@graph":[{"@id":"b","p":["y","z"]}]}',)], "value string").coalesce(1)
+    assert [(r["seq"], r["subject"], r["object"]) for r in documents.parse_jsonld(d).orderBy("seq").collect()] == [(0, "a", "x"), (1, "b", "y"), (2, "b", "z")]
+
+
+def test_json_storage(spark, tmp_path):
+    k = KnowledgeGraph.of(spark.createDataFrame([(0, "a", "p", "b", 0.5, "s"), (1, "a", "p", "b", None, None)], "seq long, subject string, predicate string, object string, confidence float, source string"))
+    lines.save(k, f"{tmp_path}/k", "json")
+    assert sorted(map(tuple, lines.load(spark, f"{tmp_path}/k", "json").triples.collect())) == sorted(map(tuple, k.triples.collect()))
 
 
 def test_kge_files(spark, tmp_path):
