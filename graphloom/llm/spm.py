@@ -10,12 +10,16 @@ threads as `RAYON_NUM_THREADS` or the task's cores allow.
 
 Edge cases: a null text gives no ids and decodes to null; an empty text gives no ids;
 very long texts are encoded whole; repeated rows are encoded each; an empty table gives
-an empty result; other columns are ignored (kept by `encode`).
+an empty result; other columns are ignored (kept by `encode`, whose `ids` and `decoded`
+replace columns of those names). User-defined pieces of a unigram model are found in the
+normalised text, the longest first; those of a BPE model in the raw text, with the parts around
+normalised by themselves.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -130,8 +134,14 @@ def build(m: Model):
     from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
     unk = m.pieces[m.unk_id][0]
+    defined = sorted((p for p, _, kind in m.pieces if kind == USER_DEFINED), key=lambda p: (-len(p), p))
     if m.model_type == UNIGRAM:
-        model = models.Unigram([(p, s) for p, s, _ in m.pieces], m.unk_id, m.byte_fallback)
+        # only a text's own characters make normal pieces; a user-defined piece is set apart below and
+        # beats what it could be cut into
+        top = max([0.0, *(s for _, s, kind in m.pieces if kind == NORMAL)])
+        score = {NORMAL: lambda p, s: s, USER_DEFINED: lambda p, s: top * len(p)}
+        low = min([0.0, *(s for _, s, kind in m.pieces if kind == NORMAL)]) * 1000 - 1e6
+        model = models.Unigram([(p, score[kind](p, s) if kind in score else low) for p, s, kind in m.pieces], m.unk_id, m.byte_fallback)
     elif m.model_type == BPE:
         vocab = {p: i for i, (p, _, _) in enumerate(m.pieces)}
         model = models.BPE(vocab, _merges(m.pieces), unk_token=unk, fuse_unk=True, byte_fallback=m.byte_fallback)
@@ -139,21 +149,27 @@ def build(m: Model):
         raise ValueError(f"model type {m.model_type}")
     t = Tokenizer(model)
     steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
-    if m.remove_extra_whitespaces:
-        steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+    if m.remove_extra_whitespaces:  # spaces only: a tab or a line break that the character map leaves stays
+        steps += [normalizers.Replace(Regex(r"\A +"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
     if m.add_dummy_prefix:
         steps.append(normalizers.Prepend(" "))
     if m.escape_whitespaces:
         steps.append(normalizers.Replace(" ", MARK))
+    if m.remove_extra_whitespaces:
+        steps.append(normalizers.Replace(Regex(rf"[{MARK if m.escape_whitespaces else ' '}]+\z"), ""))
     if steps:
         t.normalizer = normalizers.Sequence(steps)
     inner = any(MARK in p.lstrip(MARK) for p, _, kind in m.pieces if kind == NORMAL)
-    if not inner:
-        # before each run of marks; a piece is marks and then other characters
-        t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
-    defined = [p for p, _, kind in m.pieces if kind == USER_DEFINED]
-    if defined:
+    splits = []
+    if defined and m.model_type == UNIGRAM:
+        splits.append(pre_tokenizers.Split(Regex("|".join(re.escape(p) for p in defined)), "isolated"))
+    elif defined:
         t.add_tokens([AddedToken(p, normalized=False) for p in defined])
+    if not inner and not splits:
+        # before each run of marks; a piece is marks and then other characters
+        splits.append(pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated"))
+    if splits:
+        t.pre_tokenizer = pre_tokenizers.Sequence(splits)
     undo = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
     if m.add_dummy_prefix:
         undo.append(decoders.Strip(" ", 1, 0))
@@ -204,7 +220,7 @@ def _encoder(data: bytes, extra: list[str]):
 
 
 def encode(docs: DataFrame, model: bytes) -> DataFrame:
-    """All columns of `docs`, ids (array of int) and decoded (the text read back from the ids)."""
+    """All other columns of `docs`, ids (array of int) and decoded (the text read back from the ids)."""
     extra = [c for c in docs.columns if c not in ("text", "ids", "decoded")]
     ordered = docs.select(*extra, "text")
     schema = ordered.schema.simpleString()[len("struct<") : -1]

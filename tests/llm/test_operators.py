@@ -281,6 +281,32 @@ def test_unigram_model_is_rebuilt(tmp_path):
         assert ours.encode(t, add_special_tokens=False).ids == theirs.encode(t)
 
 
+@pytest.mark.parametrize("fallback", [False, True])
+@pytest.mark.parametrize("defined", [False, True])
+def test_unigram_model_with_white_space_and_defined_pieces(tmp_path, fallback, defined):
+    from sentencepiece import SentencePieceProcessor
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    pieces = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), ("▁", -3, 1), ("▁a", -1, 1), ("b", -2, 1), ("ab", -1.5, 1), ("▁ab", -4, 1), ("c", -2, 1), ("a", -2.5, 1), ("\t", -3, 1), ("x", -5, 1)]
+    pieces += [("@x", 0, 4), ("@xx", 0, 4)] if defined else []
+    pieces += [(f"<0x{i:02X}>", 0, 6) for i in range(256)] if fallback else []
+    for piece, score, kind in pieces:
+        m.pieces.add(piece=piece, score=score, type=kind)
+    m.trainer_spec.model_type = 1
+    m.trainer_spec.byte_fallback = fallback
+    m.normalizer_spec.name = "identity"
+    m.normalizer_spec.add_dummy_prefix = True
+    m.normalizer_spec.remove_extra_whitespaces = True
+    data = m.SerializeToString()
+    (tmp_path / "m.model").write_bytes(data)
+    ours, theirs = spm.build(spm.parse(data)), SentencePieceProcessor(model_file=str(tmp_path / "m.model"))
+    rng = np.random.default_rng(3)
+    texts = ["\tab", "ab\n", "@xab", "a @x b", "  ", "a  \t  b ", "é日", "@xx@x", "ab@xc", "▁a"] + ["".join(rng.choice(list("abc @x\t\né"), 12)) for _ in range(300)]
+    for t in texts:
+        assert ours.encode(t, add_special_tokens=False).ids == theirs.encode(t), repr(t)
+
+
 # 6 toxicity
 
 
