@@ -2,7 +2,9 @@
 
 Texts are lower-cased and runs of white space become one space. An item is cut into
 overlapping segments of SEGMENT characters (a shorter item is one segment); a text is
-contaminated where some stretch of it is within MAX_EDITS edits of a segment. Two such
+contaminated where some stretch of it is within a segment's edit budget: MAX_EDITS for each SEGMENT
+characters, but few enough that the bound below demands a third of the q-grams (6 edits at 100
+characters). Two such
 stretches share at least len + 1 - q * (edits + 1) q-grams, all near one diagonal, so
 shared q-grams are counted in overlapping bands of diagonals, bands that reach the bound
 are kept, and those are verified by a banded alignment with free ends in the text.
