@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 from graphloom.llm import decontaminate, quality, sharding, spm, toxicity
 from tests.llm.test_operators import prose
 
-#: Columns that operators use inside.
-CLASH = ("ids", "decoded", "score", "words", "n_words", "votes", "kept", "shard", "slot", "size", "position", "item_id", "digest", "bucket", "toxic", "x")
-
 
 def docs(spark):
     long = prose(50, 40_000)
@@ -31,7 +28,7 @@ def equal_for_equal_rows(rows, *ignore):
 def test_sharding(spark):
     df = clashing(docs(spark), "size", "digest", "bucket")
     rows = sharding.shard(df, 3).collect()
-    equal_for_equal_rows(rows, "shard", "slot", "position")
+    equal_for_equal_rows(rows, "shard", "slot", "position", "row_number")
     assert len(rows) == 8 and {r["size"] for r in rows if r["doc_id"] in (1, 2)} == {16}
     assert sharding.shard(df.limit(0), 3).count() == 0
 
