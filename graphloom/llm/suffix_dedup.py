@@ -390,7 +390,8 @@ def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     each = by_anchor.groupBy("h", "around").agg(((F.count(F.lit(1)) > 1) | F.max("twice")).alias("full"), F.min(F.struct("tid", "at")).alias("rep"))
     whole = each.groupBy("h").agg(F.count(F.lit(1)).alias("contexts"), F.max("full").alias("any")).where("contexts > 1 OR any").select("h", "contexts")
     again = by_anchor.join(each.join(whole, "h"), ["h", "around"])
-    again = cut(again.select("h", "around", "tid", "at", "full", (F.col("contexts") > 1).alias("mixed"), (F.struct("tid", "at") == F.col("rep")).alias("is_rep")))
+    # `twice` is in both sides of the join, so that they are one shuffle
+    again = cut(again.select("h", "around", "tid", "at", (F.col("full") | F.col("twice")).alias("full"), (F.col("contexts") > 1).alias("mixed"), (F.struct("tid", "at") == F.col("rep")).alias("is_rep")))
     known = cut(found.where("known").select("tid", "at"))
     drop(found)
     # surroundings found at two places or more are repeated in full
