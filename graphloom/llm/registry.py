@@ -1,6 +1,6 @@
 """The driver queries of this package and their SQL."""
 
-from . import chat, decontaminate, minhash, passages, quality, secrets, sharding, spm, suffix_dedup, toxicity
+from . import chat, decontaminate, minhash, passages, quality, resample, secrets, sharding, spm, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_feistel_sharding": sharding.op1_feistel_sharding,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_compact_windows": passages.op9_compact_windows,
     "op10_chat_windows": chat.op10_chat_windows,
+    "op13_importance_resampling": resample.op13_importance_resampling,
 }
 
 ORACLES = {
@@ -20,4 +21,5 @@ ORACLES = {
     "op2_quality_rules": quality.oracle(),
     "op7_secret_scan": secrets.oracle(),
     "op10_chat_windows": chat.oracle(),
+    "op13_importance_resampling": resample.oracle(),
 }
