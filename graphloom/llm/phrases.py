@@ -68,7 +68,7 @@ def _squeezed(ids: np.ndarray) -> bytes:
     """Runs of -1 become one."""
     keep = ids >= 0
     keep[1:] |= ids[:-1] >= 0
-    return ids[keep].astype(np.int32).tobytes()
+    return blocks.pack(ids[keep])
 
 
 class Slots:
@@ -91,7 +91,7 @@ def _keys_of(batches: Iterator[pa.RecordBatch], column: str = "ids") -> Iterator
     held, n = [], 0
     for batch in batches:
         for ids in batch.column(column):
-            _, keys = _pairs(np.frombuffer(ids.as_buffer(), np.int32))
+            _, keys = _pairs(blocks.unpack(ids.as_buffer()))
             held.append(keys)
             n += len(keys)
             if n >= HELD:
@@ -233,14 +233,14 @@ def _level(seq: DataFrame, pairs: int, least: int, last: bool) -> tuple[DataFram
                 for batch in batches:
                     out = []
                     for ids, old in zip(batch.column("ids"), batch.column("next"), strict=True):
-                        ids = np.frombuffer(ids.as_buffer(), np.int32)
-                        new = np.full(len(ids), -1, np.int32) if not old.is_valid else np.frombuffer(old.as_buffer(), np.int32).copy()
+                        ids = blocks.unpack(ids.as_buffer())
+                        new = blocks.unpack(old.as_buffer()) if old.is_valid else np.full(len(ids), -1, np.int32)
                         at, pair_keys = _pairs(ids)
                         slot = look_up(pair_keys)
                         ok = slot >= 0
                         ok[ok] = kept.value[slot[ok]]
                         new[at[ok]] = slot[ok] + base
-                        out.append(new.tobytes())
+                        out.append(blocks.pack(new))
                     yield pa.RecordBatch.from_arrays([batch.column("ids"), pa.array(out, pa.binary())], ["ids", "next"])
 
             now = in_arrow(now, rename, "ids binary, next binary")
@@ -255,7 +255,7 @@ def _level(seq: DataFrame, pairs: int, least: int, last: bool) -> tuple[DataFram
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.frombuffer(x.as_buffer(), np.int32) for x in batch.column("next")]
+            ids = [blocks.unpack(x.as_buffer()) for x in batch.column("next")]
             yield pa.RecordBatch.from_arrays([pa.array([_squeezed(x) for x in ids], pa.binary()), pa.array([len(_pairs(x)[0]) for x in ids], pa.int64())], ["ids", "pairs"])
 
     after, m = observed(in_arrow(now, squeeze, "ids binary, pairs long"), n=F.coalesce(F.sum("pairs"), F.lit(0)))
@@ -276,7 +276,7 @@ def _first_level(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, Dat
         for batch in batches:
             ids, n = [], []
             for own, local, slot in zip(batch.column("ids"), batch.column("local"), batch.column("slot"), strict=True):
-                own = np.frombuffer(own.as_buffer(), np.int32)
+                own = blocks.unpack(own.as_buffer())
                 new = np.full(int(own.max(initial=-1)) + 1, -1, np.int32)
                 new[local.values.to_numpy()] = slot.values.to_numpy()
                 out = new[own]

@@ -1,6 +1,6 @@
 """The driver queries of this package and their SQL."""
 
-from . import chat, decontaminate, minhash, passages, phrases, quality, resample, secrets, sharding, spm, suffix_dedup, toxicity
+from . import chat, classlm, decontaminate, minhash, passages, phrases, quality, resample, secrets, sharding, spm, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_feistel_sharding": sharding.op1_feistel_sharding,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_compact_windows": passages.op9_compact_windows,
     "op10_chat_windows": chat.op10_chat_windows,
+    "op11_brown_class_lm": classlm.op11_brown_class_lm,
     "op12_phrase_collocations": phrases.op12_phrase_collocations,
     "op13_importance_resampling": resample.op13_importance_resampling,
 }
