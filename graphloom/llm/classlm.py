@@ -32,8 +32,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.iterate import observed
-from ..plans.number import numbered
 from . import blocks
 from .common import cut, drop, in_arrow, read
 
@@ -60,7 +58,7 @@ def tokens(text: bytes) -> list[bytes]:
 @dataclass
 class Corpus:
     """seq: a row a block with doc_ids, learn, lens, ids and, by place in the dictionary, n (training
-    count) and gid (number of a movable word, -1 for others)."""
+    count) and gid (number of a movable word plus one, 0 for others), packed."""
 
     seq: DataFrame
     words: DataFrame  # (gid, word, n) of movable words
@@ -71,33 +69,28 @@ class Corpus:
     movable: int
 
 
+_SEQ = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("learn", pa.list_(pa.bool_())), ("lens", pa.list_(pa.int32())), ("ids", pa.binary()), ("n", pa.binary()), ("gid", pa.binary())])
+
+
 def gather(docs: DataFrame, min_count: int = MIN_COUNT) -> Corpus:
     learn = F.coalesce(remainder(F.col("doc_id")) != 2, F.lit(False))
     coded = cut(blocks.encode(docs, F.col("text"), tokens, doc_id=F.col("doc_id"), learn=learn))
-    own = blocks.dictionary(coded)
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    counts, m = observed(
-        own.groupBy("word").agg(F.sum("n").cast("long").alias("n")).where("n > 0"),
-        tokens=zero(F.sum("n")), types=F.count(F.lit(1)), once=F.count_if(F.col("n") == 1), twice=F.count_if(F.col("n") == 2), movable=F.count_if((F.col("n") >= min_count) & (F.col("word") != "")),
-    )
-    words = numbered(counts.where((F.col("n") >= min_count) & (F.col("word") != "")), ["word"], "gid")
-    given = own.select("block", "local", "word").join(counts.join(words.select("word", "gid"), "word", "left"), "word")
-    per = blocks.per_block(given.select("block", "local", "n", F.coalesce("gid", F.lit(-1)).alias("gid")), "n", "gid")
-    seq = cut(coded.drop("group", "words", "counts").join(per, "block", "left"))
-    drop(coded)
-    return Corpus(seq, words, m["tokens"], m["types"], m["once"], m["twice"], m["movable"])
+    agreed = blocks.agree(coded, max(min_count, 1), b"")
 
+    def keep(row: dict, n: np.ndarray, gid: np.ndarray) -> tuple:
+        return (*(row[c] for c in ("block", "doc_ids", "learn", "lens", "ids")), blocks.pack(n, 8), blocks.pack(gid + 1))
 
-def _by_place(size: int, local, values, missing: int, kind) -> np.ndarray:
-    out = np.full(size, missing, kind)
-    if local.is_valid:
-        out[local.values.to_numpy()] = values.values.to_numpy()
-    return out
+    seq = cut(agreed.placed(coded, keep, _SEQ, "block long, doc_ids array<long>, learn array<boolean>, lens array<int>, ids binary, n binary, gid binary"))
+    words = cut(agreed.words().select("gid", "word", "n"))
+    t = agreed.totals().first()
+    drop(coded)
+    drop(agreed.table)
+    return Corpus(seq, words, *(t[1:5] if t else (0, 0, 0, 0)), agreed.numbered)
 
 
 @dataclass
 class Block:
-    """One block with its training counts, numbers of movable words and classes, by place."""
+    """One block with its training counts, numbers of movable words (-1: none) and classes, by place."""
 
     ids: np.ndarray
     lens: np.ndarray
@@ -111,33 +104,38 @@ def _blocks(batches: Iterator[pa.RecordBatch], classes) -> Iterator[tuple[pa.Rec
     for batch in batches:
         col = {name: batch.column(name) for name in batch.schema.names}
         for i in range(batch.num_rows):
-            ids = blocks.unpack(col["ids"][i].as_buffer())
-            size = int(ids.max(initial=-1)) + 1
-            n = _by_place(size, col["local"][i], col["n"][i], 0, np.int64)
-            gid = _by_place(size, col["local"][i], col["gid"][i], -1, np.int64)
+            ids, n = blocks.unpack(col["ids"][i].as_buffer()), blocks.unpack(col["n"][i].as_buffer(), 8)
+            gid = blocks.unpack(col["gid"][i].as_buffer()).astype(np.int64) - 1
             cls = np.where(n <= 1, ONCE, FEW).astype(np.uint8)
             lens = col["lens"][i].values.to_numpy()
             if len(lens):
                 cls[ids[lens[0] - 1]] = END
             if classes is not None:
                 cls[gid >= 0] = classes.value[gid[gid >= 0]]
-            else:
-                there = _by_place(size, col["class_local"][i], col["class"][i], 0, np.int64)
-                cls[gid >= 0] = there[gid >= 0]
+            elif col["local"][i].is_valid:
+                cls[col["local"][i].values.to_numpy()] = col["class"][i].values.to_numpy()
             yield batch, i, Block(ids, lens, np.array(col["learn"][i].values.to_pylist(), bool), n, gid, cls)
 
 
 def _with_classes(corpus: Corpus, classes: DataFrame, *columns: str):
     """(the blocks with what a pass needs, the classes on the workers or None)."""
-    columns = ("ids", "lens", "learn", "local", "n", "gid", *columns)
+    columns = ("ids", "lens", "learn", "n", "gid", *columns)
     if corpus.movable <= SPREAD_WORDS:
         rows = classes.toPandas()
         table = np.zeros(corpus.movable, np.uint8)
         table[rows["gid"].to_numpy(np.int64)] = rows["class"].to_numpy(np.uint8)
         return corpus.seq.select(*columns), corpus.seq.sparkSession.sparkContext.broadcast(table)
-    asks = corpus.seq.select("block", F.explode(F.arrays_zip("local", "gid")).alias("x")).select("block", F.col("x.local").alias("local"), F.col("x.gid").alias("gid"))
-    per = blocks.per_block(asks.where("gid >= 0").join(classes, "gid"), "class").withColumnRenamed("local", "class_local")
-    return corpus.seq.join(per, "block", "left").select(*columns, "class_local", "class"), None
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, gid in zip(batch.column("block").to_pylist(), batch.column("gid"), strict=True):
+                gid = blocks.unpack(gid.as_buffer())
+                at = np.flatnonzero(gid)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block, np.int64)), pa.array(at, pa.int32()), pa.array(gid[at] - 1, pa.int64())], ["block", "local", "gid"])
+
+    told = in_arrow(corpus.seq.select("block", "gid"), ask, "block long, local int, gid long").join(classes, "gid")
+    per = told.groupBy("block").agg(F.collect_list(F.struct("local", "class")).alias("x")).select("block", F.col("x.local").alias("local"), F.col("x.class").alias("class"))
+    return corpus.seq.join(per, "block", "left").select(*columns, "local", "class"), None
 
 
 PACKED = "part long, gids binary, cls binary, sizes binary, cells binary, n binary"

@@ -32,7 +32,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.iterate import observed
-from ..plans.number import numbered
 from . import blocks
 from .common import cut, drop, in_arrow, read
 from .mph import PerfectHash, mix
@@ -76,7 +75,7 @@ class Slots:
 
     def __init__(self, pairs: int, part: int = 0):
         self.bits = int(min(SLOT_BITS, max(SLICE_BITS, np.ceil(np.log2(max(pairs, 1) / 16)))))
-        self.parts = max(1, -(-pairs // (LOAD << self.bits)))
+        self.parts = max(1, -(-pairs // int(LOAD * 2**self.bits)))
         self.part = part
 
     def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +104,7 @@ def _partial(slots: np.ndarray, n: np.ndarray, leaf: int) -> pa.RecordBatch:
     """Counts of rising slots, packed by slice."""
     part = slots >> SLICE_BITS
     starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
-    rows = [(int(part[a]), leaf, (slots[a:b] & ((1 << SLICE_BITS) - 1)).astype(np.uint16).tobytes(), n[a:b].astype(np.int64).tobytes()) for a, b in zip(starts, [*starts[1:], len(part)], strict=True)]
+    rows = [(int(part[a]), leaf, (slots[a:b] & ((1 << SLICE_BITS) - 1)).astype(np.uint16).tobytes(), n[a:b].astype(np.int64).tobytes()) for a, b in zip(starts, [*starts[1:], len(part)][: len(starts)], strict=True)]
     columns = zip(*rows, strict=True) if rows else ([], [], [], [])
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["slice", "leaf", "slots", "n"])
 
@@ -262,32 +261,26 @@ def _level(seq: DataFrame, pairs: int, least: int, last: bool) -> tuple[DataFram
     return found, after, m["n"]
 
 
+_SEQUENCES = pa.schema([("ids", pa.binary()), ("pairs", pa.int64())])
+
+
 def _first_level(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """(all words counted (lang, n), frequent words (slot, lang, word, a), sequences (ids), their pairs)."""
     coded = cut(blocks.encode(docs, F.col("text"), tokens, group=F.coalesce("lang", F.lit("und"))))
-    words = cut(blocks.dictionary(coded).where(F.col("word") != "\n"))
-    counts = cut(words.groupBy(F.col("group").alias("lang"), "word").agg(F.sum("n").cast("long").alias("a")))
-    total = cut(counts.groupBy("lang").agg(F.sum("a").alias("n")))
-    frequent = numbered(counts.where(F.col("a") >= least), ["lang", "word"], "slot")
-    names = frequent.select(F.col("lang").alias("group"), "word", F.col("slot").cast("int").alias("slot"))
-    given = blocks.per_block(words.select("block", "group", "local", "word").join(names, ["group", "word"]), "slot")
-
-    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, n = [], []
-            for own, local, slot in zip(batch.column("ids"), batch.column("local"), batch.column("slot"), strict=True):
-                own = blocks.unpack(own.as_buffer())
-                new = np.full(int(own.max(initial=-1)) + 1, -1, np.int32)
-                new[local.values.to_numpy()] = slot.values.to_numpy()
-                out = new[own]
-                n.append(len(_pairs(out)[0]))
-                ids.append(_squeezed(out))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(n, pa.int64())], ["ids", "pairs"])
-
-    seq, m = observed(in_arrow(coded.select("block", "ids").join(given, "block").select("ids", "local", "slot"), rename, "ids binary, pairs long"), n=F.coalesce(F.sum("pairs"), F.lit(0)))
+    agreed = blocks.agree(coded, least, _BREAK)
+    if agreed.numbered >= 1 << 31:
+        raise ValueError("more than 2^31 frequent words")
+
+    def rename(row: dict, n: np.ndarray, gid: np.ndarray) -> tuple:
+        ids = gid[blocks.unpack(row["ids"])]
+        return _squeezed(ids), len(_pairs(ids)[0])
+
+    seq, m = observed(agreed.placed(coded.select("block", "ids", "n_words"), rename, _SEQUENCES, "ids binary, pairs long"), n=F.coalesce(F.sum("pairs"), F.lit(0)))
+    total = cut(agreed.totals().select(F.col("group").alias("lang"), (F.col("tokens") - F.col("skipped")).alias("n")))
+    words = cut(agreed.words().select(F.col("gid").alias("slot"), F.col("group").alias("lang"), "word", F.col("n").alias("a")))
     drop(coded)
-    drop(words)
-    return total, frequent, seq, m["n"]
+    drop(agreed.table)
+    return total, words, seq, m["n"]
 
 
 def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:

@@ -83,7 +83,7 @@ def _texts(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns, F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
 
 
-def bucket_totals(texts: DataFrame, runs: int = RUNS, buckets: int = BUCKETS) -> DataFrame:
+def bucket_totals(texts: DataFrame, runs: int = RUNS, buckets: int = BUCKETS, max_nodes: int = MAX_NODES) -> DataFrame:
     """(bucket, n): how many features of all texts fall in each bucket; buckets without any are left out."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +98,7 @@ def bucket_totals(texts: DataFrame, runs: int = RUNS, buckets: int = BUCKETS) ->
                 for nodes in runs_of(trie.root, words_of(text), runs):
                     for node in nodes:
                         node.value += 1
-                if trie.size > MAX_NODES:
+                if trie.size > max_nodes:
                     merge()
                     trie = Trie(lambda crc: 0)
         if trie.size:
@@ -115,7 +115,7 @@ def gains(own: dict[int, int], target: dict[int, int], buckets: int = BUCKETS) -
     return [math.floor(1000 * math.log((target.get(b, 0) + 1.0) * s / ((own.get(b, 0) + 1.0) * t))) for b in range(buckets)]
 
 
-def weights(docs: DataFrame, gain: list[int], runs: int = RUNS) -> DataFrame:
+def weights(docs: DataFrame, gain: list[int], runs: int = RUNS, max_nodes: int = MAX_NODES) -> DataFrame:
     """(doc_id, n_words, n_features, weight): the floored mean gain of each text's features."""
     buckets = len(gain)
 
@@ -131,7 +131,7 @@ def weights(docs: DataFrame, gain: list[int], runs: int = RUNS) -> DataFrame:
                     n += len(nodes)
                     total += sum([node.value for node in nodes])
                 rows.append((len(words), n, total // n if n else 0))
-                if trie.size > MAX_NODES:
+                if trie.size > max_nodes:
                     trie = Trie(value)
             columns = [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ([], [], []))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_words", "n_features", "weight"])
