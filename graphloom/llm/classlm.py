@@ -40,6 +40,8 @@ END, ONCE, FEW, REST = 0, 1, 2, 3
 
 #: Words of a range, whose counts by class are one array in a task.
 RANGE = 1 << 12
+#: Words of a block whose counts by class are one array.
+AT_ONCE = 1 << 15
 #: One byte a movable word goes to the workers up to so many words; beyond, classes are joined to blocks.
 SPREAD_WORDS = 1 << 26
 #: Weight of the classes' own frequencies in a transition.
@@ -162,10 +164,10 @@ def _beside(b: Block, k: int) -> tuple[list[tuple], np.ndarray]:
     mid = np.flatnonzero(hit)  # the last token of all is an end
     word, left, right = at[mid], before[mid], now[mid + 1]
     rows = []
-    for low in range(0, len(order), RANGE):
-        part = (word >= low) & (word < low + RANGE)
+    for low in range(0, len(order), AT_ONCE):
+        part = (word >= low) & (word < low + AT_ONCE)
         base = (word[part] - low) * (2 * k)
-        high = min(low + RANGE, len(order))
+        high = min(low + AT_ONCE, len(order))
         counts = np.bincount(np.concatenate([base + left[part], base + k + right[part]]), minlength=(high - low) * 2 * k)
         key = np.flatnonzero(counts)
         of = key // (2 * k) + low
