@@ -46,7 +46,7 @@ SLOT_BITS, LOAD = 28, 32
 #: Slots of a reducer's array, and arrays summed at once.
 SLICE_BITS, SPREAD = 16, 16
 #: Pairs that a mapper brings together before it counts them.
-HELD = 1 << 22
+HELD = 1 << 20
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if c == 9 else c for c in range(256))
 _BREAK = b"\n"
