@@ -247,3 +247,78 @@ def test_sampling(spark):
     assert got["X"] == ["Y"] * 5 and len(got["A"]) == 5 and got["nobody"] == []
     n, e = sampling.neighbor_sampler(k, ["A", "nobody"], [2, 2])
     assert {r["id"]: r["layer"] for r in n.collect()}["nobody"] == 0 and e.count() == 2
+
+
+def distances(pairs):
+    """All distances by breadth-first search in plain Python."""
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+        out.setdefault(b, set())
+    found = {}
+    for s in out:
+        level, seen, d = {s}, {s}, 0
+        while level:
+            d += 1
+            level = {y for x in level for y in out[x]} - seen
+            seen |= level
+            found |= {(s, x): d for x in level}
+    return list(out), found
+
+
+def test_sources_as_bits(spark):
+    """More sources than a word has bits, distances against plain search, both ways and by pivots."""
+    import random
+
+    from graphloom.operators import multisource
+
+    r = random.Random(5)
+    pairs = [(str(r.randrange(150)), str(r.randrange(150))) for _ in range(330)]
+    k = edges(spark, *pairs)
+    ids, found = distances(pairs)
+    name = {row["node"]: row["id"] for row in multisource.sources(k, False, None, 1).nodes.collect()}
+    assert sorted(name) == list(range(len(ids)))
+    for forward in (True, False):
+        s = multisource.sources(k, False, None, 1)
+        got = {}
+        for d, state in multisource.levels(s, forward):
+            for row in state.where("new <> 0").collect():
+                for bit in range(64):
+                    if row["new"] >> bit & 1:
+                        a, b = name[row["block"] * 64 + bit], name[row["node"]]
+                        got[(a, b) if forward else (b, a)] = d
+        # whole blocks stop once all their sources have reached every node, no pair is lost
+        assert got == {p: d for p, d in found.items() if p[0] != p[1]}
+    inverse = {i: sum(1 / d for (a, b), d in found.items() if a == i and a != b) / (len(ids) - 1) for i in ids}
+    near(scores(centrality.closeness_centrality(k)), inverse)
+    some = {i: v for i, v in scores(centrality.closeness_centrality(k, pivots=70)).items() if v is not None}
+    assert len(some) == 70
+    near(some, {i: inverse[i] for i in some})
+    sketch = scores(centrality.closeness_sketch(k).scores)
+    assert all(abs(sketch[i] - inverse[i]) <= 0.05 * max(inverse[i], 1e-9) for i in ids)
+
+
+def test_sketches_on_closed_forms(spark):
+    f = lambda k, u, h=False: scores(centrality.closeness_sketch(k, True, u, harmonic=h).scores)
+    near(f(edges(spark, "AB", "BC", "CD"), True), {"A": 0.5, "B": 0.75, "C": 0.75, "D": 0.5})
+    near(f(edges(spark, "AB", "BC"), False), {"A": 2 / 3, "B": 0.5, "C": 0})
+    near(f(edges(spark, "AB", "BC"), False, True), {"A": 0.75, "B": 0.5, "C": 0})
+    assert centrality.closeness_sketch(KnowledgeGraph.empty(spark)).scores.count() == 0
+
+
+def test_betweenness_over_blocks(spark):
+    """Against sums over all pairs, with more sources than a row has columns."""
+    import random
+
+    r = random.Random(9)
+    pairs = [(str(r.randrange(45)), str(r.randrange(45))) for _ in range(110)]
+    ids, found = distances(pairs)
+    links = {(a, b) for a, b in pairs if a != b}
+    paths = {(i, i): 1 for i in ids}
+    for (a, b), d in sorted(((p, d) for p, d in found.items() if p[0] != p[1]), key=lambda x: x[1]):
+        paths[a, b] = sum(paths[a, c] for c in ids if (c, b) in links and (found.get((a, c), 0) if a != c else 0) == d - 1 and (a == c or (a, c) in found))
+    dist = lambda a, b: 0 if a == b else found.get((a, b))
+    want = {}
+    for v in ids:
+        want[v] = sum(paths[a, v] * paths[v, b] / paths[a, b] for a in ids for b in ids if v not in (a, b) and a != b and dist(a, b) and dist(a, v) is not None and dist(v, b) is not None and dist(a, v) + dist(v, b) == dist(a, b))
+    near(scores(centrality.betweenness_centrality(edges(spark, *pairs), normalized=False)), want)
