@@ -322,3 +322,42 @@ def test_betweenness_over_blocks(spark):
     for v in ids:
         want[v] = sum(paths[a, v] * paths[v, b] / paths[a, b] for a in ids for b in ids if v not in (a, b) and a != b and dist(a, b) and dist(a, v) is not None and dist(v, b) is not None and dist(a, v) + dist(v, b) == dist(a, b))
     near(scores(centrality.betweenness_centrality(edges(spark, *pairs), normalized=False)), want)
+
+
+def test_long_chain_hooks_in_few_rounds(spark):
+    import random
+
+    from graphloom.plans.hooking import components
+
+    names = random.Random(4).sample(range(1 << 20), 2004)
+    chain, pair = names[:2001], names[2001:2003]
+    links = [(names[i], names[i + 1]) for i in range(2000)] + [tuple(pair), (names[2003], names[2003])]
+    trace = []
+    got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long"), trace).collect()}
+    assert got == {x: min(chain) for x in chain} | {x: min(pair) for x in pair}
+    assert len(trace) <= 15
+
+
+def test_strong_components_of_random_graphs(spark):
+    import random
+
+    r = random.Random(6)
+    for n, m in ((40, 60), (60, 75)):
+        pairs = [(f"n{r.randrange(n)}", f"n{r.randrange(n)}") for _ in range(m)]
+        ids, found = distances(pairs)
+        want = {i: min(j for j in ids if i == j or ((i, j) in found and (j, i) in found)) for i in ids}
+        assert {x["id"]: x["component"] for x in communities.strongly_connected_components(edges(spark, *pairs)).collect()} == want
+
+
+def test_chain_of_cycles(spark):
+    """Rounds follow the logarithm of the chain's length, not the length."""
+    import random
+
+    k = 40
+    names = random.Random(3).sample(range(10**6), 3 * k)
+    at = lambda c, i: f"v{names[3 * c + i % 3]}"
+    pairs = [(at(c, i), at(c, i + 1)) for c in range(k) for i in range(3)] + [(at(c, 0), at(c + 1, 1)) for c in range(k - 1)]
+    trace = []
+    got = {r["id"]: r["component"] for r in communities.strongly_connected_components(edges(spark, *pairs), trace).collect()}
+    assert got == {at(c, i): min(at(c, j) for j in range(3)) for c in range(k) for i in range(3)}
+    assert max(trace) <= 28 and len(trace) <= 12
