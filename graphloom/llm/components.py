@@ -1,36 +1,3 @@
-"""Connected components of an edge table, by hooking of labels with pointer jumping."""
+"""Connected components of an edge table: the library's own, by hooking of labels."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import cut, drop
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) for every node of `edges` (a, b); label is the least node of its component.
-
-    A round takes the least label's label among a node's neighbours, pre-aggregated before the
-    shuffle, and hands it to the node and to the node of its label (so whole trees are hooked,
-    not single nodes), then replaces every label by its label's label. It runs until nothing
-    changes, 11 or 12 rounds for a chain of 2000 links under random names, 17 to 19 for 100 000 (simulated). Each round is a
-    written table; only the count of changed rows reaches the driver.
-    """
-    links = edges.where("a <> b").select("a", "b")
-    links = cut(links.union(links.select("b", "a")).distinct())
-    state = cut(links.groupBy("a").agg(F.min("b").alias("n")).select(F.col("a").alias("node"), F.least("a", "n").alias("label"), F.lit(True).alias("changed")))
-    while state.where("changed").limit(1).count():
-        up = state.select(F.col("node").alias("up"), F.col("label").alias("far"))
-        jumped = cut(state.join(up, state["label"] == up["up"]).select("node", "label", "far"))
-        near = links.join(jumped.select(F.col("node").alias("b"), "far"), "b").groupBy("a").agg(F.min("far").alias("near"))
-        found = jumped.join(near, jumped["node"] == near["a"]).select("node", "label", F.least("far", "near").alias("next"))
-        # a node's own row has its label; the row for the node of its label has none
-        rows = found.select("node", "label", "next").unionByName(found.select(F.col("label").alias("node"), F.lit(None).cast(dict(state.dtypes)["label"]).alias("label"), "next"))
-        new = rows.groupBy("node").agg(F.max("label").alias("label"), F.min("next").alias("next"))
-        new = cut(new.select("node", F.col("next").alias("label"), (F.col("next") < F.col("label")).alias("changed")))
-        drop(state)
-        drop(jumped)
-        state = new
-    drop(links)
-    return state.select("node", "label")
+from ..plans.hooking import components  # noqa: F401
