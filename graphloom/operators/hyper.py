@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import KnowledgeGraph
+from ..plans.number import numbered
 
 # The names that reified statements use.
 TYPE, SUBJECT, PREDICATE, OBJECT = "rdf:type", "rdf:subject", "rdf:predicate", "rdf:object"
@@ -103,5 +104,5 @@ class HyperGraph:
         return plain.unionByName(one).unionByName(two)
 
     def to_knowledge_graph(self) -> KnowledgeGraph:
-        place = F.col("part").cast("long") * (1 << 58) + F.col("ord") * 1024 + F.col("k")
-        return KnowledgeGraph.of(self.to_reified_triples().withColumn("seq", place))
+        """The reified triples, numbered in their order; any number of facts a statement, any `ord`."""
+        return KnowledgeGraph.of(numbered(self.to_reified_triples(), ["part", "ord", "k"], "seq"))

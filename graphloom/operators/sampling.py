@@ -7,6 +7,7 @@ likelier.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from math import isfinite
 
@@ -14,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import KnowledgeGraph
-from ..plans.cut import cut
+from ..plans.cut import cut, shared_folder
 from ..plans.iterate import observed
+from ..plans.number import numbered
 
 
 @dataclass(frozen=True)
@@ -38,12 +40,21 @@ def _uniform(*parts: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11)).cast("double") * F.lit(2.0**-53)
 
 
-def _slots(graph: KnowledgeGraph) -> tuple[DataFrame, DataFrame]:
-    """((id, degree), (id, slot, object)): out-neighbours by place, in insertion order and with
-    multiplicity. A hub is many rows, never one list."""
-    place = F.row_number().over(Window.partitionBy("subject").orderBy("seq", "object")) - 1
-    slots = cut(graph.triples.select(F.col("subject").alias("id"), place.alias("slot"), "object"))
-    return cut(slots.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))), slots
+def _places(graph: KnowledgeGraph) -> tuple[DataFrame, DataFrame]:
+    """((id, first, degree), (place, object, first, degree)): out-neighbours by a number over all
+    triples, in insertion order and with multiplicity; a node's are `first` and the `degree` - 1 after.
+
+    Numbers come from ranges of (subject, seq), so a hub's triples lie in many tasks, and a draw is
+    a join by its number alone, which no hub makes heavy. A neighbour's own numbers are beside it.
+    """
+    nbr = numbered(graph.triples.select("subject", "seq", "object"), ["subject", "seq", "object"], "place")
+    own = cut(nbr.groupBy(F.col("subject").alias("id")).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("degree")))
+    return own, cut(nbr.select("place", "object").join(own.withColumnRenamed("id", "object"), "object", "left").select("place", "object", "first", "degree"))
+
+
+def _drawn(u: Column) -> Column:
+    """The number of the neighbour that a draw in [0, 1) picks."""
+    return F.col("first") + F.least(F.floor(u * F.col("degree")), F.col("degree") - 1)
 
 
 #: Candidates that a walker draws at once for a weighted step.
@@ -57,48 +68,58 @@ def step_weight(candidate: Column, prev: Column, linked: Column, p: float, q: fl
     return F.when(candidate == prev, 1 / p / top).when(linked, 1 / top).otherwise(1 / q / top)
 
 
-def generate_walks(graph: KnowledgeGraph, config: RandomWalkConfig = RandomWalkConfig()) -> DataFrame:
-    """(walk_id, round, start, walk): num_walks walks from every node, of up to walk_length nodes.
+def generate_steps(graph: KnowledgeGraph, config: RandomWalkConfig = RandomWalkConfig()) -> DataFrame:
+    """(round, start, place, id, first, degree): a row for each node of each walk.
+
+    A step draws a number among the out-neighbours and joins it; a walk ends at a node without
+    out-neighbours. The first step is uniform, and so are all if p = q = 1. Otherwise a drawn
+    neighbour is taken with its weight as the probability (rejection), where the edge from the last
+    node is looked up by a join; TRIES draws go at once, and walkers that took none draw again.
 
-    A step draws a place among the out-neighbours and joins it by (node, place); a walk ends at a
-    node without out-neighbours. The first step is uniform, and so are all if p = q = 1. Otherwise a
-    drawn neighbour is taken with its weight as the probability (rejection), where the edge from
-    the last node is looked up by a join; TRIES draws go at once, and walkers that took none
-    draw again.
+    A step is a written part of one table and the next step reads only that part, so no plan grows
+    with the walks' length and no walk is carried along. Walks are not stitched from halves: halves
+    that walks share would tie their draws together, and here all walks are independent.
     """
     config.validate()
-    degrees, slots = _slots(graph)
-    edges = cut(graph.directed().select(F.col("src").alias("prev"), F.col("dst").alias("object"), F.lit(True).alias("linked")))
+    spark = graph.triples.sparkSession
+    own, nbr = _places(graph)
+    plain = float(config.p) == 1 and float(config.q) == 1
+    edges = None if plain else cut(graph.directed().select(F.col("src").alias("prev"), F.col("dst").alias("object"), F.lit(True).alias("linked")))
     rounds = F.sequence(F.lit(0), F.lit(config.num_walks - 1)) if config.num_walks else F.array().cast("array<int>")
-    live = cut(graph.entity_ids().select(F.explode(rounds).alias("round"), F.col("id").alias("start"), F.array("id").alias("walk")))
-    done = None
-    p, q = float(config.p), float(config.q)
+    path = f"{shared_folder(spark)}/walks-{uuid.uuid4().hex}"
+    schema = "round int, start string, id string, prev string, first long, degree long"
+    part = lambda i: spark.read.schema(schema).parquet(f"{path}/place={i}")
+    add = lambda df, i: df.select("round", "start", "id", "prev", "first", "degree").write.mode("append").parquet(f"{path}/place={i}")
     who = ["round", "start"]
+    add(graph.entity_ids().join(own, "id", "left").select(F.explode(rounds).alias("round"), F.col("id").alias("start"), "id", F.lit(None).cast("string").alias("prev"), "first", "degree"), 0)
     for step in range(1, config.walk_length):
-        at = live.withColumn("id", F.element_at("walk", -1)).join(degrees, "id", "left")
-        ended, at = at.where("degree IS NULL").select(*who, "walk"), at.where("degree IS NOT NULL")
-        done = ended if done is None else done.union(ended)
+        at = part(step - 1).where("degree IS NOT NULL")
         draw = lambda *x: _uniform(F.lit(config.seed) + F.col("round"), F.col("start"), F.lit(step), *x)
-        slot = lambda u: F.least(F.floor(u * F.col("degree")), F.col("degree") - 1)
-        if step == 1 or (p == 1 and q == 1):
-            new = cut(at.withColumn("slot", slot(draw())).join(slots, ["id", "slot"]).select(*who, F.concat("walk", F.array("object")).alias("walk")))
-        else:
-            new, waiting, k = None, at.withColumn("prev", F.element_at("walk", -2)), 0
-            while True:
-                tried = waiting.withColumn("k", F.explode(F.sequence(F.lit(k), F.lit(k + TRIES - 1))))
-                tried = tried.withColumn("slot", slot(draw("k"))).join(slots, ["id", "slot"]).join(edges, ["prev", "object"], "left")
-                taken = draw("k", F.lit("take")) < step_weight(F.col("object"), F.col("prev"), F.col("linked"), p, q)
-                first = F.min(F.when(taken, F.struct("k", "object")))
-                got = tried.groupBy(*who).agg(first.alias("took"), *[F.first(c).alias(c) for c in ("id", "prev", "degree", "walk")])
-                got, m = observed(got, waiting=F.count_if(F.col("took").isNull()))
-                part = got.where("took IS NOT NULL").select(*who, F.concat("walk", F.array("took.object")).alias("walk"))
-                new = part if new is None else new.union(part)
-                if not m["waiting"]:
-                    break
-                waiting, k = got.where("took IS NULL").select(*who, "id", "prev", "degree", "walk"), k + TRIES
-        live = new
-    live = live if done is None else live.union(done)
-    return live.select(F.concat_ws(":", F.col("round").cast("string"), "start").alias("walk_id"), "round", "start", "walk")
+        there = nbr.select("place", "object", F.col("first").alias("n_first"), F.col("degree").alias("n_degree"))
+        if step == 1 or plain:
+            got = at.select(*who, F.col("id").alias("prev"), _drawn(draw()).alias("place")).join(there, "place")
+            add(got.select(*who, F.col("object").alias("id"), "prev", F.col("n_first").alias("first"), F.col("n_degree").alias("degree")), step)
+            continue
+        waiting, k = at, 0
+        while True:
+            tried = waiting.withColumn("k", F.explode(F.sequence(F.lit(k), F.lit(k + TRIES - 1))))
+            tried = tried.withColumn("place", _drawn(draw("k"))).join(there, "place").join(edges, ["prev", "object"], "left")
+            taken = draw("k", F.lit("take")) < step_weight(F.col("object"), F.col("prev"), F.col("linked"), float(config.p), float(config.q))
+            first = F.min(F.when(taken, F.struct("k", "object", "n_first", "n_degree")))
+            got = tried.groupBy(*who).agg(first.alias("took"), *[F.first(c).alias(c) for c in ("id", "prev", "first", "degree")])
+            got, m = observed(got, waiting=F.count_if(F.col("took").isNull()))
+            add(got.where("took IS NOT NULL").select(*who, F.col("took.object").alias("id"), F.col("id").alias("prev"), F.col("took.n_first").alias("first"), F.col("took.n_degree").alias("degree")), step)
+            if not m["waiting"]:
+                break
+            waiting, k = got.where("took IS NULL"), k + TRIES
+    return spark.read.schema(f"{schema}, place int").parquet(path).drop("prev")
+
+
+def generate_walks(graph: KnowledgeGraph, config: RandomWalkConfig = RandomWalkConfig()) -> DataFrame:
+    """(walk_id, round, start, walk): num_walks walks from every node, of up to walk_length nodes; the
+    steps of `generate_steps`, brought together once."""
+    steps = generate_steps(graph, config).groupBy("round", "start").agg(F.sort_array(F.collect_list(F.struct("place", "id"))).alias("w"))
+    return steps.select(F.concat_ws(":", F.col("round").cast("string"), "start").alias("walk_id"), "round", "start", F.transform("w", lambda x: x["id"]).alias("walk"))
 
 
 def generate_walk_corpus(graph: KnowledgeGraph, config: RandomWalkConfig = RandomWalkConfig()) -> tuple[DataFrame, DataFrame]:
@@ -108,11 +129,20 @@ def generate_walk_corpus(graph: KnowledgeGraph, config: RandomWalkConfig = Rando
     return nodes, walks.groupBy("walk_id").agg(F.sort_array(F.collect_list(F.struct("k", "idx"))).alias("w")).select("walk_id", F.transform("w", lambda x: x["idx"]).alias("walk"))
 
 
+def _least_by_hash(rows: DataFrame, key: str, k: int, *seed) -> DataFrame:
+    """At most k rows of each key, those of least hash, ranked by `r`; first within salts, so the rows
+    of a hub are ranked in many tasks and only k of each go on."""
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.xxhash64(*[F.lit(x) for x in seed], key, "seq"), "seq"]
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("seq", F.lit(1)), F.lit(salts)))
+    few = salted.withColumn("r", F.row_number().over(Window.partitionBy(key, "_salt").orderBy(*order))).where(F.col("r") <= k)
+    return few.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("r") <= k).drop("_salt")
+
+
 def sample_neighbors(graph: KnowledgeGraph, nodes: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """(id, sample): up to k triples' objects without replacement; [] for unknown nodes."""
     edges = graph.triples.join(nodes.select(F.col("id").alias("subject")).distinct(), "subject", "left_semi")
-    order = Window.partitionBy("subject").orderBy(F.xxhash64(F.lit(seed), "subject", "seq"), "seq")
-    kept = edges.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+    kept = _least_by_hash(edges.select("subject", "seq", "object"), "subject", k, seed)
     per = kept.groupBy(F.col("subject").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "object"))), lambda x: x["object"]).alias("sample"))
     return nodes.select("id").distinct().join(per, "id", "left").select("id", F.coalesce("sample", F.array().cast("array<string>")).alias("sample"))
 
@@ -120,13 +150,59 @@ def sample_neighbors(graph: KnowledgeGraph, nodes: DataFrame, k: int, seed: int
 def sample_neighbors_with_replacement(graph: KnowledgeGraph, nodes: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """(id, sample): exactly k draws, or [] for nodes without out-neighbours."""
     ids = nodes.select("id").distinct()
-    degrees, slots = _slots(graph)
-    draws = ids.join(degrees, "id").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(k)) if k > 0 else F.array().cast("array<int>")))
-    draws = draws.withColumn("slot", F.least(F.floor(_uniform(F.lit(seed), F.col("id"), F.col("i")) * F.col("degree")), F.col("degree") - 1))
-    per = draws.join(slots, ["id", "slot"]).groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "object"))), lambda x: x["object"]).alias("sample"))
+    own, nbr = _places(graph)
+    draws = ids.join(own, "id").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(k)) if k > 0 else F.array().cast("array<int>")))
+    draws = draws.select("id", "i", _drawn(_uniform(F.lit(seed), F.col("id"), F.col("i"))).alias("place"))
+    per = draws.join(nbr.select("place", "object"), "place").groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "object"))), lambda x: x["object"]).alias("sample"))
     return ids.join(per, "id", "left").select("id", F.coalesce("sample", F.array().cast("array<string>")).alias("sample"))
 
 
+@dataclass(frozen=True)
+class SubgraphBatch:
+    """A sampled neighbourhood by number: nodes (idx, id, layer), the targets first and then by layer;
+    edges (layer, src_idx, dst_idx) from the drawn neighbour to the node that drew it; the number of
+    nodes up to each layer, the targets' first."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    layer_sizes: list[int]
+
+    @property
+    def num_layers(self) -> int:
+        return len(self.layer_sizes) - 1
+
+    @property
+    def num_nodes(self) -> int:
+        return self.layer_sizes[-1]
+
+    def target_indices(self) -> range:
+        return range(self.layer_sizes[0])
+
+
+def subgraph_batch(graph: KnowledgeGraph, seeds: list[str], fanouts: list[int], seed: int = 42) -> SubgraphBatch:
+    """`neighbor_sampler` as an indexed batch. A node's number is its place among the targets as given,
+    else by layer, the id of the node that drew it first, and the place of that draw."""
+    spark = graph.triples.sparkSession
+    targets = list(dict.fromkeys(seeds))
+    rows = [(0, "", i, s) for i, s in enumerate(targets)]
+    seen = spark.createDataFrame(rows, "layer int, by string, place int, id string")
+    frontier, edges = seen.select("id"), None
+    for layer, k in enumerate(fanouts, 1):
+        drawn = cut(sample_neighbors(graph, frontier, k, seed + layer).select(F.lit(layer).alias("layer"), F.col("id").alias("by"), F.posexplode("sample").alias("place", "id")))
+        seen = seen.unionByName(drawn)
+        edges = drawn if edges is None else edges.unionByName(drawn)
+        frontier = drawn.select("id").distinct()
+    first = seen.groupBy("id").agg(F.min(F.struct("layer", "by", "place")).alias("at")).select("id", "at.*")
+    nodes = cut(numbered(first, ["layer", "by", "place", "id"], "idx").select("idx", "id", "layer"))
+    per = {r["layer"]: r["n"] for r in nodes.groupBy("layer").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a layer
+    sizes = [sum(n for at, n in per.items() if at <= layer) for layer in range(len(fanouts) + 1)]
+    if edges is None:
+        return SubgraphBatch(nodes, spark.createDataFrame([], "layer int, src_idx long, dst_idx long"), sizes)
+    name = lambda c: nodes.select(F.col("id").alias(c), F.col("idx").alias(f"{c}_idx"))
+    named = edges.select("layer", F.col("id").alias("src"), F.col("by").alias("dst")).join(name("src"), "src").join(name("dst"), "dst")
+    return SubgraphBatch(nodes, named.select("layer", "src_idx", "dst_idx"), sizes)
+
+
 def neighbor_sampler(graph: KnowledgeGraph, seeds: list[str], fanouts: list[int], seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(nodes (id, layer), edges (layer, src, dst)): a sampled neighbourhood, hop by hop.
 
@@ -164,8 +240,7 @@ def hetero_neighbor_sampler(hetero, node_type: str, idxs: list[int], fanouts: di
                 continue
             at = nodes.where(F.col("node_type") == edge_type[0]).select(F.col("idx").alias("src_idx"))
             own = hetero._of(edge_type).join(at, "src_idx", "left_semi")
-            order = Window.partitionBy("src_idx").orderBy(F.xxhash64(F.lit(seed), F.lit(layer), "src_idx", "seq"), "seq")
-            e = own.withColumn("r", F.row_number().over(order)).where(F.col("r") <= fanouts[edge_type][layer])
+            e = _least_by_hash(own, "src_idx", fanouts[edge_type][layer], seed, layer)
             e = cut(e.select(F.lit(layer).alias("layer"), "src_type", "relation", "dst_type", "src_idx", "dst_idx"))
             edges = edges.union(e)
             nodes = cut(nodes.union(e.select(F.col("dst_type").alias("node_type"), F.col("dst_idx").alias("idx"))).distinct())

@@ -361,3 +361,52 @@ def test_chain_of_cycles(spark):
     got = {r["id"]: r["component"] for r in communities.strongly_connected_components(edges(spark, *pairs), trace).collect()}
     assert got == {at(c, i): min(at(c, j) for j in range(3)) for c in range(k) for i in range(3)}
     assert max(trace) <= 28 and len(trace) <= 12
+
+
+def test_walk_plans_do_not_grow(spark):
+    """Plans of short and long walks are alike, and the law of single steps is uniform over triples."""
+    k = edges(spark, "AB", "AB", "AC", "BA", "CA", "CD")
+    size = lambda n: len(sampling.generate_walks(k, sampling.RandomWalkConfig(walk_length=n, num_walks=1))._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert size(3) == size(9)
+    steps = sampling.generate_steps(k, sampling.RandomWalkConfig(walk_length=4, num_walks=2000)).collect()
+    path = {(r["round"], r["start"], r["place"]): r["id"] for r in steps}
+    after = {}
+    for (w, s, i), x in path.items():
+        after.setdefault((x, i), []).append(path.get((w, s, i + 1)))
+    for i in range(3):
+        at = after["A", i]
+        assert abs(at.count("B") / len(at) - 2 / 3) < 0.06 and set(at) == {"B", "C"}
+    assert all(x is None for x in after["D", 1]) and len([1 for (_, _, i) in path if i == 0]) == 8000
+
+
+def test_a_hub_is_not_one_task(spark):
+    """Nine tenths of the edges leave one node; no task of the first ranking or of the numbering has them."""
+    rows = [(i, "hub" if i % 10 else f"n{i}", "e", f"t{i}") for i in range(20_000)]
+    k = KnowledgeGraph.of(spark.createDataFrame(rows, "seq long, subject string, predicate string, object string").repartition(4))
+    nodes = spark.createDataFrame([("hub",), ("n10",)], "id string")
+    got = {r["id"]: r["sample"] for r in sampling.sample_neighbors(k, nodes, 50).collect()}
+    assert len(set(got["hub"])) == 50 and got["n10"] == ["t10"]
+    own, nbr = sampling._places(k)
+    assert own.where("id = 'hub'").first()["degree"] == 18_000
+    assert sorted(r["place"] for r in nbr.collect()) == list(range(20_000))
+    per = [r["n"] for r in nbr.join(own.where("id = 'hub'").select(F.col("first").alias("f"), F.col("degree").alias("d")), (F.col("place") >= F.col("f")) & (F.col("place") < F.col("f") + F.col("d"))).groupBy((F.col("object").substr(2, 9).cast("int") * 10 / 20_000).cast("int")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(per) == 18_000
+    salts = k.triples.where("subject = 'hub'").groupBy(F.pmod(F.xxhash64("seq", F.lit(1)), F.lit(4))).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert len(salts) == 4 and max(r["n"] for r in salts) < 5000
+    many = sampling.sample_neighbors_with_replacement(k, nodes, 4000).where("id = 'hub'").first()["sample"]
+    tenth = [0] * 10
+    for x in many:
+        tenth[int(x[1:]) // 2000] += 1
+    assert min(tenth) > 300 and len(many) == 4000
+
+
+def test_subgraph_batch(spark):
+    k = edges(spark, "AB", "AC", "BD", "CD", "DA", "XY")
+    b = sampling.subgraph_batch(k, ["X", "A", "X", "nobody"], [5, 5])
+    nodes = {r["idx"]: (r["id"], r["layer"]) for r in b.nodes.collect()}
+    assert [nodes[i] for i in b.target_indices()] == [("X", 0), ("A", 0), ("nobody", 0)]
+    assert b.layer_sizes == [3, 6, 7] and b.num_layers == 2 and b.num_nodes == 7 == len(nodes)
+    assert {x for x, at in nodes.values() if at == 1} == {"B", "C", "Y"} and nodes[6] == ("D", 2)
+    named = sorted((r["layer"], nodes[r["src_idx"]][0], nodes[r["dst_idx"]][0]) for r in b.edges.collect())
+    assert named == [(1, "B", "A"), (1, "C", "A"), (1, "Y", "X"), (2, "D", "B"), (2, "D", "C")]
+    assert sampling.subgraph_batch(k, ["A"], []).layer_sizes == [1]
