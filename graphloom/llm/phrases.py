@@ -45,6 +45,8 @@ SHARD = 1 << 21
 SLOT_BITS, LOAD = 28, 32
 #: Slots of a reducer's array, and arrays summed at once.
 SLICE_BITS, SPREAD = 16, 16
+#: Slices of hashed keys, in which the tasks' candidates meet.
+KEY_SLICE_BITS = 10
 #: Pairs that a mapper brings together before it counts them.
 HELD = 1 << 20
 
@@ -172,10 +174,30 @@ def _candidates(seq: DataFrame, pairs: int, least: int) -> tuple[DataFrame, list
         filters.append((slots, bits))
 
         def distinct(batches: Iterator[pa.RecordBatch], slots=slots, bits=bits) -> Iterator[pa.RecordBatch]:
+            own = np.zeros(0, np.uint64)
             for keys in _keys_of(batches):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(keys[_in_busy(keys, slots, bits.value)]).view(np.int64))], ["key"])
-
-        new = in_arrow(seq, distinct, "key long").distinct()
+                own = np.unique(np.concatenate([own, np.unique(keys[_in_busy(keys, slots, bits.value)])]))
+                if len(own) >= HELD:
+                    yield by_slice(own)
+                    own = own[:0]
+            yield by_slice(own)
+
+        def by_slice(keys: np.ndarray) -> pa.RecordBatch:
+            part = mix(keys, 1) >> np.uint64(64 - KEY_SLICE_BITS)
+            order = np.argsort(part, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(part[order]) > 0]) if len(keys) else np.zeros(0, int)
+            packed = [x.tobytes() for x in np.split(keys[order], starts[1:])] if len(keys) else []
+            return pa.RecordBatch.from_arrays([pa.array(part[order][starts].astype(np.int32)), pa.array(packed, pa.binary())], ["slice", "keys"])
+
+        def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for part, keys in zip(batch.column("slice").to_pylist(), batch.column("keys"), strict=True):
+                    held[part] = np.union1d(held.get(part, np.zeros(0, np.uint64)), np.frombuffer(keys.as_buffer(), np.uint64))
+            for keys in held.values():
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["key"])
+
+        new = in_arrow(in_arrow(seq, distinct, "slice int, keys binary").repartition("slice"), once, "key long")
         out = new if out is None else out.union(new)
     return cut(out), filters
 
