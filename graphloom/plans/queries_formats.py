@@ -26,14 +26,13 @@ def query(name: str, sql: str | None):
     return add
 
 
-_P = ["in_region", "supplier_in", "customer_in"]
-_T = f"t AS ({g.tpch_sql(_P)})"
+_T = f"t AS ({g.tpch_sql()})"
 _IRI = "'<' || {0} || '>'"
 _LOCAL = "'<urn:local:' || {0} || '>'"
 
 
 def _places(spark, d) -> KnowledgeGraph:
-    return g.tpch(spark, d, _P)
+    return g.tpch(spark, d)
 
 
 @query("ntriples_render", f"WITH {_T} SELECT seq, {_IRI.format('s')} || ' ' || {_LOCAL.format('p')} || ' ' || {_IRI.format('o')} || ' .' AS value FROM t")
@@ -143,6 +142,21 @@ def _(spark, d):
     return lines.read_csv(spark, at).triples.select("subject", "predicate", "object")
 
 
+@query("csv_texts", "SELECT doc_id::VARCHAR AS subject, coalesce(lang, '') AS predicate, sha256(coalesce(text, '')) AS object FROM documents")
+def _(spark, d):
+    at = _folder(spark)
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    g.read(spark, d, "documents").select(F.concat_ws(",", F.col("doc_id").cast("string"), quoted(F.col("lang")), quoted(F.col("text")))).write.text(at)
+    return lines.read_csv(spark, at).triples.select("subject", "predicate", F.sha2("object", 256).alias("object"))
+
+
+@query("turtle_files", f"WITH {_W} SELECT s AS subject, p AS predicate, o AS object FROM t")
+def _(spark, d):
+    at = _folder(spark)
+    documents.turtle_blocks(g.tpch(spark, d).triples, {}).select("value").write.text(at)
+    return documents.read_turtle(spark, at).triples.select("subject", "predicate", "object")
+
+
 @query("kge_files", f"SELECT 'train' AS split, s AS head, p AS relation, o AS tail FROM ({g.handoff_sql()})")
 def _(spark, d):
     at = _folder(spark)

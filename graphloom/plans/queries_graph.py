@@ -204,6 +204,15 @@ def _(spark, d):
     return centrality.closeness_centrality(g.handoff(spark, d), harmonic=False).withColumn("score", F.round("score", 9))
 
 
+@query("closeness_sketched", f"WITH t AS ({H}), n AS ({g.nodes_sql()}) SELECT count(*) AS nodes, count(*) AS near FROM n")
+def _(spark, d):
+    """How many nodes' sketched scores lie within a tenth of the exact ones: all."""
+    k = g.handoff(spark, d)
+    exact = centrality.closeness_centrality(k)
+    both = exact.join(centrality.closeness_sketch(k).scores.withColumnRenamed("score", "about"), "id")
+    return both.agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.abs(F.col("about") - F.col("score")) <= 0.1 * F.col("score")).alias("near"))
+
+
 def _power(t: str, rounds: int, body: str, start: str) -> str:
     """A recursive table v(it, id, x) of score vectors."""
     return f"""WITH RECURSIVE t AS ({t}), n AS ({g.nodes_sql()}), e AS (SELECT DISTINCT s, o FROM t), m AS (SELECT count(*) AS n FROM n),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import urljoin
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..model import KnowledgeGraph
+from ..plans.cut import cut
 from ..plans.number import numbered
+from . import split
 from .lines import ParseError, literal
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
@@ -75,7 +78,7 @@ _TOKEN = re.compile(
 class _Turtle:
     """One document: a recursive reader of the token stream."""
 
-    def __init__(self, text: str, base: str = ""):
+    def __init__(self, text: str, base: str = "", prefixes: dict[str, str] | None = None, name: str = "b"):
         self.tokens: list[tuple[str, str]] = []
         at = 0
         while at < len(text):
@@ -85,7 +88,7 @@ class _Turtle:
             if m.lastgroup != "ws":
                 self.tokens.append((m.lastgroup, m.group()))
             at = m.end()
-        self.i, self.base, self.prefixes, self.blanks = 0, base, {}, 0
+        self.i, self.base, self.prefixes, self.blanks, self.name = 0, base, dict(prefixes or {}), 0, name
         self.out: list[tuple[str, str, str]] = []
 
     def peek(self) -> tuple[str, str]:
@@ -107,7 +110,7 @@ class _Turtle:
 
     def fresh(self) -> str:
         self.blanks += 1
-        return f"_:b{self.blanks}"
+        return f"_:{self.name}{self.blanks}"
 
     def run(self) -> list[tuple[str, str, str]]:
         while self.peek()[0] != "end":
@@ -220,9 +223,63 @@ def parse_turtle(documents: DataFrame, base: str = "") -> DataFrame:
     return numbered(rows, ["doc", "k"], "seq").select("seq", "subject", "predicate", "object")
 
 
+def scan_turtle(line: str, state: int) -> tuple[int | None, list[int]]:
+    """States 1 and 2 are inside a long string in double or single quotes; a statement ends at its dot."""
+    at, ends = 0, []
+    if state:
+        close = re.compile(r'(?:(?:"|"")?(?:[^"\\]|\\.|\\$))*"""' if state == 1 else r"(?:(?:'|'')?(?:[^'\\]|\\.|\\$))*'''")
+        m = close.match(line)
+        if m is None:
+            return state, []
+        at = m.end()
+    while at < len(line):
+        m = _TOKEN.match(line, at)
+        opens = line.startswith('"""', at) and 1 or line.startswith("'''", at) and 2
+        if opens and (m is None or m.lastgroup != "long"):
+            return opens, ends
+        if m is None:
+            return None, ends
+        at = m.end()
+        if m.group() == "." and m.lastgroup == "mark":
+            ends.append(at)
+    return 0, ends
+
+
+_DIRECTIVE = r"(?im)^\s*@?(prefix|base)\s"
+
+
+def _statements(known: dict[str, list], base: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for file, start, k, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                heads = known.get(file, [])
+                i = bisect_left(heads, (start, k), key=lambda h: h[:2])
+                own_base, prefixes = heads[i - 1][2:] if i else (base, {})
+                rows += [(file, start, k, j, *t) for j, t in enumerate(_Turtle(text, own_base, prefixes, f"s{start}n{k}b").run())]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            kinds = (pa.string(), *[pa.int64()] * 3, *[pa.string()] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["file", "start", "k", "j", "subject", "predicate", "object"])
+
+    return run
+
+
 def read_turtle(spark: SparkSession, path: str, base: str = "") -> KnowledgeGraph:
-    """Turtle cannot be split, so a file is a task; many files are read in parallel."""
-    return KnowledgeGraph.of(parse_turtle(spark.read.text(path, wholetext=True), base))
+    """A file is read in byte ranges (see split.py) and parsed by statement, in any number of tasks.
+
+    Directives apply from where they stand to the end of their file; the statements that hold one
+    reach the driver, which tells all tasks what is in force where. Nodes without a name are called by
+    the place of their statement.
+    """
+    found = cut(split.statements(spark, path, scan_turtle, 3))
+    known: dict[str, list] = {}
+    for r in found.where(F.col("text").rlike(_DIRECTIVE)).orderBy("file", "start", "k").toLocalIterator():
+        heads = known.setdefault(r["file"], [])
+        reader = _Turtle(r["text"], *(heads[-1][2:] if heads else (base, {})))
+        reader.run()
+        heads.append((r["start"], r["k"], reader.base, reader.prefixes))
+    rows = found.select("file", "start", "k", "text").mapInArrow(_statements(known, base), "file string, start long, k long, j long, subject string, predicate string, object string")
+    return KnowledgeGraph.of(numbered(rows, ["file", "start", "k", "j"], "seq").select("seq", "subject", "predicate", "object"))
 
 
 # JSON-LD

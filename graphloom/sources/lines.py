@@ -5,6 +5,8 @@ Readers scan text in parallel and return tables; a line parser runs in Arrow bat
 
 from __future__ import annotations
 
+import csv
+import io
 import re
 from collections.abc import Iterator
 
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import terms
 from ..model import ENTITY_SCHEMA, TRIPLE_SCHEMA, KnowledgeGraph
 from ..plans.number import numbered
+from . import split
 
 _IRI = r"<(?P<{0}>[^\x00-\x20<>\"{{}}|^`\\]*(?:\\u[0-9A-Fa-f]{{4}}[^\x00-\x20<>\"{{}}|^`\\]*|\\U[0-9A-Fa-f]{{8}}[^\x00-\x20<>\"{{}}|^`\\]*)*)>"
 _BLANK = r"_:(?P<{0}>[^\s<>\"]+?)"
@@ -161,22 +164,31 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.orderBy("seq").select("value").write.text(path)
 
 
+def _fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    csv.field_size_limit(2**31 - 1)
+    for batch in batches:
+        rows = [next(csv.reader(io.StringIO(t.removeprefix("\n").removesuffix("\n").removesuffix("\r"), newline="")), []) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("file", "start", "k")], pa.array(rows, pa.list_(pa.string()))], ["file", "start", "k", "f"])
+
+
 def read_csv(spark: SparkSession, path: str) -> KnowledgeGraph:
     """No header: three or more columns give subject, predicate, object; two get `related_to`; a file
-    of one column gives nothing. Quoted fields may hold commas, line breaks and doubled quotes. Rows
-    of different widths raise."""
-    options = {"header": False, "multiLine": True, "quote": '"', "escape": '"', "nullValue": None, "emptyValue": "", "ignoreLeadingWhiteSpace": False}
-    width = len(spark.read.options(**options).csv(path).columns)
+    of one column gives nothing. Quoted fields may hold commas, line breaks and doubled quotes. An empty
+    field is an empty string, an empty line is none. Rows of different widths raise. A file is read in
+    byte ranges (see split.py), in any number of tasks."""
+    found = split.statements(spark, path, split.scan_csv, 2)
+    rows = found.mapInArrow(_fields, "file string, start long, k long, f array<string>").where("size(f) > 0")
+    rows = numbered(rows, ["file", "start", "k"], "seq")
+    first = rows.where("seq = 0").select(F.size("f")).first()
+    width = first[0] if first else 0
+    bad = rows.where(F.size("f") != width).orderBy("seq").select("f").first()
+    if bad is not None:
+        raise ValueError(f"not {width} fields: {bad['f']}")
     if width < 2:
         return KnowledgeGraph.empty(spark)
-    names = ["a", "b", *[f"c{i}" for i in range(2, width)]]
-    schema = ", ".join(f"{c} string" for c in [*names, "_bad"])
-    rows = spark.read.options(**options, columnNameOfCorruptRecord="_bad", mode="PERMISSIVE").schema(schema).csv(path).withColumn("seq", F.monotonically_increasing_id())
-    bad = rows.where("_bad IS NOT NULL").select("_bad", "a").first()
-    if bad is not None:
-        raise ValueError(f"not {width} fields: {bad[0]}")
-    predicate, tail = (F.col("b"), F.col("c2")) if width > 2 else (F.lit("related_to"), F.col("b"))
-    return KnowledgeGraph.of(rows.select("seq", F.col("a").alias("subject"), predicate.alias("predicate"), tail.alias("object")))
+    f = lambda i: F.get("f", F.lit(i))
+    predicate, tail = (f(1), f(2)) if width > 2 else (F.lit("related_to"), f(1))
+    return KnowledgeGraph.of(rows.select("seq", f(0).alias("subject"), predicate.alias("predicate"), tail.alias("object")))
 
 
 def adjacency(json: DataFrame) -> KnowledgeGraph:

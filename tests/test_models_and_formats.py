@@ -10,7 +10,7 @@ from graphloom.model import KnowledgeGraph
 from graphloom.operators import kge
 from graphloom.operators.hetero import HeteroGraph
 from graphloom.operators.hyper import HyperGraph, entity_by_role, with_qualifier
-from graphloom.sources import documents, lines
+from graphloom.sources import documents, lines, split
 
 
 def triples(spark, *rows):
@@ -104,7 +104,7 @@ def test_csv_and_adjacency(spark, tmp_path):
     f.write_text('a,"b, c",d\ne,f,g\n')
     assert spo(lines.read_csv(spark, str(f)).triples) == [("a", "b, c", "d"), ("e", "f", "g")]
     f.write_text('a,"line1\nline2",c\nd,"say ""x""",\n')
-    assert [(r["subject"], r["predicate"], r["object"]) for r in lines.read_csv(spark, str(f)).triples.orderBy("seq").collect()] == [("a", "line1\nline2", "c"), ("d", 'say "x"', None)]
+    assert [(r["subject"], r["predicate"], r["object"]) for r in lines.read_csv(spark, str(f)).triples.orderBy("seq").collect()] == [("a", "line1\nline2", "c"), ("d", 'say "x"', "")]
     f.write_text("a\nb\n")
     assert lines.read_csv(spark, str(f)).triples.count() == 0
     f.write_text("a,b\n")
@@ -183,3 +183,60 @@ def test_save_and_load(spark, tmp_path):
     k = triples(spark, ("a", "p", "b"))
     lines.save(k, str(tmp_path / "g"))
     assert spo(lines.load(spark, str(tmp_path / "g")).triples) == spo(k.triples)
+
+
+def test_csv_in_ranges(spark, tmp_path):
+    """One file in many ranges, some of which start inside quotes, reads as it does in one."""
+    import csv
+    import random
+
+    r = random.Random(2)
+    part = lambda: "".join(r.choice(["a", "b", ",", '"', "\n", "\r\n", " ", "é", ""]) for _ in range(r.randrange(30)))
+    rows = [(f"s{i}", part(), part()) for i in range(300)] + [("long", "x\n" * 3000, 'quo"te' * 500), ("", "", "z")]
+    f = tmp_path / "x.csv"
+    with open(f, "w", newline="") as out:
+        csv.writer(out, lineterminator="\n").writerows(rows)
+    want = [tuple(x) for x in csv.reader(open(f, newline=""))]
+    assert want == rows
+    for parts in (1, 8, 60):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(f.stat().st_size // parts + 1))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            got = [(x["subject"], x["predicate"], x["object"]) for x in lines.read_csv(spark, str(f)).triples.orderBy("seq").collect()]
+            assert parts == 1 or split.lines(spark, str(f)).select("start").distinct().count() > parts // 2
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert got == rows
+    f.write_text(',"",x\r\na,b,c\r\n\r\n', newline="")
+    assert [(x["subject"], x["predicate"], x["object"]) for x in lines.read_csv(spark, str(f)).triples.orderBy("seq").collect()] == [("", "", "x"), ("a", "b", "c")]
+
+
+def test_turtle_in_ranges(spark, tmp_path):
+    """Ranges that start inside long strings, comments and lists; directives in the middle of the file."""
+    text = "@prefix ex: <http://x.org/> . # a dot . in a comment\n"
+    for i in range(60):
+        text += f'ex:s{i} ex:p """line one . \n@prefix ex: <http://no.org/> .\n it\\"s "" {i}\n"""@en ; ex:q <http://y.org/a.b#{i}> , \'\'\'single\n.\n{i}\'\'\' .\n'
+        text += f'ex:n{i} ex:r 1.5 , {i} , "short . # no comment" .\n'
+    text += 'PREFIX ex: <http://z.org/>\n@base <http://base.org/> .\n'
+    for i in range(40):
+        text += f"<t{i}>\n  ex:p\n  ( ex:a{i} ex:b )\n  .ex:c{i} a ex:d .\n"
+    f = tmp_path / "x.ttl"
+    f.write_text(text)
+    plain = documents.parse_turtle(spark.createDataFrame([(text,)], "value string")).orderBy("seq").collect()
+    def named(rows):
+        """Nodes without a name by order of appearance."""
+        seen = {}
+        return [tuple(seen.setdefault(x, f"_:{len(seen)}") if x.startswith("_:") else x for x in (r["subject"], r["predicate"], r["object"])) for r in rows]
+    for parts in (1, 8, 90):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(f.stat().st_size // parts + 1))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            got = documents.read_turtle(spark, str(f)).triples.orderBy("seq").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert named(got) == named(plain) and len(got) == 60 * 6 + 40 * 6
+    f.write_text("<a> <b> .\n")
+    with pytest.raises(Exception, match="Turtle"):
+        documents.read_turtle(spark, str(f)).triples.count()
