@@ -48,7 +48,7 @@ SLICE_BITS, SPREAD = 16, 16
 #: Slices of hashed keys, in which the tasks' candidates meet.
 KEY_SLICE_BITS = 10
 #: Pairs that a mapper brings together before it counts them.
-HELD = 1 << 20
+HELD = 1 << 19
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if c == 9 else c for c in range(256))
 _BREAK = b"\n"
@@ -250,36 +250,29 @@ def _level(seq: DataFrame, pairs: int, least: int, last: bool) -> tuple[DataFram
             own[rows.select("slot").toPandas()["slot"].to_numpy(np.int64) - base] = True  # a shard's slots at most
             kept = seq.sparkSession.sparkContext.broadcast(own)
 
-            def rename(batches: Iterator[pa.RecordBatch], look_up=look_up, kept=kept, base=base) -> Iterator[pa.RecordBatch]:
+            def rename(batches: Iterator[pa.RecordBatch], look_up=look_up, kept=kept, base=base, end=k + 1 == shards) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
-                    out = []
                     for ids, old in zip(batch.column("ids"), batch.column("next"), strict=True):
-                        ids = blocks.unpack(ids.as_buffer())
-                        new = blocks.unpack(old.as_buffer()) if old.is_valid else np.full(len(ids), -1, np.int32)
-                        at, pair_keys = _pairs(ids)
+                        own = blocks.unpack(ids.as_buffer())
+                        new = blocks.unpack(old.as_buffer()) if old.is_valid else np.full(len(own), -1, np.int32)
+                        at, pair_keys = _pairs(own)
                         slot = look_up(pair_keys)
                         ok = slot >= 0
                         ok[ok] = kept.value[slot[ok]]
                         new[at[ok]] = slot[ok] + base
-                        out.append(blocks.pack(new))
-                    yield pa.RecordBatch.from_arrays([batch.column("ids"), pa.array(out, pa.binary())], ["ids", "next"])
+                        # after the last shard only the new numbers go on, with their number of pairs
+                        row = (None, _squeezed(new), len(_pairs(new)[0])) if end else (ids.as_py(), blocks.pack(new), 0)
+                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.binary(), pa.binary(), pa.int64()), strict=True)], ["ids", "next", "pairs"])
 
-            now = in_arrow(now, rename, "ids binary, next binary")
-            if shards > 1:
-                now = cut(now)
+            now, m = observed(in_arrow(now.select("ids", "next"), rename, "ids binary, next binary, pairs long"), n=F.coalesce(F.sum("pairs"), F.lit(0)))
         base += len(table.value)
         if base >= 1 << 31:
             raise ValueError("a level has more than 2^31 candidates")
     drop(keys)
     if last:
         return found, None, 0
-
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [blocks.unpack(x.as_buffer()) for x in batch.column("next")]
-            yield pa.RecordBatch.from_arrays([pa.array([_squeezed(x) for x in ids], pa.binary()), pa.array([len(_pairs(x)[0]) for x in ids], pa.int64())], ["ids", "pairs"])
-
-    after, m = observed(in_arrow(now, squeeze, "ids binary, pairs long"), n=F.coalesce(F.sum("pairs"), F.lit(0)))
+    after = now.select(F.col("next").alias("ids"))
+    after._cut_path = now._cut_path
     return found, after, m["n"]
 
 
