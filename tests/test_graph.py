@@ -410,3 +410,83 @@ def test_subgraph_batch(spark):
     named = sorted((r["layer"], nodes[r["src_idx"]][0], nodes[r["dst_idx"]][0]) for r in b.edges.collect())
     assert named == [(1, "B", "A"), (1, "C", "A"), (1, "Y", "X"), (2, "D", "B"), (2, "D", "C")]
     assert sampling.subgraph_batch(k, ["A"], []).layer_sizes == [1]
+
+
+def test_paths_of_random_graphs(spark):
+    """The first-seen shortest path, against plain search, for paths of every length from both sides."""
+    import random
+
+    r = random.Random(11)
+    pairs = [(f"n{r.randrange(40)}", f"n{r.randrange(40)}") for _ in range(70)]
+    k = edges(spark, *pairs)
+    seen, order = {}, []
+    for p in pairs:
+        for x in p:
+            if x not in seen:
+                seen[x] = len(seen)
+                order.append(x)
+    _, dist = distances(pairs)
+    lengths = {}
+    for (a, b), d in sorted(dist.items()):
+        lengths.setdefault(d, []).append((a, b))
+    for d in (1, 2, 5, max(lengths)):
+        ends = lengths[d]
+        a, b = ends[len(ends) // 2]
+        want = [a]
+        while want[-1] != b:
+            left = d - len(want)
+            want.append(min((y for x, y in pairs if x == want[-1] and y != want[-1] and (dist.get((y, b)) if y != b else 0) == left), key=seen.get))
+        got = [x["object"] for x in traverse.find_path(k, a, b).collect()]
+        assert [a, *got] == want
+    apart = next((a, b) for a in order for b in order if a != b and (a, b) not in dist)
+    assert traverse.find_path(k, *apart) is None
+
+
+def test_pushed_ranks(spark):
+    import random
+
+    r = random.Random(12)
+    k = edges(spark, *[(f"n{min(r.randrange(50), r.randrange(50))}", f"n{r.randrange(50)}") for _ in range(120)])
+    config = ranking.PageRankConfig(0.5, 200, 1e-4)
+    exact = ranking.PageRankConfig(0.5, 200, 1e-8)
+    for seed in (None, "n3"):
+        trace = []
+        pushed = ranking.pagerank_push(k, config, seed, trace)
+        want = scores((ranking.pagerank(k, exact) if seed is None else ranking.personalized_pagerank(k, seed, exact)).scores)
+        got = scores(pushed.scores)
+        assert pushed.converged and sum(abs(got[i] - want[i]) for i in want) < 1e-4
+        assert isclose(sum(got.values()), 1) and trace[-1] < max(trace) and trace[-1] > 0
+    assert ranking.pagerank_push(KnowledgeGraph.empty(spark)).scores.count() == 0
+    with pytest.raises(KeyError):
+        ranking.pagerank_push(k, config, "nobody")
+
+
+def test_clustered_store_reads_little(spark, tmp_path):
+    from graphloom.sources import store
+
+    rows = [(i, f"s{i * 7919 % 20011:05}", f"p{i % 5}", f"o{i * 104729 % 20011:05}") for i in range(20_000)]
+    k = KnowledgeGraph.of(spark.createDataFrame(rows, "seq long, subject string, predicate string, object string"))
+    folder = f"{tmp_path}/store"
+    store.write_clustered(k, folder, row_group=1 << 12)
+    c = store.open_clustered(spark, folder)
+    assert c.triple_count() == 20_000 and c.entity_count() == k.entity_count()
+
+    def read(df):
+        """(rows, rows that the scan gave out, the plan)."""
+        got = df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        leaf = plan.collectLeaves().head()
+        return got, leaf.metrics().apply("numOutputRows").value(), plan.toString()
+
+    for i in (17, 12_345):
+        _, s, p, o = rows[i]
+        for q, plain in ((c.query().subject(s), k.query().subject(s)), (c.query().object(o), k.query().object(o)), (c.query().predicate(p).object(o), k.query().predicate(p).object(o)), (c.query().subject(s).object(o), k.query().subject(s).object(o))):
+            got, n, plan = read(q.execute())
+            assert sorted(map(tuple, got)) == sorted(map(tuple, plain.execute().collect())) and got
+            assert n < 4000 and "EqualTo" in plan
+        got, n, plan = read(c.query().predicate(p).execute())
+        assert len(got) == n == 4000 and f"(predicate#" in plan and "PartitionFilters: [isnotnull" in plan
+    of = lambda df: {f.split("/store/")[1].split("/")[0] for f in df.inputFiles()}
+    assert of(c.relations_to(rows[5][3])) == of(c.query().predicate("p1").object("x").execute()) == {"by_object"}
+    assert of(c.relations_from(rows[5][1])) == of(c.query().predicate("p1").execute()) == {"by_subject"}
+    assert c.query().object(rows[5][3]).count() == k.query().object(rows[5][3]).count() and c.has_edge(rows[5][1], rows[5][3])
