@@ -149,7 +149,8 @@ class Agreed:
                     n, gid = np.zeros(row["n_words"], np.int64), np.full(row["n_words"], -1, np.int64)
                     for r in row.pop("replies") or []:
                         local = np.cumsum(unpack(r["local"]))
-                        n[local] = unpack(r["n"], 8)
+                        if r["n"] is not None:
+                            n[local] = unpack(r["n"], 8)
                         at = unpack(r["place"])
                         gid[local] = np.where(at > 0, starts[r["bucket"]] + at - 1, -1)
                     yield _rows([f(row, n, gid)], schema)
@@ -157,9 +158,9 @@ class Agreed:
         return in_arrow(coded.drop("words", "counts").join(got, F.col("block") == F.col("_block"), "left").drop("_block"), place, sql)
 
 
-def agree(coded: DataFrame, least: int, skip: bytes) -> Agreed:
+def agree(coded: DataFrame, least: int, skip: bytes, tell_counts: bool = True) -> Agreed:
     """Sum the counts of all blocks' words, tell them to the blocks, and number the words (by group)
-    counted `least` times or more, `skip` left out.
+    counted `least` times or more, `skip` left out. Without `tell_counts`, blocks get the numbers only.
 
     A block's words are dealt to buckets by hash, packed, as many buckets as bring about ENTRIES
     words together; a bucket's rows are one packed row for each block.
@@ -205,7 +206,7 @@ def agree(coded: DataFrame, least: int, skip: bytes) -> Agreed:
             yield _rows(out, _AGREED)
             for r in rows:
                 own, count, numbers = r["words"].split(b" "), known[r["group"]], place[r["group"]]
-                yield _rows([(False, bucket, r["block"], r["group"], r["local"], pack(np.array([count[w] for w in own]), 8), pack(np.array([numbers.get(w, 0) for w in own])), None, None)], _AGREED)
+                yield _rows([(False, bucket, r["block"], r["group"], r["local"], pack(np.array([count[w] for w in own]), 8) if tell_counts else None, pack(np.array([numbers.get(w, 0) for w in own])), None, None)], _AGREED)
 
     asks = in_arrow(coded.select("block", "group", "words", "counts"), ask, "bucket int, block long, group string, words binary, local binary, counts binary")
     table = cut(in_arrow(asks.repartition("bucket"), reply, AGREED))

@@ -282,7 +282,7 @@ _SEQUENCES = pa.schema([("ids", pa.binary()), ("pairs", pa.int64())])
 def _first_level(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """(all words counted (lang, n), frequent words (slot, lang, word, a), sequences (ids), their pairs)."""
     coded = cut(blocks.encode(docs, F.col("text"), tokens, group=F.coalesce("lang", F.lit("und"))))
-    agreed = blocks.agree(coded, least, _BREAK)
+    agreed = blocks.agree(coded, least, _BREAK, tell_counts=False)
     if agreed.numbered >= 1 << 31:
         raise ValueError("more than 2^31 frequent words")
 
