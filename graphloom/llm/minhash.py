@@ -306,13 +306,13 @@ def op3_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """Keep one row of each class, that of the least doc_id; rows with a null text stay."""
-    columns = docs.columns
+    """Keep one row of each class, that of the least doc_id; rows with a null text stay. Other columns,
+    of any name, stay as they are."""
     signed, by_digest = classes(docs)
     # the row to keep: the text that holds the class's least doc_id, one row of it
     keep = signed.select("doc_id", "digest").join(by_digest, "digest").where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    keep = keep.groupBy("label").agg(F.min("digest").alias("_digest"), F.first("class_id").alias("_id")).drop("label")
+    keep = keep.groupBy("label").agg(F.min("digest").alias("digest"), F.first("class_id").alias("class_id")).drop("label")
     # a class has one digest here, so the join and the choice of one row share a shuffle
-    tagged = docs.where(F.col("text").isNotNull()).withColumn("_digest", F.unhex(F.md5("text")))
-    kept = tagged.join(keep, "_digest").where(F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["_digest"])
-    return kept.select(*columns).unionByName(docs.where(F.col("text").isNull()))
+    tagged = docs.where(F.col("text").isNotNull()).select(F.unhex(F.md5("text")).alias("digest"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = tagged.join(keep, "digest").where(F.col("row.doc_id").eqNullSafe(F.col("class_id"))).dropDuplicates(["digest"])
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]).unionByName(docs.where(F.col("text").isNull()))
