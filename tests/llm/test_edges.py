@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, quality, sharding, spm, toxicity
+from graphloom.llm import decontaminate, minhash, passages, quality, sharding, spm, toxicity
 from tests.llm.test_operators import prose
 
 
@@ -95,3 +95,44 @@ def test_matches_against_alignment_of_all_segments(spark, seed):
     got = decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == want and want
     assert sum(r["doc_id"] == 0 for r in got) in (0, 2)
+
+
+def test_deduplication_keeps_columns_of_any_name(spark):
+    df = clashing(docs(spark), "_id", "_digest", "digest", "label", "class_id", "row", "a.b")
+    kept = minhash.deduplicate(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5]
+    assert all(r["_id"] == r["a.b"] == r["label"] == "mine" for r in kept.collect())
+    assert minhash.deduplicate(df.limit(0)).count() == 0
+
+
+def edited(rng, tag):
+    """Two texts of 110 words; the second has 2 to 6 other words, or words put in or left out."""
+    one = [f"w{x}" for x in rng.integers(0, 4000, 110)]
+    two = list(one)
+    for k in sorted(rng.choice(110, int(rng.integers(2, 7)), replace=False), reverse=True):
+        put = [[f"z{tag}x{k}"]] * 8 + [[], [two[k], f"y{tag}x{k}"]]
+        two[k : k + 1] = put[int(rng.integers(0, len(put)))]
+    return one, two
+
+
+def share_a_passage(one, two):
+    """Whether stretches of equal length, 46 shingles or more, at any offset up to 6, are similar enough."""
+    a, b = ([tuple(w[i : i + 5]) for i in range(len(w) - 4)] for w in (one, two))
+    for d in range(-6, 7):
+        for i in range(max(0, d), len(a)):
+            for j in range(i + 46, min(len(a), len(b) + d) + 1):
+                x, y = set(a[i:j]), set(b[i - d : j - d])
+                if len(x & y) >= 0.8 * len(x | y):
+                    return True
+    return False
+
+
+def test_passages_against_plain_search(spark):
+    """The query on pairs of edited texts, against a search that shares no code with it."""
+    rng = np.random.default_rng(3)
+    pairs = [edited(rng, t) for t in range(120)]
+    rows = [(2 * t + k, " ".join(w)) for t, p in enumerate(pairs) for k, w in enumerate(p)]
+    got = {r["doc_id"]: r["class_id"] for r in passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = [t for t, p in enumerate(pairs) if share_a_passage(*p)]
+    hit = [t for t in want if got.get(2 * t) is not None and got.get(2 * t) == got.get(2 * t + 1)]
+    assert len(want) > 80 and len(hit) >= 0.95 * len(want), (len(hit), len(want))
