@@ -48,8 +48,8 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-#: The stages with models, signatures and alignments are beyond SQL; tests hold the whole
-#: against brute force.
+#: The stages with models, signatures and alignments are beyond SQL; tests hold the stages against
+#: what each must do on a small corpus, and their operators against brute force.
 ORACLE_SQL = None
 
 
