@@ -9,9 +9,14 @@ stretches share at least len + 1 - q * (edits + 1) q-grams, all near one diagona
 shared q-grams are counted in overlapping bands of diagonals, bands that reach the bound
 are kept, and those are verified by a banded alignment with free ends in the text.
 
-The benchmark is a stated query set: it is cut into blocks of BLOCK_CHARS characters, and
-each block's q-gram index (of bounded size) goes to the tasks that scan the documents;
-the documents are not shuffled.
+The benchmark may have any size: its items are cut into parts of at most PART_CHARS and a segment's
+characters, whose q-grams are a table. What goes to the tasks that scan the documents is a Bloom
+filter of these q-grams, 2^27 bits (16 MB) at most. One scan leaves the places of the documents
+where q-grams of the filter are as dense as the bound demands, with a margin; the documents
+themselves are not shuffled. Each different place then meets the parts with which it really has enough
+q-grams (a join by q-gram), and the pairs are counted by band and aligned, in ranges of (part, place),
+so that a part which many documents hold is many tasks. A fuller filter leaves more places, and
+changes no result.
 
 Edge cases: a null or empty text or item matches nothing; items too short for the bound
 get fewer edits (down to 0), items shorter than q match nothing; very long texts are
@@ -22,21 +27,29 @@ columns are ignored (kept by `decontaminate`).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import in_arrow, read
+from ..plans.iterate import observed
+from .common import cut, in_arrow, read
 from .shingles import mix
 
 Q = 9
 #: A stretch of SEGMENT characters is at most STRIDE // 2 places from a segment, within its 6 edits.
 SEGMENT, STRIDE = 100, 7
 MAX_EDITS = 8
-BLOCK_CHARS = 300_000
+#: A multiple of STRIDE and of SEGMENT // 2, so that the segments of the parts are those of the item.
+PART_CHARS = 1750
+#: Bits of the filter for each q-gram of the benchmark, and its least and greatest size in powers of 2.
+BITS_A_GRAM, LEAST_BITS, MOST_BITS = 64, 22, 27
+_PROBES = (0, 18, 35)
+#: A stretch and its segment lie within so many places.
+REACH = SEGMENT + 2 * MAX_EDITS
 #: Texts are scanned in slices of about so many characters.
 SLICE_CHARS = 1 << 19
 _U = np.uint64
@@ -66,7 +79,7 @@ def grams(cp: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Segments of a block of items and their q-grams."""
+    """Segments of items and their q-grams."""
 
     item: list[int | None]
     segment: list[np.ndarray]
@@ -79,10 +92,11 @@ class Index:
     bitmap: np.ndarray
 
 
-def build_index(items: list[tuple[int, str]]) -> Index | None:
+def build_index(items: list[tuple[int, str]], ready: bool = False) -> Index | None:
+    """The index of a few items; `ready` texts are normalised already."""
     owner, segments = [], []
     for item_id, text in items:
-        cp = code_points(normalise(text))
+        cp = code_points(text if ready else normalise(text))
         if len(cp) < Q:
             continue
         starts = [0] if len(cp) <= SEGMENT else sorted({*range(0, len(cp) - SEGMENT + 1, STRIDE), *range(0, len(cp) - SEGMENT + 1, SEGMENT // 2), len(cp) - SEGMENT})
@@ -139,6 +153,17 @@ def align(segments: list[np.ndarray], text: np.ndarray, low: np.ndarray, high: n
     return best
 
 
+def dense(hit: np.ndarray, least: int) -> np.ndarray:
+    """Which of the ascending places are among `least` neighbours within REACH: a stretch has as many."""
+    if len(hit) < least:
+        return np.zeros(len(hit), bool)
+    step = np.zeros(len(hit) + 1, np.int64)
+    full = np.flatnonzero(hit[least - 1 :] - hit[: len(hit) - least + 1] <= REACH)
+    np.add.at(step, full, 1)
+    np.add.at(step, full + least, -1)
+    return np.cumsum(step[:-1]) > 0
+
+
 def search(index: Index, texts: list[str]) -> list[tuple[int, int, int, int]]:
     """(row, item, edits, start) of every verified segment, for normalised texts."""
     cps = [code_points(t) for t in texts]
@@ -152,15 +177,7 @@ def search(index: Index, texts: list[str]) -> list[tuple[int, int, int, int]]:
     at = np.searchsorted(index.keys, h[hit])
     known = index.keys[np.minimum(at, len(index.keys) - 1)] == h[hit]
     hit, at = hit[known], at[known]
-    # a stretch has at least `least` hits in its length: sparser ones cannot reach the bound
-    least, reach = int(index.need.min()), SEGMENT + 2 * MAX_EDITS
-    if len(hit) < least:
-        return []
-    dense = np.zeros(len(hit) + 1, np.int64)
-    full = np.flatnonzero(hit[least - 1 :] - hit[: len(hit) - least + 1] <= reach)
-    np.add.at(dense, full, 1)
-    np.add.at(dense, full + least, -1)
-    keep = np.cumsum(dense[:-1]) > 0
+    keep = dense(hit, int(index.need.min()))
     hit, at = hit[keep], at[keep]
     if not len(hit):
         return []
@@ -168,7 +185,8 @@ def search(index: Index, texts: list[str]) -> list[tuple[int, int, int, int]]:
     which = np.repeat(np.arange(len(hit)), n)
     post = np.repeat(index.first[at], n) + (np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n))
     seg, row = index.seg_of[post], np.searchsorted(ends, hit[which], side="right")
-    diag = hit[which] - index.pos_of[post]
+    begins = ends - Q - np.array([len(c) for c in cps])
+    diag = hit[which] - begins[row] - index.pos_of[post]  # of the row alone, whatever lies before it
     step = index.edits[seg] + 1
     found = []
     seg2, row2, diag2 = np.tile(seg, 2), np.tile(row, 2), np.tile(diag, 2)
@@ -187,10 +205,9 @@ def search(index: Index, texts: list[str]) -> list[tuple[int, int, int, int]]:
     for i in range(0, len(good), 512):  # bounds the alignment's memory
         part = slice(i, i + 512)
         s, r = seg2[good][part], row2[good][part]
-        cost = align([index.segment[k] for k in s], cp, low[part], high[part], index.edits[s])
+        cost = align([index.segment[k] for k in s], cp, low[part] + begins[r], high[part] + begins[r], index.edits[s])
         for k in np.flatnonzero(cost <= index.edits[s]):
-            begin = ends[r[k]] - Q - len(cps[r[k]])
-            found.append((int(r[k]), index.item[s[k]], int(cost[k]), max(0, int(low[part][k] - begin))))
+            found.append((int(r[k]), index.item[s[k]], int(cost[k]), max(0, int(low[part][k]))))
     return found
 
 
@@ -205,68 +222,172 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def _matcher(index: Index):
+@dataclass
+class Filter:
+    """A Bloom filter of the benchmark's q-grams, and the fewest that any segment demands."""
+
+    words: np.ndarray
+    least: int
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        """Places of the hashes that may be q-grams of the benchmark."""
+        at, mask = np.arange(len(h)), _U(64 * len(self.words) - 1)
+        for shift in _PROBES:
+            slot = (h[at] >> _U(shift)) & mask
+            at = at[(self.words[(slot >> _U(6)).astype(np.int64)] >> (slot & _U(63))) & _U(1) == 1]
+        return at
+
+
+@dataclass
+class Benchmark:
+    """The benchmark as tables: owners (part, item_id), texts (part, text), q-grams (hash, part, need)."""
+
+    owners: DataFrame
+    texts: DataFrame
+    grams: DataFrame
+    filter: Filter | None
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, texts = [], []
+        for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            text, start = normalise(text), 0
+            while start == 0 or len(text) - start > SEGMENT:
+                ids.append(item_id)
+                texts.append(text[start : start + PART_CHARS + SEGMENT])
+                start += PART_CHARS
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["item_id", "text"])
+
+
+def _grams_of_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hashes, parts, needs = [np.zeros(0, np.uint64)], [], []
+        for part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if (index := build_index([(0, text)], ready=True)) is not None:
+                hashes.append(index.keys)
+                parts += [part] * len(index.keys)
+                needs += [int(index.need.min())] * len(index.keys)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(parts, pa.string()), pa.array(needs, pa.int32())], ["hash", "part", "need"])
+
+
+def prepare(benchmark: DataFrame) -> Benchmark:
+    """The benchmark's tables, written once, and its filter."""
+    items = benchmark.select("item_id", "text").where("text IS NOT NULL").distinct()
+    parts = cut(in_arrow(items, _parts, "item_id long, text string").withColumn("part", F.md5("text")))
+    texts = parts.groupBy("part").agg(F.first("text").alias("text"))
+    grams, m = observed(in_arrow(texts.select("part", "text"), _grams_of_parts, "hash long, part string, need int"), n=F.count(F.lit(1)), least=F.min("need"))
+    held = None
+    if m["n"]:
+        bits = min(max((m["n"] * BITS_A_GRAM - 1).bit_length(), LEAST_BITS), MOST_BITS)
+        slots = F.explode(F.array(*[F.shiftrightunsigned("hash", s).bitwiseAND(F.lit((1 << bits) - 1)) for s in _PROBES])).alias("slot")
+        bit = F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")
+        words = grams.select(slots).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()  # 2^21 rows at most
+        held = Filter(np.zeros(1 << (bits - 6), np.uint64), m["least"])
+        held.words[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return Benchmark(parts.select("part", "item_id").distinct(), texts, grams, held)
+
+
+def _places(held: Filter) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The dense places of each text, REACH characters wider on both sides; `low` and `high` bound the dense
+    part. A match has all its common q-grams in one place, as neighbours of them are within REACH."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [normalise(t) for t in batch.column("text").to_pylist()]
-            rows: dict[tuple[int, int], list[int]] = {}
-            for i, j in _slices(texts):
-                for row, item, edits, start in search(index, texts[i:j]):
-                    x = rows.setdefault((i + row, item), [edits, start])
-                    x[0], x[1] = min(x[0], edits), min(x[1], start)
-            keys = sorted(rows, key=lambda x: (x[0], x[1] is not None, x[1] or 0))
-            ids = batch.column("doc_id").take(pa.array([r for r, _ in keys], pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([k for _, k in keys], pa.int64()), pa.array([rows[k][0] for k in keys], pa.int32()), pa.array([rows[k][1] for k in keys], pa.int64())],
-                ["doc_id", "item_id", "edits", "start"],
-            )
+            row, at, low, high, place = [], [], [], [], []
+            for i, text in enumerate(batch.column("text")):
+                text = normalise(text.as_py())
+                hit = held.holds(grams(code_points(text)))
+                hit = hit[dense(hit, held.least)]
+                if not len(hit):
+                    continue
+                gap = np.flatnonzero(np.diff(hit) > REACH)
+                for a, b in zip(hit[np.append(0, gap + 1)].tolist(), hit[np.append(gap, len(hit) - 1)].tolist(), strict=True):
+                    start = max(0, a - REACH)
+                    row.append(i)
+                    at.append(start)
+                    low.append(a - start)
+                    high.append(b + Q - start)
+                    place.append(text[start : b + Q + REACH])
+            kept = batch.drop_columns(["text"]).take(pa.array(row, pa.int32()))
+            columns = [pa.array(at, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(place, pa.string())]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *columns], [*kept.schema.names, "at", "low", "high", "place"])
 
     return run
 
 
-def _filter(index: Index):
+def _grams_of_places(held: Filter) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [normalise(t) for t in batch.column("text").to_pylist()]
-            clean = np.ones(len(texts), bool)
-            for i, j in _slices(texts):
-                for row, *_ in search(index, texts[i:j]):
-                    clean[i + row] = False
-            yield batch.filter(pa.array(clean))
+            for core, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h = grams(code_points(text))
+                h, n = np.unique(h[held.holds(h)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([core] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["core", "hash", "n"])
 
     return run
 
 
-def blocks(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes of the benchmark, a bounded number of characters each."""
-    held, size = [], 0
-    for r in benchmark.select("item_id", "text").where("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
-        held.append((r["item_id"], r["text"]))
-        size += len(r["text"])
-        if size >= BLOCK_CHARS:
-            if (index := build_index(held)) is not None:
-                yield index
-            held, size = [], 0
-    if held and (index := build_index(held)) is not None:
-        yield index
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Least edits and first place of each pair of a place and a part; pairs come by part."""
+    last, index = None, None
+    for batch in batches:
+        part, part_text, place = (batch.column(c).to_pylist() for c in ("part", "part_text", "text"))
+        best: dict[int, list[int]] = {}
+        i = 0
+        while i < len(part):
+            j = i
+            while j < len(part) and part[j] == part[i]:
+                j += 1
+            if part[i] != last:
+                last, index = part[i], build_index([(0, part_text[i])], ready=True)
+            for a, b in _slices(place[i:j]):
+                for row, _, edits, start in search(index, place[i + a : i + b]):
+                    x = best.setdefault(i + a + row, [edits, start])
+                    x[0], x[1] = min(x[0], edits), min(x[1], start)
+            i = j
+        rows = pa.array(list(best), pa.int32())
+        found = [pa.array([x[k] for x in best.values()], t) for k, t in ((0, pa.int32()), (1, pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column("digest").take(rows), batch.column("part").take(rows), *found], ["digest", "part", "edits", "start"])
+
+
+def _contaminated(rows: DataFrame, known: Benchmark) -> tuple[DataFrame, DataFrame]:
+    """(places, found) for `rows` of any columns with a text: places have the other columns, `at` and a digest;
+    found has (digest, part, edits, start), start counted from the place's own."""
+    others = [f for f in rows.schema.fields if f.name != "text"]
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in others], "at long, low int, high int, place string"])
+    core = F.substring("place", F.col("low") + 1, F.col("high") - F.col("low"))
+    places = in_arrow(rows, _places(known.filter), schema)
+    places = cut(places.select(*[f.name for f in others], "at", F.md5("place").alias("digest"), F.md5(core).alias("core"), core.alias("core_text"), "place"))
+    cores = places.groupBy("core").agg(F.first("core_text").alias("text"))
+    grams_ = in_arrow(cores, _grams_of_places(known.filter), "core string, hash long, n long")
+    met = grams_.join(known.grams, "hash").groupBy("core", "part").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need")
+    distinct = places.groupBy("digest", "core").agg(F.first("place").alias("text"))
+    pairs = met.select("core", "part").join(distinct, "core").join(known.texts.withColumnRenamed("text", "part_text"), "part")
+    pairs = pairs.select("digest", "text", "part", "part_text").repartitionByRange("part", "digest").sortWithinPartitions("part")
+    return places, cut(in_arrow(pairs, _verify, "digest string, part string, edits int, start long"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, edits, start): items of which a stretch is in the document; edits is the
     least over the item's segments, start the first place, in characters of the normalised text."""
-    schema = "doc_id long, item_id long, edits int, start long"
-    out = None
-    for index in blocks(benchmark):
-        part = in_arrow(docs.select("doc_id", "text"), _matcher(index), schema)
-        out = part if out is None else out.unionByName(part)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+    known = prepare(benchmark)
+    if known.filter is None:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, edits int, start long")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    places, found = _contaminated(rows, known)
+    out = places.select("row", "doc_id", "at", "digest").join(found, "digest").join(known.owners, "part")
+    out = out.groupBy("row", "doc_id", "item_id").agg(F.min("edits").alias("edits"), F.min(F.col("at") + F.col("start")).alias("start"))
+    return out.select("doc_id", "item_id", "edits", "start")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, that hold no stretch of any item."""
-    for index in blocks(benchmark):
-        docs = in_arrow(docs, _filter(index), docs.schema)
-    return docs
+    """The rows of `docs`, all columns, that hold no stretch of any item; rows are judged by their text."""
+    known = prepare(benchmark)
+    if known.filter is None:
+        return docs
+    places, found = _contaminated(docs.select(F.md5("text").alias("key"), "text"), known)
+    bad = cut(places.join(found, "digest", "left_semi").select("key").distinct())
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.md5("text").alias("key")).join(bad, "key", "left_anti").select("row.*")
 
 
 def op4_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

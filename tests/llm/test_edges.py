@@ -97,6 +97,32 @@ def test_matches_against_alignment_of_all_segments(spark, seed):
     assert sum(r["doc_id"] == 0 for r in got) in (0, 2)
 
 
+@pytest.mark.parametrize("bits", [(22, 27), (6, 9)])
+def test_benchmark_of_many_parts(spark, monkeypatch, bits):
+    """A long item in parts gives what its whole index gives, with a filter that lets most through as well;
+    very long texts, repeated items and columns of clashing names included."""
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", bits[0])
+    monkeypatch.setattr(decontaminate, "MOST_BITS", bits[1])
+    rng = np.random.default_rng(7)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefghijklm"), int(k))) for k in rng.integers(2, 9, n))
+    items = [(1, prose(1500)), (2, prose(60)), (3, prose(12)), (2, prose(50))]
+    long = items[0][1]
+    rows = [(i, prose(40) + " " + long[at : at + 130] + " " + prose(40)) for i, at in enumerate(range(0, len(long) - 130, 331))]
+    rows += [(90, prose(9000) + " " + items[1][1] + " " + prose(3000)), (91, items[2][1]), (92, long), (93, prose(500)), (94, ""), (95, None), (90, items[3][1].upper())]
+    whole = decontaminate.build_index(items)
+    want = sorted({(k, doc, item) for k, (doc, text) in enumerate(rows) if text for _, item, *_ in decontaminate.search(whole, [decontaminate.normalise(text)])})
+    docs = spark.createDataFrame([(d, t, "x", "y", 1, "z") for d, t in rows], "doc_id long, text string, key string, part string, at int, `a.b` string")
+    bench = spark.createDataFrame([*items, items[1]], "item_id long, text string")
+    known = decontaminate.prepare(bench)
+    assert known.texts.count() > 4
+    got = decontaminate.matches(docs, bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == sorted((d, i) for _, d, i in want) and len(want) >= len(rows) - 3
+    exact = {(doc, item): min(e for _, i, e, _ in decontaminate.search(whole, [decontaminate.normalise(text)]) if i == item) for doc, text in rows[:-7] for item in [1]}
+    assert {(r["doc_id"], r["item_id"]): r["edits"] for r in got if r["doc_id"] < 90} == exact
+    left = decontaminate.decontaminate(docs, bench)
+    assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [93, 94, 95]
+
+
 def test_deduplication_keeps_columns_of_any_name(spark):
     df = clashing(docs(spark), "_id", "_digest", "digest", "label", "class_id", "row", "a.b")
     kept = minhash.deduplicate(df)
