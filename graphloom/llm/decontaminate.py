@@ -153,6 +153,14 @@ def align(segments: list[np.ndarray], text: np.ndarray, low: np.ndarray, high: n
     return best
 
 
+def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts with Q zeros after each (no q-gram of a text has a zero), and where each begins."""
+    cps = [code_points(t) for t in texts]
+    gap = np.zeros(Q, np.uint32)
+    cp = np.concatenate([x for c in cps for x in (c, gap)]) if cps else gap
+    return cp, np.cumsum([0, *[len(c) + Q for c in cps]])[: len(cps)]
+
+
 def dense(hit: np.ndarray, least: int) -> np.ndarray:
     """Which of the ascending places are among `least` neighbours within REACH: a stretch has as many."""
     if len(hit) < least:
@@ -166,10 +174,7 @@ def dense(hit: np.ndarray, least: int) -> np.ndarray:
 
 def search(index: Index, texts: list[str]) -> list[tuple[int, int, int, int]]:
     """(row, item, edits, start) of every verified segment, for normalised texts."""
-    cps = [code_points(t) for t in texts]
-    gap = np.zeros(Q, np.uint32)  # no q-gram of a text has a zero
-    cp = np.concatenate([x for c in cps for x in (c, gap)]) if cps else gap
-    ends = np.cumsum([len(c) + Q for c in cps])
+    cp, begins = joined(texts)
     h = grams(cp)
     hit = np.flatnonzero(index.bitmap[(h >> _U(64 - _BITS)).astype(np.int64)])
     if not len(hit):
@@ -184,8 +189,7 @@ def search(index: Index, texts: list[str]) -> list[tuple[int, int, int, int]]:
     n = index.first[at + 1] - index.first[at]
     which = np.repeat(np.arange(len(hit)), n)
     post = np.repeat(index.first[at], n) + (np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n))
-    seg, row = index.seg_of[post], np.searchsorted(ends, hit[which], side="right")
-    begins = ends - Q - np.array([len(c) for c in cps])
+    seg, row = index.seg_of[post], np.searchsorted(begins, hit[which], side="right") - 1
     diag = hit[which] - begins[row] - index.pos_of[post]  # of the row alone, whatever lies before it
     step = index.edits[seg] + 1
     found = []
@@ -294,21 +298,24 @@ def _places(held: Filter) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            texts = [normalise(t) for t in batch.column("text").to_pylist()]
             row, at, low, high, place = [], [], [], [], []
-            for i, text in enumerate(batch.column("text")):
-                text = normalise(text.as_py())
-                hit = held.holds(grams(code_points(text)))
+            for i, j in _slices(texts):
+                cp, begins = joined(texts[i:j])
+                hit = held.holds(grams(cp))
                 hit = hit[dense(hit, held.least)]
                 if not len(hit):
                     continue
-                gap = np.flatnonzero(np.diff(hit) > REACH)
-                for a, b in zip(hit[np.append(0, gap + 1)].tolist(), hit[np.append(gap, len(hit) - 1)].tolist(), strict=True):
-                    start = max(0, a - REACH)
-                    row.append(i)
+                of = np.searchsorted(begins, hit, side="right") - 1
+                gap = np.flatnonzero((np.diff(hit) > REACH) | (np.diff(of) > 0))
+                first, last = np.append(0, gap + 1), np.append(gap, len(hit) - 1)
+                for r, x, y in zip(of[first].tolist(), (hit[first] - begins[of[first]]).tolist(), (hit[last] - begins[of[last]]).tolist(), strict=True):
+                    start = max(0, x - REACH)
+                    row.append(i + r)
                     at.append(start)
-                    low.append(a - start)
-                    high.append(b + Q - start)
-                    place.append(text[start : b + Q + REACH])
+                    low.append(x - start)
+                    high.append(y + Q - start)
+                    place.append(texts[i + r][start : y + Q + REACH])
             kept = batch.drop_columns(["text"]).take(pa.array(row, pa.int32()))
             columns = [pa.array(at, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(place, pa.string())]
             yield pa.RecordBatch.from_arrays([*kept.columns, *columns], [*kept.schema.names, "at", "low", "high", "place"])
@@ -319,10 +326,14 @@ def _places(held: Filter) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 def _grams_of_places(held: Filter) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for core, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for text in batch.column(1).to_pylist():
                 h = grams(code_points(text))
                 h, n = np.unique(h[held.holds(h)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([core] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["core", "hash", "n"])
+                hashes.append(h)
+                counts.append(n)
+            core = batch.column(0).take(pa.array(np.repeat(np.arange(len(batch)), [len(h) for h in hashes[1:]])))
+            yield pa.RecordBatch.from_arrays([core, pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(counts))], ["core", "hash", "n"])
 
     return run
 
