@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,7 +98,8 @@ def label_propagation(graph: KnowledgeGraph, max_iterations: int = 50, seed: int
 
     Each node takes the label most of its neighbours (itself included once) have, the least
     by first appearance among equals; it ends when nothing changes or at the limit. Labels
-    are renumbered 0..k-1. The rule has no random part; `seed` is accepted for the interface.
+    are renumbered 0..k-1. The rule has no random part; `seed` is accepted for the interface. Two-sided
+    graphs may oscillate under it: `label_propagation_by_colours` does not, and has a seed with effect.
     """
     edges = cut(graph.undirected().where("src <> dst"))
     held = cut(graph.entities().select("id", F.col("first_seen").alias("label")))
@@ -110,5 +113,74 @@ def label_propagation(graph: KnowledgeGraph, max_iterations: int = 50, seed: int
         held._cut_path = new._cut_path
         if not m["changed"]:
             break
+    return _renumbered(held)
+
+
+def _renumbered(held: DataFrame) -> DataFrame:
+    """Labels as 0..k-1, in their order."""
     labels = held.select("label").distinct()
     return held.join(numbered(labels, ["label"], "k"), "label").select("id", F.col("k").alias("label"))
+
+
+def coloured(nodes: DataFrame, edges: DataFrame, seed: int = 42) -> tuple[DataFrame, int]:
+    """((id, colour), number of colours): no edge (src, dst; both ways, no loops) has two ends of a colour.
+
+    Each node has a rank drawn from the seed. In a round, the nodes that outrank all neighbours without
+    a colour (an independent set) take the least colour that no neighbour has, so a node's colour is at
+    most its degree. Only uncoloured nodes ask; what a node hears is its neighbours' greatest rank and their set of
+    colours, aggregated before the shuffle.
+    """
+    rank = F.struct(F.xxhash64(F.lit(seed), "id").alias("rank"), "id")
+    held = cut(nodes.select("id", F.lit(None).cast("int").alias("colour")))
+    while True:
+        asking = held.where("colour IS NULL").select(F.col("id").alias("dst"))
+        told = edges.join(asking, "dst", "left_semi").join(held.select(F.col("id").alias("src"), "colour", rank.alias("rank")), "src")
+        heard = told.groupBy(F.col("dst").alias("id")).agg(F.max(F.when(F.col("colour").isNull(), F.col("rank"))).alias("top"), F.collect_set("colour").alias("used"))
+        used = F.coalesce("used", F.array().cast("array<int>"))
+        free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size(used)), used))
+        first = F.col("top").isNull() | (rank > F.col("top"))
+        new = held.join(heard, "id", "left").select("id", F.coalesce("colour", F.when(first, free)).alias("colour"))
+        new, m = observed(new, left=F.count_if(F.col("colour").isNull()), most=F.max("colour"))
+        drop(held)
+        held = new
+        if not m["left"]:
+            return held, 0 if m["most"] is None else m["most"] + 1
+
+
+def label_propagation_by_colours(graph: KnowledgeGraph, max_iterations: int = 50, seed: int = 42, trace: list[int] | None = None) -> DataFrame:
+    """(id, label): label propagation in which neighbours never change at the same time.
+
+    Nodes are coloured, and a sweep updates one colour after the other, in an order drawn from the
+    seed. A node takes the label that most of its unique undirected neighbours have; it keeps its own if
+    that is among the most frequent, else ties are drawn from the seed. So every change raises the number of edges
+    with one label at both ends: nothing oscillates, and it ends when a sweep changes nothing (every
+    node then has a most frequent label) or after `max_iterations` sweeps. Labels are renumbered
+    0..k-1; nodes without neighbours keep theirs. The same seed gives the same labels, whatever the
+    partitions. A colour is a job, which reads the edges into that colour. `trace` takes the changes of each sweep.
+    """
+    plain = cut(graph.undirected().where("src <> dst").select("src", "dst"))
+    first = cut(graph.entities().select("id", F.col("first_seen").alias("label")))
+    colours, k = coloured(first.select("id"), plain, seed)
+    # ordered by colour inside the files, so that a colour's row groups are all a job reads
+    edges = cut(plain.join(colours.withColumnRenamed("id", "dst"), "dst").select("src", "dst", "colour").sortWithinPartitions("colour"))
+    held = cut(first.join(colours, "id"))
+    for sweep in range(max_iterations):
+        order = list(range(k))
+        random.Random(f"{seed}:{sweep}").shuffle(order)
+        changes = 0
+        for c in order:
+            own = held.where(F.col("colour") == c).select(F.col("id").alias("dst"), F.col("label").alias("own"))
+            votes = edges.where(F.col("colour") == c).join(held.select(F.col("id").alias("src"), "label"), "src").groupBy("dst", "label").agg(F.count(F.lit(1)).alias("n"))
+            choice = F.struct("n", F.col("label") == F.col("own"), F.xxhash64(F.lit(seed), F.lit(sweep), "dst", "label"), F.col("label").alias("next"))
+            best = votes.join(own, "dst").groupBy(F.col("dst").alias("id")).agg(F.max(choice)["next"].alias("next"))
+            new = held.join(best, "id", "left").select("id", F.coalesce("next", "label").alias("label"), "colour", (F.col("next") != F.col("label")).alias("changed"))
+            new, m = observed(new, changed=F.count_if("changed"))
+            drop(held)
+            held = new.drop("changed")
+            held._cut_path = new._cut_path
+            changes += m["changed"]
+        if trace is not None:
+            trace.append(changes)
+        if not changes:
+            break
+    return _renumbered(held.select("id", "label"))

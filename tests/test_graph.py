@@ -1,5 +1,7 @@
 """Closed-form answers on small graphs."""
 
+import random
+from collections import Counter
 from math import isclose, nan
 
 import pytest
@@ -178,6 +180,53 @@ def test_label_propagation_two_triangles(spark):
     assert set(got.values()) == {0, 1}
 
 
+def swept(spark, pairs, colours, firsts, seed, limit):
+    """The labels that sequential updates give, one node at a time, with the tie draws of the library."""
+    near = {i: {b for a, b in pairs if a == i} | {a for a, b in pairs if b == i} for i in colours}
+    draws = spark.createDataFrame([(s, i, x) for s in range(limit) for i in colours for x in firsts.values()], "sweep int, id string, label long")
+    draw = {(r[0], r[1], r[2]): r[3] for r in draws.select("sweep", "id", "label", F.xxhash64(F.lit(seed), "sweep", "id", "label")).collect()}
+    label = dict(firsts)
+    for sweep in range(limit):
+        order = list(range(max(colours.values()) + 1))
+        random.Random(f"{seed}:{sweep}").shuffle(order)
+        before = dict(label)
+        for i in sorted(colours, key=lambda i: (order.index(colours[i]), i)):
+            count = Counter(label[j] for j in near[i])
+            if count and count[label[i]] < max(count.values()):
+                label[i] = max((n, draw[sweep, i, x], x) for x, n in count.items())[2]
+        if label == before:
+            break
+    return label
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_label_propagation_by_colours(spark, seed):
+    rng = random.Random(seed)
+    pairs = [a + b for a in "ABCD" for b in "WXYZ"] + ["".join(rng.sample("EFGHIJKL", 2)) for _ in range(14)] + ["AE", "MM"]
+    k = edges(spark, *pairs)
+    links = {(a, b) for a, b in pairs if a != b}
+    nodes, n = communities.coloured(k.entity_ids(), k.undirected().where("src <> dst"), seed)
+    colours = scores(nodes, "colour")
+    assert set(colours) == set("".join(pairs)) and set(colours.values()) == set(range(n))
+    assert all(colours[a] != colours[b] for a, b in links)
+    trace = []
+    got = scores(communities.label_propagation_by_colours(k, 50, seed, trace), "label")
+    want = swept(spark, links, colours, scores(k.entities(), "first_seen"), seed, len(trace) + 1)
+    assert got == {i: sorted(set(want.values())).index(x) for i, x in want.items()}
+    assert trace[-1] == 0 and len(trace) < 10
+    for i in got:
+        count = Counter(got[b if a == i else a] for a, b in {tuple(sorted(x)) for x in links} if i in (a, b))
+        assert count[got[i]] == max(count.values(), default=0)
+
+
+def test_seed_of_label_propagation(spark):
+    ring = [f"{'ABCDEFGHIJKLMNOP'[i]}{'ABCDEFGHIJKLMNOP'[(i + 1) % 16]}" for i in range(16)]
+    k = edges(spark, *ring)
+    of = lambda seed: tuple(sorted(scores(communities.label_propagation_by_colours(k, 20, seed), "label").items()))
+    assert of(1) == of(1) and len({of(1), of(2), of(3)}) > 1
+    assert communities.label_propagation_by_colours(KnowledgeGraph.of(k.triples.limit(0))).count() == 0
+
+
 def test_top_n(spark):
     df = spark.createDataFrame([("z", 1.0), ("a", 1.0), ("m", 1.0)], "id string, score double")
     assert [r["id"] for r in ranking.top_n(df, 3).collect()] == ["a", "m", "z"]
