@@ -52,6 +52,8 @@ _PROBES = (0, 18, 35)
 REACH = SEGMENT + 2 * MAX_EDITS
 #: Texts are scanned in slices of about so many characters.
 SLICE_CHARS = 1 << 19
+#: Places are full of hits, each in up to 15 segments: fewer characters of them at once.
+PLACE_CHARS = 1 << 14
 _U = np.uint64
 _BITS = 22
 _F = [int(x) | 1 for x in mix(np.arange(1, 5, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))]
@@ -215,11 +217,11 @@ def search(index: Index, texts: list[str]) -> list[tuple[int, int, int, int]]:
     return found
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _slices(texts: list[str], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     i = 0
     while i < len(texts):
         j, size = i, 0
-        while j < len(texts) and (j == i or size + len(texts[j]) <= SLICE_CHARS):
+        while j < len(texts) and (j == i or size + len(texts[j]) <= most):
             size += len(texts[j])
             j += 1
         yield i, j
@@ -351,7 +353,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 j += 1
             if part[i] != last:
                 last, index = part[i], build_index([(0, part_text[i])], ready=True)
-            for a, b in _slices(place[i:j]):
+            for a, b in _slices(place[i:j], PLACE_CHARS):
                 for row, _, edits, start in search(index, place[i + a : i + b]):
                     x = best.setdefault(i + a + row, [edits, start])
                     x[0], x[1] = min(x[0], edits), min(x[1], start)
