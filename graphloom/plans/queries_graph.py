@@ -339,18 +339,6 @@ def _(spark, d):
     return communities.label_propagation(g.handoff(spark, d), 10)
 
 
-@query("graph_colouring", f"WITH t AS ({g.tpch_sql()}), n AS ({g.nodes_sql()}), e AS (SELECT s, o FROM t WHERE s <> o UNION SELECT o, s FROM t WHERE s <> o) SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS ends, 0::BIGINT AS clashes, 0::BIGINT AS too_high")
-def _(spark, d):
-    """All tables: every node has a colour, no edge has one colour at both ends, no colour is above a node's degree."""
-    k = g.tpch(spark, d)
-    edges = k.undirected().where("src <> dst")
-    found, _ = communities.coloured(k.entity_ids(), edges)
-    ends = edges.join(found.withColumnRenamed("id", "dst"), "dst").join(found.select(F.col("id").alias("src"), F.col("colour").alias("near")), "src")
-    node = ends.groupBy("dst").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("colour") == F.col("near")).alias("clashes"), F.max("colour").alias("colour"))
-    checks = node.agg(F.sum("n").alias("ends"), F.sum("clashes").alias("clashes"), F.count_if("colour > n").alias("too_high"))
-    return found.agg(F.count("colour").alias("nodes")).crossJoin(checks)  # one row each
-
-
 @query("pr_degree_corr", f"WITH pr AS ({_pr(H, 10)}), e AS (SELECT DISTINCT s, o FROM ({H})), deg AS (SELECT o AS id, count(*) AS k FROM e GROUP BY o) SELECT round(corr(score, k), 6) AS r FROM pr JOIN deg USING (id)")
 def _(spark, d):
     k = g.handoff(spark, d)
