@@ -1,5 +1,10 @@
 """Typed graphs: nodes (node_type, local_idx, id) and edges (seq, src_type, relation, dst_type,
-src_idx, dst_idx), dense indexes for each type by first appearance."""
+src_idx, dst_idx), dense indexes for each type by first appearance.
+
+A built graph also keeps its edges by name, as they were given. What asks for counts, names or a few
+nodes' edges reads those and looks up indexes of what is left, so no such plan joins every edge to
+its two nodes; a loaded graph has edges by index only.
+"""
 
 from __future__ import annotations
 
@@ -19,6 +24,7 @@ EDGE_TYPE = ["src_type", "relation", "dst_type"]
 class HeteroGraph:
     nodes: DataFrame
     edges: DataFrame
+    named: DataFrame | None = None  # (seq, src_type, src, relation, dst_type, dst), every end a node
 
     @staticmethod
     def build(edges: DataFrame, nodes: DataFrame | None = None) -> HeteroGraph:
@@ -37,10 +43,9 @@ class HeteroGraph:
         placed = numbered(seen, ["node_type", "at", "id"])
         zero = placed.groupBy("node_type").agg(F.min("n").alias("zero"))
         table = cut(placed.join(zero, "node_type").select("node_type", (F.col("n") - F.col("zero")).alias("local_idx"), "id"))
-        s = table.select(F.col("node_type").alias("src_type"), F.col("id").alias("src"), F.col("local_idx").alias("src_idx"))
-        d = table.select(F.col("node_type").alias("dst_type"), F.col("id").alias("dst"), F.col("local_idx").alias("dst_idx"))
-        e = edges.join(s, ["src_type", "src"]).join(d, ["dst_type", "dst"])
-        return HeteroGraph(table, e.select("seq", *EDGE_TYPE, "src_idx", "dst_idx"))
+        # an end without a type or an id is no node's, and its edge none of the graph's
+        named = edges.select("seq", "src_type", "src", "relation", "dst_type", "dst").where("src_type IS NOT NULL AND src IS NOT NULL AND dst_type IS NOT NULL AND dst IS NOT NULL")
+        return HeteroGraph(table, _indexed(named, table), named)
 
     @staticmethod
     def with_reverse(edges: DataFrame) -> DataFrame:
@@ -60,10 +65,30 @@ class HeteroGraph:
 
     def to_knowledge_graph(self) -> KnowledgeGraph:
         """Triples without node types: equal ids of two types become one, lone nodes are lost."""
-        s = self.nodes.select(F.col("node_type").alias("src_type"), F.col("local_idx").alias("src_idx"), F.col("id").alias("subject"))
-        d = self.nodes.select(F.col("node_type").alias("dst_type"), F.col("local_idx").alias("dst_idx"), F.col("id").alias("object"))
-        t = self.edges.join(s, ["src_type", "src_idx"]).join(d, ["dst_type", "dst_idx"])
-        return KnowledgeGraph.of(t.select("seq", "subject", F.col("relation").alias("predicate"), "object"))
+        t = self.by_name()
+        return KnowledgeGraph.of(t.select("seq", F.col("src").alias("subject"), F.col("relation").alias("predicate"), F.col("dst").alias("object")))
+
+    def by_name(self) -> DataFrame:
+        """(seq, src_type, src, relation, dst_type, dst) of all edges."""
+        if self.named is not None:
+            return self.named
+        t = self.edges.join(_end(self.nodes, "src"), ["src_type", "src_idx"]).join(_end(self.nodes, "dst"), ["dst_type", "dst_idx"])
+        return t.select("seq", "src_type", "src", "relation", "dst_type", "dst")
+
+    def edges_from(self, edge_type: tuple[str, str, str], at: DataFrame) -> DataFrame:
+        """Edges of a type from the nodes (src_idx) of its source type; only their ends are looked up."""
+        if self.named is None:
+            return self._of(edge_type).join(at, "src_idx", "left_semi").select("seq", *EDGE_TYPE, "src_idx", "dst_idx")
+        src = self.nodes.where(F.col("node_type") == edge_type[0]).join(at.withColumnRenamed("src_idx", "local_idx"), "local_idx", "left_semi").select(F.col("id").alias("src"))
+        return _indexed(_where(self.named, edge_type).join(src, "src", "left_semi"), self.nodes)
+
+    def strangers(self, edges: DataFrame) -> DataFrame:
+        """Those of the edges, by type and indexes, that the graph does not have."""
+        key = [*EDGE_TYPE, "src_idx", "dst_idx"]
+        if self.named is None:
+            return edges.join(self.edges, key, "left_anti")
+        named = edges.join(_end(self.nodes, "src"), ["src_type", "src_idx"], "left").join(_end(self.nodes, "dst"), ["dst_type", "dst_idx"], "left")
+        return named.join(self.named, [*EDGE_TYPE, "src", "dst"], "left_anti").select(*edges.columns)
 
     def node_types(self) -> DataFrame:
         return self.nodes.select("node_type").distinct()
@@ -75,17 +100,21 @@ class HeteroGraph:
         return (self.nodes if node_type is None else self.nodes.where(F.col("node_type") == node_type)).count()
 
     def num_edges(self, edge_type: tuple[str, str, str] | None = None) -> int:
-        return (self.edges if edge_type is None else self._of(edge_type)).count()
+        rows = self._rows()
+        return (rows if edge_type is None else _where(rows, edge_type)).count()
 
     def node_counts(self) -> DataFrame:
         return self.nodes.groupBy("node_type").agg(F.count(F.lit(1)).alias("n"))
 
     def edge_counts(self) -> DataFrame:
-        return self.edges.groupBy(*EDGE_TYPE).agg(F.count(F.lit(1)).alias("n"))
+        return self._rows().groupBy(*EDGE_TYPE).agg(F.count(F.lit(1)).alias("n"))
+
+    def _rows(self) -> DataFrame:
+        """A row an edge with its type, by name where known."""
+        return self.edges if self.named is None else self.named
 
     def _of(self, edge_type: tuple[str, str, str]) -> DataFrame:
-        s, r, d = edge_type
-        return self.edges.where((F.col("src_type") == s) & (F.col("relation") == r) & (F.col("dst_type") == d))
+        return _where(self.edges, edge_type)
 
     def get_node_index(self, node_type: str, node_id: str) -> DataFrame:
         return self.nodes.where((F.col("node_type") == node_type) & (F.col("id") == node_id)).select("local_idx")
@@ -110,10 +139,18 @@ class HeteroGraph:
         return self._of(edge_type).join(s, "src_idx", "left_semi").join(d, "dst_idx").orderBy("seq").select("id")
 
     def out_degrees(self) -> DataFrame:
-        return self.edges.groupBy(*EDGE_TYPE, "src_idx").agg(F.count(F.lit(1)).alias("out_degree"))
+        return self._degrees("src", "out_degree")
 
     def in_degrees(self) -> DataFrame:
-        return self.edges.groupBy(*EDGE_TYPE, "dst_idx").agg(F.count(F.lit(1)).alias("in_degree"))
+        return self._degrees("dst", "in_degree")
+
+    def _degrees(self, end: str, name: str) -> DataFrame:
+        n = F.count(F.lit(1)).alias(name)
+        if self.named is None:
+            return self.edges.groupBy(*EDGE_TYPE, f"{end}_idx").agg(n)
+        # counted by name first: the nodes join a row a node and edge type
+        per = self.named.groupBy(*EDGE_TYPE, end).agg(n)
+        return per.join(_end(self.nodes, end), [f"{end}_type", end]).select(*EDGE_TYPE, f"{end}_idx", name)
 
     def metapath_neighbors(self, node_type: str, idx: int, metapath: list[tuple[str, str, str]]) -> DataFrame:
         """(node_type, idx) reached along the edge types, a set after each hop.
@@ -121,11 +158,18 @@ class HeteroGraph:
         Empty for an unknown start, or where an edge type does not start at the type reached;
         the start itself for an empty path.
         """
-        now = self.nodes.where((F.col("node_type") == node_type) & (F.col("local_idx") == idx)).select("node_type", F.col("local_idx").alias("idx"))
+        now = self.nodes.where((F.col("node_type") == node_type) & (F.col("local_idx") == idx))
+        if self.named is None:
+            now = now.select("node_type", F.col("local_idx").alias("at"))
+            rows, end = self.edges, "_idx"
+        else:
+            now, rows, end = now.select("node_type", F.col("id").alias("at")), self.named, ""
         for edge_type in metapath:
-            e = self._of(edge_type).select(F.col("src_type").alias("node_type"), F.col("src_idx").alias("idx"), "dst_type", "dst_idx")
-            now = e.join(now, ["node_type", "idx"], "left_semi").select(F.col("dst_type").alias("node_type"), F.col("dst_idx").alias("idx")).distinct()
-        return now
+            e = _where(rows, edge_type).select(F.col("src_type").alias("node_type"), F.col(f"src{end}").alias("at"), "dst_type", F.col(f"dst{end}").alias("to"))
+            now = e.join(now, ["node_type", "at"], "left_semi").select(F.col("dst_type").alias("node_type"), F.col("to").alias("at")).distinct()
+        if self.named is None:
+            return now.select("node_type", F.col("at").alias("idx"))
+        return self.nodes.join(now.withColumnRenamed("at", "id"), ["node_type", "id"], "left_semi").select("node_type", F.col("local_idx").alias("idx"))
 
     def stats(self) -> DataFrame:
         """(kind, key, n): counts by node type, and by edge type as `src->dst:relation`."""
@@ -134,9 +178,10 @@ class HeteroGraph:
         return n.unionByName(self.edge_counts().select(F.lit("edge").alias("kind"), key.alias("key"), "n"))
 
     def save(self, folder: str, form: str = "parquet") -> None:
-        """Two tables; `form` is `parquet` or `json` (an object a line)."""
-        self.nodes.write.format(form).save(f"{folder}/nodes")
-        self.edges.write.format(form).save(f"{folder}/edges")
+        """Two tables; `form` is `parquet` or `json` (an object a line, in gzip files)."""
+        for name, table in (("nodes", self.nodes), ("edges", self.edges)):
+            out = table.write.format(form)
+            (out.option("compression", "gzip") if form == "json" else out).save(f"{folder}/{name}")
 
     @staticmethod
     def load(spark: SparkSession, folder: str, form: str = "parquet") -> HeteroGraph:
@@ -144,6 +189,22 @@ class HeteroGraph:
         return HeteroGraph(*[spark.read.format(form).schema(schema).load(f"{folder}/{name}") for name, schema in tables.items()])
 
 
+def _where(edges: DataFrame, edge_type: tuple[str, str, str]) -> DataFrame:
+    s, r, d = edge_type
+    return edges.where((F.col("src_type") == s) & (F.col("relation") == r) & (F.col("dst_type") == d))
+
+
+def _end(nodes: DataFrame, end: str) -> DataFrame:
+    """The nodes as the sources (`src`) or destinations (`dst`) of edges."""
+    return nodes.select(F.col("node_type").alias(f"{end}_type"), F.col("local_idx").alias(f"{end}_idx"), F.col("id").alias(end))
+
+
+def _indexed(named: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(seq, *EDGE_TYPE, src_idx, dst_idx) of edges by name."""
+    e = named.join(_end(nodes, "src"), ["src_type", "src"]).join(_end(nodes, "dst"), ["dst_type", "dst"])
+    return e.select("seq", *EDGE_TYPE, "src_idx", "dst_idx")
+
+
 def reverse_edge_type(edge_type: tuple[str, str, str]) -> tuple[str, str, str]:
     """Ends swapped and `rev_` before the relation; twice is not the type again."""
     s, r, d = edge_type

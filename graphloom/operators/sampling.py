@@ -239,7 +239,7 @@ def hetero_neighbor_sampler(hetero, node_type: str, idxs: list[int], fanouts: di
             if layer >= len(fanouts[edge_type]):
                 continue
             at = nodes.where(F.col("node_type") == edge_type[0]).select(F.col("idx").alias("src_idx"))
-            own = hetero._of(edge_type).join(at, "src_idx", "left_semi")
+            own = hetero.edges_from(edge_type, at)
             e = _least_by_hash(own, "src_idx", fanouts[edge_type][layer], seed, layer)
             e = cut(e.select(F.lit(layer).alias("layer"), "src_type", "relation", "dst_type", "src_idx", "dst_idx"))
             edges = edges.union(e)

@@ -289,7 +289,7 @@ def _(spark, d):
 def _(spark, d):
     h = typed(spark, d)
     _, e = sampling.hetero_neighbor_sampler(h, "supplier", [0], {("supplier", "supplies", "part"): [3]})
-    bad = e.join(h.edges, ["src_type", "relation", "dst_type", "src_idx", "dst_idx"], "left_anti").agg(F.count(F.lit(1)).alias("strangers"))
+    bad = h.strangers(e).agg(F.count(F.lit(1)).alias("strangers"))
     return e.agg(F.count(F.lit(1)).alias("first_edges")).crossJoin(bad)  # one row each
 
 

@@ -240,3 +240,22 @@ def test_turtle_in_ranges(spark, tmp_path):
     f.write_text("<a> <b> .\n")
     with pytest.raises(Exception, match="Turtle"):
         documents.read_turtle(spark, str(f)).triples.count()
+
+
+def test_built_graph_counts_without_joins(spark, tmp_path):
+    """A graph by name answers as the same graph by index does; counts and names join no edge to its nodes."""
+    rows = [(0, "a", "x", "r", "b", "y"), (1, "a", "x", "r", "b", "y"), (2, "a", "x", "q", "a", "y"), (3, "b", "y", "r", "b", "z"), (4, "a", None, "r", "b", "y"), (5, "b", "z", "r", "b", "w")]
+    e = spark.createDataFrame(rows, "seq long, src_type string, src string, relation string, dst_type string, dst string")
+    h = HeteroGraph.build(e)
+    h.save(str(tmp_path / "h"), "json")
+    assert all(f.name.endswith(".json.gz") for f in (tmp_path / "h" / "edges").glob("part-*"))
+    back = HeteroGraph.load(spark, str(tmp_path / "h"), "json")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan(h.edge_counts()) and "Join" not in plan(h.to_knowledge_graph().triples)
+    same = lambda f: sorted(map(tuple, f(h).collect())) == sorted(map(tuple, f(back).collect()))
+    path = [("a", "r", "b"), ("b", "r", "b")]
+    for f in (lambda g: g.edge_counts(), lambda g: g.out_degrees(), lambda g: g.in_degrees(), lambda g: g.edges, lambda g: g.to_knowledge_graph().triples, lambda g: g.metapath_neighbors("a", 0, path), lambda g: g.edges_from(path[0], g.nodes.select(F.col("local_idx").alias("src_idx")))):
+        assert same(f)
+    assert h.num_edges() == back.num_edges() == 5 and h.metapath_neighbors("a", 0, path).count() == 1
+    bad = spark.createDataFrame([("a", "r", "b", 0, 0), ("a", "r", "b", 0, 1), ("a", "r", "b", 0, 99)], "src_type string, relation string, dst_type string, src_idx long, dst_idx long")
+    assert h.strangers(bad).count() == back.strangers(bad).count() == 2
