@@ -7,6 +7,7 @@ else is an IRI or a local name. Local names get the prefix LOCAL and percent enc
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -121,6 +122,7 @@ def percent_decode(text: str) -> str | None:
         return None
 
 
+@lru_cache(maxsize=1 << 14)
 def local_name(iri: str) -> str:
     """The local name of an IRI with the prefix; any other IRI, or a bad escape, as it is."""
     if not iri.startswith(LOCAL):

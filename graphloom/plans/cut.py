@@ -36,3 +36,12 @@ def drop(df: DataFrame) -> None:
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df._cut_path)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold a batch for Python workers at 4 MB, unless the session's bound is lower: rows alone say
+    nothing where texts are long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("b")
+    if not now.isdigit() or int(now) > 1 << 22:
+        spark.conf.set(key, str(1 << 22))

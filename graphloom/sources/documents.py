@@ -8,7 +8,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import urljoin
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -205,12 +207,26 @@ class _Turtle:
         raise ParseError(f"Turtle: {v!r}")
 
 
+#: Documents and statements of IRIs only, without escapes: most of a usual file.
+_PLAIN_IRI = r'<[^\x00-\x20<>"{}|^`\\]*>'
+_USUAL = re.compile(rf"\s*{_PLAIN_IRI}\s+{_PLAIN_IRI}\s+{_PLAIN_IRI}(?:\s*;\s*{_PLAIN_IRI}\s+{_PLAIN_IRI})*\s*\.\s*")
+_INSIDE = re.compile(r"<([^>]*)>")
+
+
+def _parsed(text: str, base: str, prefixes: dict[str, str] | None = None, name: str = "b") -> list[tuple[str, str, str]]:
+    """The triples of a document; one statement of plain IRIs needs no tokens."""
+    if base or not _USUAL.fullmatch(text):
+        return _Turtle(text, base, prefixes, name).run()
+    s, *rest = [terms.local_name(x) for x in _INSIDE.findall(text)]
+    return [(s, p, o) for p, o in zip(rest[::2], rest[1::2], strict=True)]
+
+
 def _turtle(base: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column("doc").to_pylist(), batch.column("value").to_pylist(), strict=True):
-                rows += [(doc, k, *t) for k, t in enumerate(_Turtle(text or "", base).run())]
+                rows += [(doc, k, *t) for k, t in enumerate(_parsed(text or "", base))]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), *[pa.string()] * 3), strict=True)], ["doc", "k", "subject", "predicate", "object"])
 
@@ -220,7 +236,8 @@ def _turtle(base: str):
 def parse_turtle(documents: DataFrame, base: str = "") -> DataFrame:
     """(seq, subject, predicate, object) of documents in `value`, one row each, in the order of the rows."""
     rows = documents.select(F.monotonically_increasing_id().alias("doc"), "value").mapInArrow(_turtle(base), "doc long, k long, subject string, predicate string, object string")
-    return numbered(rows, ["doc", "k"], "seq").select("seq", "subject", "predicate", "object")
+    # rows still are in the order of (doc, k), in the partition of their document
+    return rows.select(F.monotonically_increasing_id().alias("seq"), "subject", "predicate", "object")
 
 
 def scan_turtle(line: str, state: int) -> tuple[int | None, list[int]]:
@@ -248,18 +265,36 @@ def scan_turtle(line: str, state: int) -> tuple[int | None, list[int]]:
 _DIRECTIVE = r"(?im)^\s*@?(prefix|base)\s"
 
 
-def _statements(known: dict[str, list], base: str):
+#: Lines of IRIs and one mark at most, at the end: they end a statement or not, and open and close no string.
+_USUAL_LINE = rf"\A[ \t]*(?:{_PLAIN_IRI}[ \t]*)*[.;,]?\z"
+
+
+def _turtle_codes(lines: pa.Array) -> tuple[list[int], list[bool]] | None:
+    if not pc.all(pc.match_substring_regex(lines, _USUAL_LINE)).as_py():
+        return None
+    return [0, 1, 2], [pc.any(pc.ends_with(lines, ".")).as_py(), False, False]
+
+
+def _turtle_bulk(lines: pa.Array, state: int) -> tuple[int, np.ndarray, pa.Array] | None:
+    if state or not pc.all(pc.match_substring_regex(lines, _USUAL_LINE)).as_py():
+        return None
+    ends = np.flatnonzero(pc.ends_with(lines, ".").to_numpy(zero_copy_only=False))
+    groups = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends + 1]), pa.int32()), lines)
+    return 0, ends, pc.binary_join(groups, "\n")
+
+
+def _statements(known: list[tuple], base: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for file, start, k, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                heads = known.get(file, [])
-                i = bisect_left(heads, (start, k), key=lambda h: h[:2])
-                own_base, prefixes = heads[i - 1][2:] if i else (base, {})
-                rows += [(file, start, k, j, *t) for j, t in enumerate(_Turtle(text, own_base, prefixes, f"s{start}n{k}b").run())]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            kinds = (pa.string(), *[pa.int64()] * 3, *[pa.string()] * 3)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["file", "start", "k", "j", "subject", "predicate", "object"])
+            for seq, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                i = bisect_left(known, seq, key=lambda h: h[0])
+                own_base, prefixes = known[i - 1][1:] if i else (base, {})
+                # a statement is longer than the number of its triples, so the next one's numbers are above
+                rows += [(seq + j, *t) for j, t in enumerate(_parsed(text, own_base, prefixes, f"s{seq}b"))]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            kinds = (pa.int64(), *[pa.string()] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["at", "subject", "predicate", "object"])
 
     return run
 
@@ -271,15 +306,19 @@ def read_turtle(spark: SparkSession, path: str, base: str = "") -> KnowledgeGrap
     reach the driver, which tells all tasks what is in force where. Nodes without a name are called by
     the place of their statement.
     """
-    found = cut(split.statements(spark, path, scan_turtle, 3))
-    known: dict[str, list] = {}
-    for r in found.where(F.col("text").rlike(_DIRECTIVE)).orderBy("file", "start", "k").toLocalIterator():
-        heads = known.setdefault(r["file"], [])
-        reader = _Turtle(r["text"], *(heads[-1][2:] if heads else (base, {})))
+    found, files = split.statements(spark, path, scan_turtle, 3, _turtle_codes, _turtle_bulk)
+    known: list[tuple[int, str, dict[str, str]]] = []  # what is in force after each of these statements
+    for r in found.where(F.col("text").rlike(_DIRECTIVE)).orderBy("seq").toLocalIterator():
+        while files and files[0][0] <= r["seq"]:
+            known.append((files.pop(0)[0] - 1, base, {}))
+        reader = _Turtle(r["text"], *known[-1][1:])
         reader.run()
-        heads.append((r["start"], r["k"], reader.base, reader.prefixes))
-    rows = found.select("file", "start", "k", "text").mapInArrow(_statements(known, base), "file string, start long, k long, j long, subject string, predicate string, object string")
-    return KnowledgeGraph.of(numbered(rows, ["file", "start", "k", "j"], "seq").select("seq", "subject", "predicate", "object"))
+        known.append((r["seq"], reader.base, reader.prefixes))
+    if known:
+        known += [(at - 1, base, {}) for at, _ in files]
+    # written before it is numbered: the ranges' sample and the sort read triples, not text
+    rows = cut(found.select("seq", "text").mapInArrow(_statements(known, base), "at long, subject string, predicate string, object string"))
+    return KnowledgeGraph.of(numbered(rows, ["at"], "seq").select("seq", "subject", "predicate", "object"))
 
 
 # JSON-LD
@@ -323,7 +362,8 @@ def parse_jsonld(documents: DataFrame) -> DataFrame:
     rows = rows.select("doc", "i", "j", "subject", "predicate", F.posexplode(values).alias("k", "x"))
     o = F.when(F.schema_of_variant("x") == "STRING", F.variant_get("x", "$", "string")).when(F.schema_of_variant("x").startswith("OBJECT"), F.variant_get("x", "$['@id']", "string"))
     out = rows.select("doc", "i", "j", "k", "subject", "predicate", o.alias("object")).where(F.col("object").isNotNull())
-    return numbered(out, ["doc", "i", "j", "k"], "seq").select("seq", "subject", "predicate", "object")
+    # rows still are in the order of (doc, i, j, k), in the partition of their document
+    return out.select(F.monotonically_increasing_id().alias("seq"), "subject", "predicate", "object")
 
 
 def read_jsonld(spark: SparkSession, path: str) -> KnowledgeGraph:

@@ -10,13 +10,15 @@ import io
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..model import ENTITY_SCHEMA, TRIPLE_SCHEMA, KnowledgeGraph
-from ..plans.number import numbered
+from ..plans.iterate import observed
 from . import split
 
 _IRI = r"<(?P<{0}>[^\x00-\x20<>\"{{}}|^`\\]*(?:\\u[0-9A-Fa-f]{{4}}[^\x00-\x20<>\"{{}}|^`\\]*|\\U[0-9A-Fa-f]{{8}}[^\x00-\x20<>\"{{}}|^`\\]*)*)>"
@@ -67,6 +69,19 @@ def literal(lexical: str, lang: str | None, datatype: str | None) -> str:
     return f"{body}^^<{datatype}>" if datatype and datatype != terms.XSD_STRING else body
 
 
+#: Statements of three IRIs without escapes, one space between: most of a usual file.
+_BODY = r'[^\x00-\x20<>"{}|^`\\:]*:[^\x00-\x20<>"{}|^`\\]*'
+_USUAL = rf"\A<(?P<subject>{_BODY})> <(?P<predicate>{_BODY})> <(?P<object>{_BODY})> \.\z"
+
+
+def _named(column: pa.Array) -> pa.Array:
+    """IRIs as ids, each different one read once where any is local."""
+    if not pc.any(pc.starts_with(column, terms.LOCAL)).as_py():
+        return column
+    d = pc.dictionary_encode(column)
+    return pa.array([terms.local_name(x) for x in d.dictionary.to_pylist()], pa.string()).take(d.indices)
+
+
 class ParseError(ValueError):
     """A line that is no statement; names the line."""
 
@@ -74,7 +89,16 @@ class ParseError(ValueError):
 def _parser(quads: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            usual = pc.extract_regex(batch.column("value"), _USUAL)
+            hit = usual.is_valid()
+            found = usual.filter(hit)
+            if len(found):
+                none = pa.nulls(len(found), pa.string())
+                spo = [_named(found.field(c)) for c in ("subject", "predicate", "object")]
+                yield pa.RecordBatch.from_arrays([batch.column("seq").filter(hit), pa.array(np.ones(len(found), bool)), *spo, none, none], ["seq", "ok", "subject", "predicate", "object", "graph", "line"])
+            if len(found) == len(batch):
+                continue
+            batch, rows = batch.filter(pc.invert(hit)), []
             for line, seq in zip(batch.column("value").to_pylist(), batch.column("seq").to_pylist(), strict=True):
                 status, found = parse_line(line, quads)
                 if status == "bad" or (status == "ok" and not quads and len(found) > 1):
@@ -167,8 +191,25 @@ def write_lines(lines: DataFrame, path: str) -> None:
 def _fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     csv.field_size_limit(2**31 - 1)
     for batch in batches:
-        rows = [next(csv.reader(io.StringIO(t.removeprefix("\n").removesuffix("\n").removesuffix("\r"), newline="")), []) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("file", "start", "k")], pa.array(rows, pa.list_(pa.string()))], ["file", "start", "k", "f"])
+        texts = batch.column("text")
+        if not pc.any(pc.match_substring_regex(texts, r'["\r\n]')).as_py():
+            # commas are all there is; an empty line is no record
+            rows = pc.if_else(pc.equal(texts, ""), pa.scalar([], pa.list_(pa.string())), pc.split_pattern(texts, ","))
+        else:
+            rows = pa.array(_read([t.removeprefix("\n").removesuffix("\n").removesuffix("\r") for t in texts.to_pylist()]), pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([batch.column("seq"), rows], ["seq", "f"])
+
+
+def _read(texts: list[str]) -> list[list[str]]:
+    """The fields of each text: by one reader if it finds a record a text, else by a reader for each."""
+    if not any("\r" in t for t in texts):
+        try:
+            rows = list(csv.reader(texts))
+            if len(rows) == len(texts):
+                return rows
+        except csv.Error:
+            pass
+    return [next(csv.reader(io.StringIO(t, newline="")), []) for t in texts]
 
 
 def read_csv(spark: SparkSession, path: str) -> KnowledgeGraph:
@@ -176,13 +217,13 @@ def read_csv(spark: SparkSession, path: str) -> KnowledgeGraph:
     of one column gives nothing. Quoted fields may hold commas, line breaks and doubled quotes. An empty
     field is an empty string, an empty line is none. Rows of different widths raise. A file is read in
     byte ranges (see split.py), in any number of tasks."""
-    found = split.statements(spark, path, split.scan_csv, 2)
-    rows = found.mapInArrow(_fields, "file string, start long, k long, f array<string>").where("size(f) > 0")
-    rows = numbered(rows, ["file", "start", "k"], "seq")
-    first = rows.where("seq = 0").select(F.size("f")).first()
-    width = first[0] if first else 0
-    bad = rows.where(F.size("f") != width).orderBy("seq").select("f").first()
-    if bad is not None:
+    found, _ = split.statements(spark, path, split.scan_csv, 2, split.csv_codes, split.csv_bulk)
+    rows = found.mapInArrow(_fields, "seq long, f array<string>").where("size(f) > 0")
+    n = F.size("f")
+    rows, m = observed(rows, first=F.min_by(n, "seq"), low=F.min(n), high=F.max(n))
+    width = m["first"] or 0
+    if m["low"] != m["high"]:
+        bad = rows.where(n != width).orderBy("seq").select("f").first()
         raise ValueError(f"not {width} fields: {bad['f']}")
     if width < 2:
         return KnowledgeGraph.empty(spark)
@@ -196,7 +237,8 @@ def adjacency(json: DataFrame) -> KnowledgeGraph:
     is `related_to`."""
     heads = json.select(F.monotonically_increasing_id().alias("doc"), "value").select("doc", F.posexplode(F.map_entries(F.from_json("value", "map<string,array<string>>"))).alias("i", "e"))
     pairs = heads.select("doc", "i", F.col("e.key").alias("subject"), F.posexplode("e.value").alias("j", "object"))
-    return KnowledgeGraph.of(numbered(pairs, ["doc", "i", "j"], "seq").select("seq", "subject", F.lit("related_to").alias("predicate"), "object"))
+    # rows still are in the order of (doc, i, j), in the partition of their document
+    return KnowledgeGraph.of(pairs.select(F.monotonically_increasing_id().alias("seq"), "subject", F.lit("related_to").alias("predicate"), "object"))
 
 
 def read_adjacency(spark: SparkSession, path: str) -> KnowledgeGraph:

@@ -259,3 +259,58 @@ def test_built_graph_counts_without_joins(spark, tmp_path):
     assert h.num_edges() == back.num_edges() == 5 and h.metapath_neighbors("a", 0, path).count() == 1
     bad = spark.createDataFrame([("a", "r", "b", 0, 0), ("a", "r", "b", 0, 1), ("a", "r", "b", 0, 99)], "src_type string, relation string, dst_type string, src_idx long, dst_idx long")
     assert h.strangers(bad).count() == back.strangers(bad).count() == 2
+
+
+def test_csv_batches_equal_lines():
+    """Whole batches of lines give the states, ends and texts that one line after another gives."""
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(5)
+    bulk = 0
+    for _ in range(400):
+        rows = ["".join(r.choice(["a", ",", '"', '""', ',"', '",', "é", "", "b"]) for _ in range(r.randrange(6))) for _ in range(r.randrange(1, 6))]
+        codes = split.csv_codes(pa.array(rows, pa.string()))
+        for start in (0, 1):
+            state, piece, ends, texts = start, [], [], []
+            for i, line in enumerate(rows):
+                state, at = split.scan_csv(line, state)
+                piece.append(line)
+                if at:
+                    ends.append(i)
+                    texts.append("\n".join(piece))
+                    piece = []
+            if codes is not None:
+                bulk += 1
+                assert codes[0][start] == state and codes[1][start] == bool(ends)
+                got = split.csv_bulk(pa.array(rows, pa.string()), start)
+                assert got[0] == state and list(got[1]) == ends and got[2].to_pylist() == texts
+    assert bulk > 100
+
+
+def test_usual_statements_in_bulk(spark, tmp_path):
+    """Files of plain statements are read in whole batches, in order, beside lines that need the scan;
+    prefixes of a file do not reach the next."""
+    (tmp_path / "ttl").mkdir()
+    a = "".join(f"<s:{i}> <urn:local:p%20q> <o:{i}> ;\n    <p> <o:{i + 1}> .\n\n" for i in range(40))
+    (tmp_path / "ttl" / "a.ttl").write_text("@prefix x: <x:> .\n" + a + 'x:s x:p """long .\n<a> <b> <c> .\n""" .\n' + a)
+    (tmp_path / "ttl" / "b.ttl").write_text(a + "<s> <p> _:z .")
+    want = [x for i in range(40) for x in ((f"s:{i}", "p q", f"o:{i}"), (f"s:{i}", "p", f"o:{i + 1}"))]
+    for size in ("100000", "1500"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+        try:
+            got = documents.read_turtle(spark, str(tmp_path / "ttl")).triples
+            assert spo(got) == want + [("x:s", "x:p", '"long .\\n<a> <b> <c> .\\n"')] + want + want + [("s", "p", "_:z")]
+            assert got.select("seq").distinct().count() == got.count()
+        finally:
+            for c in ("files.maxPartitionBytes", "files.openCostInBytes", "execution.arrow.maxRecordsPerBatch"):
+                spark.conf.unset(f"spark.sql.{c}")
+    (tmp_path / "ttl" / "c.ttl").write_text("x:s <p> <o> .\n")
+    with pytest.raises(Exception, match="prefix"):
+        documents.read_turtle(spark, str(tmp_path / "ttl")).triples.count()
+    nt = ["<a:b> <urn:local:p%20q> <c:d> .", '<a:b> <a:p> "x" .', "<a> <a:p> <c:d> .", "# no", "<a:\\u0041> <a:p> <urn:local:%zz> ."]
+    rows = lines.parse(spark.createDataFrame(list(enumerate(nt)), "seq long, value string")).orderBy("seq").collect()
+    assert [tuple(x)[:5] for x in rows] == [(0, True, "a:b", "p q", "c:d"), (1, True, "a:b", "a:p", '"x"'), (2, False, None, None, None), (4, True, "a:A", "a:p", "urn:local:%zz")]
