@@ -15,7 +15,7 @@ from ..plans.number import numbered
 
 
 def weakly_connected_components(graph: KnowledgeGraph) -> DataFrame:
-    """(id, component): the least id of each component, by hooking of whole trees (see plans/hooking);
+    """(id, component): the least id of each component, by hooking and contraction (see plans/hooking);
     isolated nodes are alone."""
     found = components(graph.triples.select(F.col("subject").alias("a"), F.col("object").alias("b")))
     both = graph.entity_ids().join(found.withColumnRenamed("node", "id"), "id", "left")

@@ -539,3 +539,33 @@ def test_clustered_store_reads_little(spark, tmp_path):
     assert of(c.relations_to(rows[5][3])) == of(c.query().predicate("p1").object("x").execute()) == {"by_object"}
     assert of(c.relations_from(rows[5][1])) == of(c.query().predicate("p1").execute()) == {"by_subject"}
     assert c.query().object(rows[5][3]).count() == k.query().object(rows[5][3]).count() and c.has_edge(rows[5][1], rows[5][3])
+
+
+def test_links_shrink_by_contraction(spark):
+    """Components of random graphs equal union-find, and every round hooks at least half of what the last one left."""
+    import random
+
+    from graphloom.plans.hooking import components
+
+    for seed in (1,):
+        r = random.Random(seed)
+        pairs = [(f"n{r.randrange(120)}", f"n{r.randrange(120)}") for _ in range(90)] + [(f"m{i}", f"m{i + 1}") for i in range(40)] + [("alone", "alone")]
+        up = {x: x for p in pairs for x in p}
+
+        def root(x, up=up):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in pairs:
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+        trace = []
+        got = {x["node"]: x["label"] for x in components(spark.createDataFrame(pairs, "a string, b string"), trace).collect()}
+        linked = {x for a, b in pairs if a != b for x in (a, b)}
+        assert got == {x: root(x) for x in linked}
+        left = len(linked)
+        for hooked in trace:
+            assert 2 * hooked >= left - sum(root(x) == x for x in linked) and hooked <= left
+            left -= hooked
+    assert components(spark.createDataFrame([("a", "a")], "a string, b string")).count() == 0
