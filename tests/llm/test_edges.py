@@ -162,3 +162,52 @@ def test_passages_against_plain_search(spark):
     want = [t for t, p in enumerate(pairs) if share_a_passage(*p)]
     hit = [t for t in want if got.get(2 * t) is not None and got.get(2 * t) == got.get(2 * t + 1)]
     assert len(want) > 80 and len(hit) >= 0.95 * len(want), (len(hit), len(want))
+
+
+def test_no_pair_with_a_passage_is_left_out():
+    from graphloom.llm import passages as P
+
+    rng = np.random.default_rng(5)
+    found = 0
+    for wide, trial in [(60, 0), (103, 0)] + [(103, t) for t in range(1, 60)]:
+        base = rng.integers(0, 1 << 32, wide, np.uint32)
+        if trial % 3 == 1:  # repeated shingles
+            base = base[rng.integers(0, wide // 2, wide)]
+        sets = [base]
+        for _ in range(8):
+            x = base.copy()
+            hit = rng.random(wide) < rng.uniform(0, 0.25)
+            x[hit] = rng.integers(0, 1 << 32, int(hit.sum()), np.uint32)
+            cut_at = int(rng.integers(0, 12))
+            sets.append(np.concatenate([x[cut_at:], x[: int(rng.integers(0, 5))]])[:wide])
+        length = np.array([len(x) for x in sets])
+        near = np.zeros((len(sets), wide), np.uint32)
+        for r, x in enumerate(sets):
+            near[r, : len(x)] = x
+        single = P._single(sets, wide)
+        for k in range(len(sets)):
+            other = np.flatnonzero(np.arange(len(sets)) != k)
+            may = P.may_share(near, length, single, k, other, P._index(sets[k]))
+            for o, m in zip(other.tolist(), may.tolist(), strict=True):
+                if P.passages_of(sets[o], sets[k], [0]):
+                    found += 1
+                    assert m
+    assert found > 500
+
+
+def test_scattered_common_places_are_not_looked_at(monkeypatch):
+    """Pairs of a block with many common shingles, but in no run, cost no search on their diagonal."""
+    from graphloom.llm import passages as P
+
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 32, 103, np.uint32)
+    near = []
+    for _ in range(20):
+        x = rng.integers(0, 1 << 32, 103, np.uint32)
+        x[::2] = base[::2]
+        near.append(x.tobytes())
+    looked, search = [], P.passages_of
+    monkeypatch.setattr(P, "passages_of", lambda *a, **k: looked.append(1) or search(*a, **k))
+    tid = [bytes([i]) * 16 for i in range(20)]
+    assert P._links_of_block(tid, tid, np.zeros(20, int), [100] * 20, [True] * 20, [51] * 20, [46] * 20, near, True) == []
+    assert not looked
