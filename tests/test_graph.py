@@ -569,3 +569,41 @@ def test_links_shrink_by_contraction(spark):
             assert 2 * hooked >= left - sum(root(x) == x for x in linked) and hooked <= left
             left -= hooked
     assert components(spark.createDataFrame([("a", "a")], "a string, b string")).count() == 0
+
+
+def test_chains_are_no_sources_of_a_search(spark, monkeypatch):
+    """A tail into a hub and back, a branch into the tail, a ring without a way out: scores of chains follow from
+    their roots, and only roots are searched from."""
+    from collections import deque
+
+    from graphloom.operators import multisource
+
+    pairs = [*[(f"t{i}", f"t{i + 1}") for i in range(5)], ("t5", "h"), ("h", "x"), ("h", "y"), ("x", "t2"), ("x", "z"), ("y", "z"), ("z", "t4"), ("b", "t3"), ("r0", "r1"), ("r1", "r2"), ("r2", "r0"), ("h", "r0")]
+    adj = {v: sorted({b for a, b in pairs if a == v}) for v in {v for p in pairs for v in p}}
+    dist, ways = {}, {}
+    for s in adj:
+        d, w, queue = {s: 0}, {s: 1}, deque([s])
+        while queue:
+            u = queue.popleft()
+            for v in adj[u]:
+                if v not in d:
+                    d[v], w[v] = d[u] + 1, 0
+                    queue.append(v)
+                if d[v] == d[u] + 1:
+                    w[v] += w[u]
+        dist[s], ways[s] = d, w
+    between = dict.fromkeys(adj, 0.0)
+    for s in adj:
+        for t in dist[s]:
+            for x in dist[s]:
+                if len({s, t, x}) == 3 and t in dist[x] and dist[s][x] + dist[x][t] == dist[s][t]:
+                    between[x] += ways[s][x] * ways[x][t] / ways[s][t]
+    searched, real = [], multisource.sources_of
+    monkeypatch.setattr(multisource, "sources_of", lambda *a, **k: searched.append(real(*a, **k)) or searched[-1])
+    monkeypatch.setattr(multisource, "ROWS", 1)
+    monkeypatch.setattr(centrality, "LARGE", 0, raising=False)
+    k = edges(spark, *pairs)
+    near(scores(centrality.closeness_centrality(k)), {s: sum(1 / x for x in d.values() if x) / (len(adj) - 1) for s, d in dist.items()})
+    near(scores(centrality.betweenness_centrality(k, normalized=False)), between)
+    # h, x, and the ring
+    assert [s.k for s in searched] == [5, 5]
