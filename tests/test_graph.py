@@ -607,3 +607,40 @@ def test_chains_are_no_sources_of_a_search(spark, monkeypatch):
     near(scores(centrality.betweenness_centrality(k, normalized=False)), between)
     # h, x, and the ring
     assert [s.k for s in searched] == [5, 5]
+
+
+@pytest.mark.parametrize("undirected", [False, True])
+def test_betweenness_over_ranges_and_pieces(spark, monkeypatch, undirected):
+    """Several ranges of nodes, pieces of a cell and groups of blocks, against Brandes' sums."""
+    from graphloom.operators import pathblocks
+
+    monkeypatch.setattr(pathblocks, "RANGE", 32)
+    monkeypatch.setattr(pathblocks, "EDGES", 16)
+    monkeypatch.setattr(pathblocks, "CHUNK", 8)
+    monkeypatch.setattr(pathblocks, "PAIRS", 64)
+    rng = random.Random(5)
+    pairs = {(f"n{rng.randrange(70)}", f"n{rng.randrange(70)}") for _ in range(110)}
+    near_by, nodes = {}, sorted({x for p in pairs for x in p})
+    for a, b in pairs:
+        if a != b:
+            near_by.setdefault(a, set()).add(b)
+            if undirected:
+                near_by.setdefault(b, set()).add(a)
+    want = dict.fromkeys(nodes, 0.0)
+    for s in nodes:
+        dist, paths, order = {s: 0}, Counter({s: 1}), [s]
+        for v in order:
+            for w in near_by.get(v, ()):
+                if w not in dist:
+                    dist[w] = dist[v] + 1
+                    order.append(w)
+                if dist[w] == dist[v] + 1:
+                    paths[w] += paths[v]
+        flow = dict.fromkeys(order, 0.0)
+        for v in reversed(order):
+            for w in near_by.get(v, ()):
+                if dist[w] == dist[v] + 1:
+                    flow[v] += paths[v] / paths[w] * (1 + flow[w])
+            if v != s:
+                want[v] += flow[v] / (2 if undirected else 1)
+    near(scores(centrality.betweenness_centrality(edges(spark, *sorted(pairs)), normalized=False, undirected=undirected)), want)
