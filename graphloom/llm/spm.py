@@ -4,8 +4,8 @@ The model's protobuf is read field by field; from it the normaliser (character m
 removal of extra spaces, dummy prefix, the metaspace mark), the piece model (unigram
 scores, or merges in the order of the scores for a BPE model), byte fallback and special
 pieces are rebuilt. Where no piece has the metaspace mark inside or at its end, texts are
-split before words first: no merge can cross such a place, so the ids are the same and
-words are looked up in the library's cache. Batches are encoded in one call, with as many
+split before words first: no merge can cross such a place, so the ids are the same. A BPE model's
+worker keeps the ids of up to KEPT such segments. Other batches are encoded in one call, with as many
 threads as `RAYON_NUM_THREADS` or the task's cores allow.
 
 Edge cases: a null text gives no ids and decodes to null; an empty text gives no ids;
@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -129,6 +130,15 @@ def _merges(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]]:
     return [(a, b) for *_, a, b in sorted(out)]
 
 
+#: A part of a normalised text that no merge crosses.
+SEGMENT = f"{MARK}*[^{MARK}]+|{MARK}+"
+
+
+def _inner(m: Model) -> bool:
+    """Whether a piece has the mark inside or at its end, so that it may cross segments."""
+    return any(MARK in p.lstrip(MARK) for p, _, kind in m.pieces if kind == NORMAL)
+
+
 def build(m: Model):
     """A tokenizers.Tokenizer with the ids of the model."""
     from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
@@ -159,7 +169,7 @@ def build(m: Model):
         steps.append(normalizers.Replace(Regex(rf"[{MARK if m.escape_whitespaces else ' '}]+\z"), ""))
     if steps:
         t.normalizer = normalizers.Sequence(steps)
-    inner = any(MARK in p.lstrip(MARK) for p, _, kind in m.pieces if kind == NORMAL)
+    inner = _inner(m)
     splits = []
     if defined and m.model_type == UNIGRAM:
         splits.append(pre_tokenizers.Split(Regex("|".join(re.escape(p) for p in defined)), "isolated"))
@@ -167,7 +177,7 @@ def build(m: Model):
         t.add_tokens([AddedToken(p, normalized=False) for p in defined])
     if not inner and not splits:
         # before each run of marks; a piece is marks and then other characters
-        splits.append(pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated"))
+        splits.append(pre_tokenizers.Split(Regex(SEGMENT), "isolated"))
     if splits:
         t.pre_tokenizer = pre_tokenizers.Sequence(splits)
     undo = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
@@ -189,13 +199,72 @@ def load(data: bytes):
     return _LOADED[key]
 
 
+#: Segments whose ids a worker keeps, and characters of one, at most.
+KEPT, SHORT = 1 << 19, 48
+
+
+class Segments:
+    """The ids of segments as packed 32-bit numbers, found by the library's model when first met."""
+
+    def __init__(self, tokenizer, m: Model):
+        from tokenizers import Tokenizer
+
+        # nothing but the marks: the library's normaliser takes a call a text
+        self.marks = m.add_dummy_prefix and m.escape_whitespaces and not m.charsmap and not m.remove_extra_whitespaces
+        self.prefix = b" " if m.add_dummy_prefix else b""
+        self.bytes = [bytes([int(p[3:-1], 16)]) if kind == BYTE and m.byte_fallback else p.replace(MARK, " ").encode() for p, _, kind in m.pieces]
+
+        self.alone, self.normalizer = Tokenizer(tokenizer.model), tokenizer.normalizer
+        self.parts, self.known = re.compile(SEGMENT).findall, {}
+
+    def ids(self, texts: list[str]) -> list[memoryview]:
+        if self.marks:
+            texts = [MARK + x.replace(" ", MARK) if x else "" for x in texts]
+        elif self.normalizer is not None:
+            texts = [self.normalizer.normalize_str(x) if x else "" for x in texts]
+        parts = [self.parts(x) for x in texts]
+        known = self.known
+        new = [s for s in set().union(*parts) if s not in known]
+        for s, e in zip(new, self.alone.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known[s] = array("i", e.ids).tobytes()
+        out = [memoryview(b"".join(map(known.__getitem__, x))).cast("i") for x in parts]
+        # long ones come once, and a vocabulary without end is not kept
+        for s in new:
+            if len(s) > SHORT:
+                del known[s]
+        if len(known) > KEPT:
+            self.known = {}
+        return out
+
+
+    def text(self, ids: memoryview | list[int]) -> str | None:
+        """The text of ids; None where their bytes are none, which is the library's to mend."""
+        try:
+            return b"".join(map(self.bytes.__getitem__, ids)).removeprefix(self.prefix).decode()
+        except UnicodeDecodeError:
+            return None
+
+
+_SEGMENTS: dict[str, Segments | None] = {}
+
+
+def segments(data: bytes) -> Segments | None:
+    """Those of a BPE model whose texts fall into segments, one for each Python worker."""
+    key = hashlib.sha256(data).hexdigest()
+    if key not in _SEGMENTS:
+        m = parse(data)
+        apart = m.model_type == BPE and not _inner(m) and all(kind != USER_DEFINED for *_, kind in m.pieces)
+        _SEGMENTS[key] = Segments(load(data), m) if apart else None
+    return _SEGMENTS[key]
+
+
 #: Texts are handed to the library in batches of about so many bytes.
 BATCH_BYTES = 1 << 18
 
 
 def _encoder(data: bytes, extra: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = load(data)
+        t, kept = load(data), segments(data)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             i = 0
@@ -205,8 +274,14 @@ def _encoder(data: bytes, extra: list[str]):
                     size += 4 * len(texts[j] or "")
                     j += 1
                 part = texts[i:j]
-                ids = [e.ids if x else [] for x, e in zip(part, t.encode_batch_fast([x or "" for x in part], add_special_tokens=False), strict=True)]
-                back = t.decode_batch(ids, skip_special_tokens=False)
+                if kept is not None:
+                    ids = kept.ids([x or "" for x in part])
+                else:
+                    ids = [e.ids if x else [] for x, e in zip(part, t.encode_batch_fast([x or "" for x in part], add_special_tokens=False), strict=True)]
+                back = [None] * len(ids) if kept is None else list(map(kept.text, ids))
+                left = [k for k, b in enumerate(back) if b is None]
+                for k, b in zip(left, t.decode_batch([list(ids[k]) for k in left], skip_special_tokens=False) if left else [], strict=True):
+                    back[k] = b
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = np.concatenate([np.asarray(x, np.int32) for x in ids]) if ids else np.zeros(0, np.int32)
                 whole = [None if x is None else (b if x else "") for x, b in zip(part, back, strict=True)]

@@ -640,3 +640,19 @@ def test_windows_keep_the_budget(spark, system):
         assert sum(own) <= room or len(own) == 1
         assert sum(tokens) <= chat.BUDGET or len(own) == 1 and own[0] > room
     assert w.where("conv_id = 50").count() == 8
+
+
+def test_segments_have_the_library_s_ids(monkeypatch):
+    from graphloom.llm import spm
+
+    data = spm.model_bytes()
+    t, kept = spm.load(data), spm.segments(data)
+    texts = ["a b a b", " lead", "trail ", "two  spaces   three", "▁mark▁▁marks a▁b", "tab\tline\nend\r\n", "é 漢字 🎉\x00 \x7f", "▁", " ", "x" * 500, "Ünïcode ﬁ ½", *(f"word{i} w{i % 7}" for i in range(50))]
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    got = kept.ids(texts)
+    assert [list(x) for x in got] == want and [list(x) for x in kept.ids(["", *texts[:3]])] == [[], *want[:3]]
+    assert [kept.text(x) for x in got] == t.decode_batch(want, skip_special_tokens=False)
+    assert kept.text([t.token_to_id("<0xFF>"), want[0][0]]) is None
+    assert "\u2581word3" in kept.known and not any(len(s) > spm.SHORT for s in kept.known)
+    monkeypatch.setattr(spm, "KEPT", 4)
+    assert [list(kept.ids([x])[0]) for x in texts] == want and len(kept.known) <= 4
