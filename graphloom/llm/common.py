@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +37,22 @@ def shuffle_partitions(spark: SparkSession) -> int:
 ARROW_BYTES = 1 << 22
 
 
+def released(f):
+    """`f`, after which a worker hands back the free memory that Arrow's pool and the C library hold:
+    workers live on, and what each stage of a pipeline left there would add up."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+                trim(0)
+
+    return run
+
+
 def in_arrow(df: DataFrame, f, schema) -> DataFrame:
     """`mapInArrow` with a bound on the bytes of a batch, as rows alone say nothing where texts are
     long. It is set on the session, unless that has a lower one."""
@@ -40,4 +60,4 @@ def in_arrow(df: DataFrame, f, schema) -> DataFrame:
     now = conf.get(key).rstrip("b")
     if not now.isdigit() or int(now) > ARROW_BYTES:
         conf.set(key, str(ARROW_BYTES))
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(released(f), schema)

@@ -5,7 +5,7 @@ removal of extra spaces, dummy prefix, the metaspace mark), the piece model (uni
 scores, or merges in the order of the scores for a BPE model), byte fallback and special
 pieces are rebuilt. Where no piece has the metaspace mark inside or at its end, texts are
 split before words first: no merge can cross such a place, so the ids are the same. A BPE model's
-worker keeps the ids of up to KEPT such segments. Other batches are encoded in one call, with as many
+worker keeps the ids of up to KEPT such segments, those met last. Other batches are encoded in one call, with as many
 threads as `RAYON_NUM_THREADS` or the task's cores allow.
 
 Edge cases: a null text gives no ids and decodes to null; an empty text gives no ids;
@@ -200,7 +200,7 @@ def load(data: bytes):
 
 
 #: Segments whose ids a worker keeps, and characters of one, at most.
-KEPT, SHORT = 1 << 19, 48
+KEPT, SHORT = 1 << 18, 48
 
 
 class Segments:
@@ -216,6 +216,7 @@ class Segments:
 
         self.alone, self.normalizer = Tokenizer(tokenizer.model), tokenizer.normalizer
         self.parts, self.known = re.compile(SEGMENT).findall, {}
+        self.older = {}  # those not met since half of KEPT others were
 
     def ids(self, texts: list[str]) -> list[memoryview]:
         if self.marks:
@@ -224,7 +225,12 @@ class Segments:
             texts = [self.normalizer.normalize_str(x) if x else "" for x in texts]
         parts = [self.parts(x) for x in texts]
         known = self.known
-        new = [s for s in set().union(*parts) if s not in known]
+        new = []
+        for s in set().union(*parts) - known.keys():
+            if s in self.older:
+                known[s] = self.older.pop(s)
+            else:
+                new.append(s)
         for s, e in zip(new, self.alone.encode_batch_fast(new, add_special_tokens=False), strict=True):
             known[s] = array("i", e.ids).tobytes()
         out = [memoryview(b"".join(map(known.__getitem__, x))).cast("i") for x in parts]
@@ -232,11 +238,10 @@ class Segments:
         for s in new:
             if len(s) > SHORT:
                 del known[s]
-        if len(known) > KEPT:
-            self.known = {}
+        if len(known) > KEPT // 2:
+            self.older, self.known = known, {}
         return out
 
-
     def text(self, ids: memoryview | list[int]) -> str | None:
         """The text of ids; None where their bytes are none, which is the library's to mend."""
         try:

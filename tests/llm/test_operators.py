@@ -656,3 +656,30 @@ def test_segments_have_the_library_s_ids(monkeypatch):
     assert "\u2581word3" in kept.known and not any(len(s) > spm.SHORT for s in kept.known)
     monkeypatch.setattr(spm, "KEPT", 4)
     assert [list(kept.ids([x])[0]) for x in texts] == want and len(kept.known) <= 4
+
+
+def test_kept_segments_are_those_met_last(monkeypatch):
+    """A segment of every batch is encoded once, however many others come between."""
+    data = spm.model_bytes()
+    kept = spm.Segments(spm.load(data), spm.parse(data))
+    monkeypatch.setattr(spm, "KEPT", 8)
+    alone, asked = kept.alone, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return alone.encode_batch_fast(texts, **options)
+
+    kept.alone = Counted()
+    for i in range(20):
+        kept.ids([f"often word{i}"])
+        assert len(kept.known) + len(kept.older) <= spm.KEPT
+    assert sum("often" in x for x in asked) == 1 and len(asked) == 21
+
+
+def test_workers_hand_free_memory_back(monkeypatch):
+    from graphloom.llm import common
+
+    calls = []
+    monkeypatch.setattr(common.pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: calls.append(1)})())
+    assert list(common.released(iter)([1, 2])) == [1, 2] and calls == [1]
