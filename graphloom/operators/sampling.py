@@ -11,12 +11,11 @@ import uuid
 from dataclasses import dataclass
 from math import isfinite
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..model import KnowledgeGraph
-from ..plans.cut import cut, shared_folder
-from ..plans.iterate import observed
+from ..plans.cut import cut, dealt, drop, shared_folder
 from ..plans.number import numbered
 
 
@@ -49,7 +48,7 @@ def _places(graph: KnowledgeGraph) -> tuple[DataFrame, DataFrame]:
     """
     nbr = numbered(graph.triples.select("subject", "seq", "object"), ["subject", "seq", "object"], "place")
     own = cut(nbr.groupBy(F.col("subject").alias("id")).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("degree")))
-    return own, cut(nbr.select("place", "object").join(own.withColumnRenamed("id", "object"), "object", "left").select("place", "object", "first", "degree"))
+    return own, nbr.select("place", "object").join(own.withColumnRenamed("id", "object"), "object", "left").select("place", "object", "first", "degree")
 
 
 def _drawn(u: Column) -> Column:
@@ -57,8 +56,10 @@ def _drawn(u: Column) -> Column:
     return F.col("first") + F.least(F.floor(u * F.col("degree")), F.col("degree") - 1)
 
 
-#: Candidates that a walker draws at once for a weighted step.
-TRIES = 8
+#: Candidates that a walker draws at once for a weighted step, at most.
+TRIES = 16
+#: Rows of a part of the neighbours; a task holds as many at once.
+PART = 1 << 18
 
 
 def step_weight(candidate: Column, prev: Column, linked: Column, p: float, q: float) -> Column:
@@ -74,45 +75,64 @@ def generate_steps(graph: KnowledgeGraph, config: RandomWalkConfig = RandomWalkC
     A step draws a number among the out-neighbours and joins it; a walk ends at a node without
     out-neighbours. The first step is uniform, and so are all if p = q = 1. Otherwise a drawn
     neighbour is taken with its weight as the probability (rejection), where the edge from the last
-    node is looked up by a join; TRIES draws go at once, and walkers that took none draw again.
+    node is looked up by a join. Most walkers take their first candidate, so they draw one; those
+    that took none draw again, twice as many as before, up to TRIES.
 
-    A step is a written part of one table and the next step reads only that part, so no plan grows
-    with the walks' length and no walk is carried along. Walks are not stitched from halves: halves
+    Neighbours and edges are dealt once by what is looked up in them, so a step shuffles only its
+    walkers. A step is a written part of one table and the next step reads only that part, so no plan
+    grows with the walks' length and no walk is carried along. Walks are not stitched from halves: halves
     that walks share would tie their draws together, and here all walks are independent.
     """
     config.validate()
     spark = graph.triples.sparkSession
     own, nbr = _places(graph)
     plain = float(config.p) == 1 and float(config.q) == 1
-    edges = None if plain else cut(graph.directed().select(F.col("src").alias("prev"), F.col("dst").alias("object"), F.lit(True).alias("linked")))
+    n = own.agg(F.coalesce(F.sum("degree"), F.lit(0)).alias("n")).first()["n"]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // PART))
+    nbr = dealt(nbr, parts, "place")
+    edges = None if plain else dealt(graph.directed().select(F.col("src").alias("prev"), F.col("dst").alias("object"), F.lit(True).alias("linked")), parts, "prev", "object")
     rounds = F.sequence(F.lit(0), F.lit(config.num_walks - 1)) if config.num_walks else F.array().cast("array<int>")
     path = f"{shared_folder(spark)}/walks-{uuid.uuid4().hex}"
-    schema = "round int, start string, id string, prev string, first long, degree long"
-    part = lambda i: spark.read.schema(schema).parquet(f"{path}/place={i}")
-    add = lambda df, i: df.select("round", "start", "id", "prev", "first", "degree").write.mode("append").parquet(f"{path}/place={i}")
+    state = ["round", "start", "id", "prev", "first", "degree"]
+    schema = "round int, start string, id string, prev string, first long, degree long, done boolean"
+    part = lambda i: spark.read.schema(f"{schema}, wave int").parquet(f"{path}/place={i}").where("done").select(*state)
+    add = lambda df, i, wave=0: df.select(*state, "done").write.parquet(f"{path}/place={i}/wave={wave}")
     who = ["round", "start"]
-    add(graph.entity_ids().join(own, "id", "left").select(F.explode(rounds).alias("round"), F.col("id").alias("start"), "id", F.lit(None).cast("string").alias("prev"), "first", "degree"), 0)
+    # a part of these has PART rows with different keys, so it is what a task holds, whatever walkers come
+    there = nbr.select("place", "object", F.col("first").alias("n_first"), F.col("degree").alias("n_degree")).hint("shuffle_hash")
+    linked = None if plain else edges.hint("shuffle_hash")
+    add(graph.entity_ids().join(own, "id", "left").select(F.explode(rounds).alias("round"), F.col("id").alias("start"), "id", F.lit(None).cast("string").alias("prev"), "first", "degree", F.lit(True).alias("done")), 0)
     for step in range(1, config.walk_length):
         at = part(step - 1).where("degree IS NOT NULL")
         draw = lambda *x: _uniform(F.lit(config.seed) + F.col("round"), F.col("start"), F.lit(step), *x)
-        there = nbr.select("place", "object", F.col("first").alias("n_first"), F.col("degree").alias("n_degree"))
         if step == 1 or plain:
             got = at.select(*who, F.col("id").alias("prev"), _drawn(draw()).alias("place")).join(there, "place")
-            add(got.select(*who, F.col("object").alias("id"), "prev", F.col("n_first").alias("first"), F.col("n_degree").alias("degree")), step)
+            add(got.select(*who, F.col("object").alias("id"), "prev", F.col("n_first").alias("first"), F.col("n_degree").alias("degree"), F.lit(True).alias("done")), step)
             continue
-        waiting, k = at, 0
+        waiting, k, tries = at, 0, 1
         while True:
-            tried = waiting.withColumn("k", F.explode(F.sequence(F.lit(k), F.lit(k + TRIES - 1))))
-            tried = tried.withColumn("place", _drawn(draw("k"))).join(there, "place").join(edges, ["prev", "object"], "left")
+            tried = waiting.withColumn("k", F.explode(F.sequence(F.lit(k), F.lit(k + tries - 1))) if tries > 1 else F.lit(k))
+            tried = tried.withColumn("place", _drawn(draw("k"))).join(there, "place").join(linked, ["prev", "object"], "left")
             taken = draw("k", F.lit("take")) < step_weight(F.col("object"), F.col("prev"), F.col("linked"), float(config.p), float(config.q))
-            first = F.min(F.when(taken, F.struct("k", "object", "n_first", "n_degree")))
-            got = tried.groupBy(*who).agg(first.alias("took"), *[F.first(c).alias(c) for c in ("id", "prev", "first", "degree")])
-            got, m = observed(got, waiting=F.count_if(F.col("took").isNull()))
-            add(got.where("took IS NOT NULL").select(*who, F.col("took.object").alias("id"), F.col("id").alias("prev"), F.col("took.n_first").alias("first"), F.col("took.n_degree").alias("degree")), step)
-            if not m["waiting"]:
+            took = F.when(taken, F.struct("k", "object", "n_first", "n_degree"))
+            if tries > 1:
+                got = tried.groupBy(*who).agg(F.min(took).alias("took"), *[F.first(c).alias(c) for c in ("id", "prev", "first", "degree")])
+            else:
+                got = tried.withColumn("took", took)
+            done = F.col("took").isNotNull()
+            new = {"id": F.col("took.object"), "prev": F.col("id"), "first": F.col("took.n_first"), "degree": F.col("took.n_degree")}
+            seen = Observation()
+            got = got.select(*who, *[F.when(done, v).otherwise(F.col(c)).alias(c) for c, v in new.items()], done.alias("done"))
+            add(got.observe(seen, F.count_if(~F.col("done")).alias("waiting")), step, k)
+            if not seen.get["waiting"]:
                 break
-            waiting, k = got.where("took IS NULL"), k + TRIES
-    return spark.read.schema(f"{schema}, place int").parquet(path).drop("prev")
+            waiting = spark.read.schema(schema).parquet(f"{path}/place={step}/wave={k}").where("NOT done").drop("done")
+            k, tries = k + tries, min(2 * tries, TRIES)
+    for table in (nbr, edges, own):
+        if table is not None:
+            drop(table)
+    steps = spark.read.schema(f"{schema}, place int, wave int").parquet(path).where("done")
+    return steps.select("round", "start", "id", "first", "degree", "place")
 
 
 def generate_walks(graph: KnowledgeGraph, config: RandomWalkConfig = RandomWalkConfig()) -> DataFrame:

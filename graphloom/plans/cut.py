@@ -32,9 +32,21 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """`cut` as a bucketed table: joins by the keys read it where it lies, without a shuffle."""
+    spark, name = df.sparkSession, f"dealt_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    df.repartition(parts, *keys).write.bucketBy(parts, *keys).option("path", path).saveAsTable(name, format="parquet")
+    out = spark.table(name)
+    out._cut_path, out._cut_name = path, name
+    return out
+
+
 def drop(df: DataFrame) -> None:
-    """Delete a table made by `cut` that nothing reads any more."""
+    """Delete a table made by `cut` or `dealt` that nothing reads any more."""
     spark = df.sparkSession
+    if hasattr(df, "_cut_name"):
+        spark.sql(f"DROP TABLE {df._cut_name}")
     path = spark._jvm.org.apache.hadoop.fs.Path(df._cut_path)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..model import KnowledgeGraph
 from ..operators import kge, ranking, sampling
 from ..operators.hetero import HeteroGraph
 from ..operators.hyper import HyperGraph
 from . import graphs as g
+from .cut import cut
 from .queries_graph import ppr_sql
 
 QUERIES: dict = {}
@@ -233,13 +235,14 @@ def _(spark, d):
 
 
 def _walk_checks(spark, d, p: float, q: float):
-    k = g.handoff(spark, d)
+    k = KnowledgeGraph(cut(g.handoff(spark, d).triples))  # read by many jobs
     config = sampling.RandomWalkConfig(walk_length=10, num_walks=5, p=p, q=q, seed=7)
-    w = sampling.generate_walks(k, config)
-    hops = w.select("walk_id", F.posexplode("walk").alias("k", "a"), "walk").where(F.col("k") < F.size("walk") - 1).select("a", F.get("walk", F.col("k") + 1).alias("b"))
-    edges = k.directed()
-    wrong = hops.join(edges, (hops["a"] == edges["src"]) & (hops["b"] == edges["dst"]), "left_anti").agg(F.count(F.lit(1)).alias("wrong_hops"))
-    sinks = w.where(F.size("walk") < 10).select(F.element_at("walk", -1).alias("src")).join(edges, "src", "left_semi").agg(F.count(F.lit(1)).alias("stopped_early"))
+    w = cut(sampling.generate_walks(k, config))
+    hops = w.select(F.posexplode("walk").alias("k", "a"), "walk").where(F.col("k") < F.size("walk") - 1).select(F.col("a").alias("src"), F.get("walk", F.col("k") + 1).alias("dst"))
+    hops = hops.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    wrong = hops.join(k.directed(), ["src", "dst"], "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("wrong_hops"))
+    left = k.triples.select(F.col("subject").alias("src")).distinct()
+    sinks = w.where(F.size("walk") < 10).select(F.element_at("walk", -1).alias("src")).join(left, "src", "left_semi").agg(F.count(F.lit(1)).alias("stopped_early"))
     n = w.agg(F.count(F.lit(1)).alias("walks"), F.count_distinct("start").alias("starts"), F.count_if(F.get("walk", F.lit(0)) != F.col("start")).alias("wrong_starts"))
     return n.crossJoin(wrong).crossJoin(sinks)  # one row each
 

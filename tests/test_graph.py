@@ -669,3 +669,18 @@ def test_pagerank_rounds_leave_out_edges_of_nodes_without_in_edges(spark, monkey
         got = ranking.pagerank(k, config) if seed is None else ranking.personalized_pagerank(k, seed, config)
         near(scores(got.scores), x)
         assert any(t.columns == ["src", "dst", "share"] and t.count() == (4 if seed == "A" else 3) for t in written)
+
+
+def test_weighted_steps_draw_once_first_and_leave_the_neighbours_in_place(spark, monkeypatch):
+    """A step's plan moves walkers only, and a first wave has one candidate a walker. Dealt tables go."""
+    monkeypatch.setattr(sampling, "PART", 2)
+    k = edges(spark, "AB", "BA", "BC", "CB", "CA", "CD", "DA")
+    plans, kind = [], type(k.triples)
+    monkeypatch.setattr(kind, "observe", lambda self, *args, f=kind.observe: (plans.append(self._jdf.queryExecution().executedPlan().toString()), f(self, *args))[1])
+    steps = sampling.generate_steps(k, sampling.RandomWalkConfig(walk_length=4, num_walks=50, p=2.0, q=0.5))
+    assert "Generate explode" not in plans[0] and "HashAggregate" not in plans[0]
+    # one exchange for each of the two joins, none below the tables that are looked up in
+    assert all(p.count("Exchange hashpartitioning(place") == 1 and p.count("Exchange hashpartitioning(prev") == 1 for p in plans)
+    assert any("Generate explode" in p for p in plans)
+    assert steps.groupBy("round", "start").count().where("count <> 4").isEmpty() and steps.count() == 50 * 4 * 4
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("dealt_")]
