@@ -684,3 +684,18 @@ def test_weighted_steps_draw_once_first_and_leave_the_neighbours_in_place(spark,
     assert any("Generate explode" in p for p in plans)
     assert steps.groupBy("round", "start").count().where("count <> 4").isEmpty() and steps.count() == 50 * 4 * 4
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("dealt_")]
+
+
+def test_betweenness_broadcasts_no_cells(spark, monkeypatch):
+    """Cells and bits of ranges reach tasks by shuffles; a copy a shuffle partition went through the driver."""
+    from graphloom.operators import pathblocks
+
+    plans, sent = [], pathblocks._sent
+
+    def kept(*args):
+        plans.append((out := sent(*args))._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(pathblocks, "_sent", kept)
+    near(scores(centrality.betweenness_centrality(edges(spark, ("A", "B"), ("B", "C"), ("C", "D")), normalized=False)), {"A": 0, "B": 2, "C": 2, "D": 0})
+    assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
