@@ -699,3 +699,36 @@ def test_betweenness_broadcasts_no_cells(spark, monkeypatch):
     monkeypatch.setattr(pathblocks, "_sent", kept)
     near(scores(centrality.betweenness_centrality(edges(spark, ("A", "B"), ("B", "C"), ("C", "D")), normalized=False)), {"A": 0, "B": 2, "C": 2, "D": 0})
     assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
+
+
+@pytest.mark.parametrize("undirected", [False, True])
+def test_closeness_follows_ranges_in_few_rounds(spark, monkeypatch, undirected):
+    """Ranges of nodes, pieces of edges and groups of blocks, against a plain search; a long path inside ranges
+    takes rounds by ranges, not a round a step."""
+    from graphloom.operators import ranges
+
+    written, real = [], ranges.observed
+    monkeypatch.setattr(ranges, "observed", lambda *a, **k: written.append(1) or real(*a, **k))
+    path = [(f"p{i:03}", f"p{i + 1:03}") for i in range(90)]
+    monkeypatch.setattr(ranges, "RANGE", 32)
+    centrality.closeness_centrality(edges(spark, *path), undirected=undirected)
+    assert len(written) < 10
+
+    for name, value in (("EDGES", 32), ("WORDS", 1), ("SHARES", 2)):
+        monkeypatch.setattr(ranges, name, value)
+    rng = random.Random(9)
+    pairs = {*path, *((f"n{rng.randrange(50)}", f"n{rng.randrange(50)}") for _ in range(60)), ("n3", "p010"), ("p050", "n4"), ("p080", "p020")}
+    adj: dict[str, set[str]] = {}
+    for a, b in pairs:
+        adj.setdefault(a, set()).add(b)
+        adj.setdefault(b, set()).update({a} if undirected else ())
+    want = {}
+    for s in adj:
+        dist, queue = {s: 0}, [s]
+        for x in queue:
+            for y in adj[x]:
+                if y not in dist:
+                    dist[y] = dist[x] + 1
+                    queue.append(y)
+        want[s] = (len(dist) - 1) / sum(dist.values()) * (len(dist) - 1) / (len(adj) - 1) if len(dist) > 1 else 0.0
+    near(scores(centrality.closeness_centrality(edges(spark, *sorted(pairs)), undirected=undirected, harmonic=False)), want)
