@@ -732,3 +732,18 @@ def test_closeness_follows_ranges_in_few_rounds(spark, monkeypatch, undirected):
                     queue.append(y)
         want[s] = (len(dist) - 1) / sum(dist.values()) * (len(dist) - 1) / (len(adj) - 1) if len(dist) > 1 else 0.0
     near(scores(centrality.closeness_centrality(edges(spark, *sorted(pairs)), undirected=undirected, harmonic=False)), want)
+
+
+def test_sketches_follow_ranges_in_few_rounds(spark, monkeypatch):
+    """A path of 90 steps takes rounds by ranges, not a round a step."""
+    from graphloom.operators import ranges
+
+    written = []
+    for module in (ranges, centrality):
+        monkeypatch.setattr(module, "observed", lambda *a, real=module.observed, **k: written.append(1) or real(*a, **k))
+    monkeypatch.setattr(ranges, "RANGE", 32)
+    result = centrality.closeness_sketch(edges(spark, *[(f"p{i:03}", f"p{i + 1:03}") for i in range(90)]), normalized=False)
+    assert len(written) < 12
+    for i, score in scores(result.scores).items():
+        want = sum(1 / d for d in range(1, 91 - int(i[1:])))
+        assert abs(score - want) <= 0.05 * want
